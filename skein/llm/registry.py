@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import exact_dedup
+from skein.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
