@@ -27,9 +27,9 @@ from skein.llm.common import SLICE, cut, id_and_text, table, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks of which a worker remembers the ids.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: White space besides the six characters that every library agrees on.
-DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PLAIN = re.compile("[ \t\n\r\f\v]+")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, exact_dedup
+from skein.llm import bpe, exact_dedup, matroska, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_packing": packing.op8_packing,
+    "op9_matroska": matroska.op9_matroska,
 }
 
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
