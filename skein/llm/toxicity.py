@@ -17,6 +17,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,5 +279,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~may_train(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without those that score 0.5 or more; columns as they were. Null texts count as empty."""
+    net = train(*fit(docs, labels, "toxic", may_train))
+    held: list = []
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(_projected(net))
+        return pd.Series([score(net, held[0], t if isinstance(t, str) else "") < 0.5 for t in texts], dtype=bool)
+
+    return docs.where(clean(F.col(text_col)))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
