@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skein.plans import analytics, graphs, platform, texts
 
 FLAGSHIP = "transfer_chains"
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (graphs, analytics, texts, platform)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.SQL.items()}
