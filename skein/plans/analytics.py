@@ -53,10 +53,10 @@ def monthly_activity(spark, d):
     return temporal.monthly(A.payments(spark, d))
 
 
-@query(f"WITH {A.PAYMENTS_SQL} SELECT source_id, sum(amount) AS total, max(amount) AS largest, count(*) AS n FROM payments GROUP BY 1 ORDER BY total DESC, source_id LIMIT 20")
+@query(f"WITH {A.PAYMENTS_SQL} SELECT source_id, sum(amount)::DOUBLE AS total, max(amount)::DOUBLE AS largest, count(*) AS n FROM payments GROUP BY 1 ORDER BY total DESC, source_id LIMIT 20")
 def amount_by_payer(spark, d):
     pay = A.payments(spark, d)
-    return pay.groupBy("source_id").agg(F.sum("amount").alias("total"), F.max("amount").alias("largest"), F.count("*").alias("n")).orderBy(F.desc("total"), "source_id").limit(20)
+    return pay.groupBy("source_id").agg(F.sum("amount").cast("double").alias("total"), F.max("amount").cast("double").alias("largest"), F.count("*").alias("n")).orderBy(F.desc("total"), "source_id").limit(20)
 
 
 BURST_SQL = f"""WITH {A.ACTIVITY_SQL}, times AS (SELECT source_id AS entity, relationship_id, epoch_us(ts) AS us FROM activity UNION ALL SELECT target_id, relationship_id, epoch_us(ts) FROM activity

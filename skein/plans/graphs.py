@@ -176,11 +176,11 @@ def path_enriched(spark, d):
 
 @query(f"""WITH {A.OWNERSHIP_SQL}, {A.ENTITIES_SQL}, e AS (SELECT source_id AS u, target_id AS v FROM ownership UNION SELECT target_id, source_id FROM ownership),
 ids AS (SELECT 'region-00002' AS id UNION SELECT v FROM e WHERE u = 'region-00002' UNION SELECT b.v FROM e a JOIN e b ON b.u = a.v WHERE a.u = 'region-00002'),
-nodes AS (SELECT entity_id FROM entities WHERE entity_id IN (SELECT id FROM ids) AND entity_type IN ('Location', 'Case', 'Person') ORDER BY entity_id LIMIT 200)
+nodes AS (SELECT entity_id FROM entities WHERE entity_id IN (SELECT id FROM ids) AND entity_type IN ('Location', 'Case', 'Organization') ORDER BY entity_id LIMIT 200)
 SELECT * FROM ownership WHERE source_id IN (SELECT entity_id FROM nodes) AND target_id IN (SELECT entity_id FROM nodes) ORDER BY relationship_id LIMIT 400""")
 def bounded_subgraph(spark, d):
     root = spark.createDataFrame([("region-00002",)], "entity_id string")
-    return traverse.bounded_subgraph(A.ownership(spark, d), A.entities(spark, d), root, 2, kinds=["Location", "Case", "Person"])[1]
+    return traverse.bounded_subgraph(A.ownership(spark, d), A.entities(spark, d), root, 2, kinds=["Location", "Case", "Organization"])[1]
 
 
 CHAIN_SQL = f"""WITH RECURSIVE {A.BACKBONE_SQL}, walk AS (SELECT [source_id, target_id] AS path, [relationship_id] AS evidence, target_id AS last, 1 AS hops FROM backbone
