@@ -25,8 +25,8 @@ from skein.llm.common import id_and_text, per_document, table
 
 WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
-#: At most so many labelled texts, of at most so many words each, are used in training.
-SAMPLE_ROWS, SAMPLE_WORDS = 5000, 4000
+#: At most so many labelled texts, of at most so many characters each, are used in training.
+SAMPLE_ROWS, SAMPLE_CHARS = 5000, 16000
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with as was on are by this it an be from or".split(),
@@ -79,31 +79,30 @@ def language(words: list[str]) -> str:
     return best[1] if best[0] else "other"
 
 
-def _projected(net: Network) -> dict[int, np.ndarray]:
-    """For each width, the response of every table row at every place of the filter: (places, slots, filters)."""
-    half = net.tables.shape[2]
-    flat = net.tables.reshape(-1, half)
-    rows = net.tables.shape[1]
-    out = {}
-    for w, f in net.filters.items():  # f: (w, 2 * half, n)
-        out[w] = np.stack([np.concatenate([flat[:rows] @ f[j, :half], flat[rows:] @ f[j, half:]]) for j in range(w)]).astype(np.float32)
-    return out
+def _embedded(net: Network, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(words, 2 * half) embeddings of words by their two slots."""
+    flat = net.tables.reshape(-1, net.tables.shape[2])
+    return np.concatenate([flat[a], flat[b]], axis=1)
 
 
-def _pooled(net: Network, projected: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest response of each filter over a text given by its words' slots, and where it was."""
-    best, place = [], []
-    for w in WIDTHS:
-        p, n = projected[w], net.filters[w].shape[2]
-        if len(a) < w:
+def _pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest response of each filter over a text given by its embeddings, and where it was (-1: below zero everywhere)."""
+    places = [f[j] for w, f in net.filters.items() for j in range(w)]
+    each = x @ np.concatenate(places, axis=1)  # one product for all filters and their places
+    best, place, at = [], [], 0
+    for w, f in net.filters.items():
+        n, m = f.shape[2], len(x) - w + 1
+        if m < 1:
             best.append(np.zeros(n, dtype=np.float32))
             place.append(np.full(n, -1))
-            continue
-        m = len(a) - w + 1
-        r = sum(p[j][a[j : j + m]] + p[j][b[j : j + m]] for j in range(w)) + net.bias[w]
-        k = r.argmax(axis=0)
-        best.append(np.maximum(r[k, np.arange(n)], 0))
-        place.append(np.where(best[-1] > 0, k, -1))
+        else:
+            r = each[:m, at : at + n].copy()
+            for j in range(1, w):
+                r += each[j : j + m, at + j * n : at + (j + 1) * n]
+            k = r.argmax(axis=0)
+            best.append(np.maximum(r[k, np.arange(n)] + net.bias[w], 0))
+            place.append(np.where(best[-1] > 0, k, -1))
+        at += w * n
     return np.concatenate(best), np.concatenate(place)
 
 
@@ -132,7 +131,7 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
     if not 0 < y.sum() < len(y):
         net.out[:] = 0
         return net
-    words = [words_of(t)[:SAMPLE_WORDS] for t in texts]
+    words = [words_of(t) for t in texts]
     coded = [np.array([slots(w, rows) for w in ws], dtype=np.int64).reshape(-1, 2) for ws in words]
     seen = np.zeros((2 * rows, 2))
     for c, label in zip(coded, labels):
@@ -157,8 +156,8 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
     fold = np.arange(len(y)) % 5 == 0  # for calibration
     for _ in range(epochs):
         for i in rng.permutation(np.flatnonzero(~fold)):
-            a, b = coded[i].T if len(coded[i]) else (np.zeros(0, int),) * 2
-            pooled, where = _pooled(net, _Lazy(net, flat, a, b), np.arange(len(a)), np.arange(len(b)))
+            a, b = coded[i][:, 0], coded[i][:, 1]
+            pooled, where = _pooled(net, _embedded(net, a, b))
             g = weight[i] * (1 / (1 + np.exp(-_logit(net, pooled))) - y[i])
             d = g * net.out
             step("out", net.out, g * pooled + 1e-4 * net.out)
@@ -185,26 +184,9 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
     return net
 
 
-class _Lazy(dict):
-    """_projected() for one text's slots only."""
-
-    def __init__(self, net: Network, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        half, ea, eb = flat.shape[1], flat[a], flat[b]
-        super().__init__({w: _Sum(f, ea, eb, half) for w, f in net.filters.items()})
-
-
-class _Sum:
-    def __init__(self, f, ea, eb, half):
-        self.both = [np.concatenate([ea, eb], axis=1) @ f[j] / 2 for j in range(len(f))]
-
-    def __getitem__(self, j):
-        return self.both[j]
-
-
 def _calibrate(net: Network, words: list[list[str]], coded: list[np.ndarray], y: np.ndarray) -> None:
     """For each language the logit that separates the labels best, drawn to the common one where examples are few."""
-    projected = _projected(net)
-    logits = np.array([_logit(net, _pooled(net, projected, *(c.T if len(c) else (np.zeros(0, int),) * 2))[0]) for c in coded])
+    logits = np.array([_logit(net, _pooled(net, _embedded(net, c[:, 0], c[:, 1]))[0]) for c in coded])
     langs = np.array([language(w) for w in words])
 
     def best(rows: np.ndarray) -> float:
@@ -225,14 +207,14 @@ def _calibrate(net: Network, words: list[list[str]], coded: list[np.ndarray], y:
             net.shift[str(name)] = (k * best(rows) + 20 * everyone) / (k + 20)
 
 
-def score(net: Network, projected: dict[int, np.ndarray], text: str) -> float:
+def score(net: Network, text: str) -> float:
     words = words_of(text)
     known = net.at
     known.rows = net.tables.shape[1]
     if len(known) > 300_000:
         known.clear()
     both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    z = _logit(net, _pooled(net, projected, both >> 32, both & 0xFFFFFFFF)[0])
+    z = _logit(net, _pooled(net, _embedded(net, both >> 32, both & 0xFFFFFFFF))[0])
     shift = net.shift.get(language(words) if net.shift else "", net.shift.get("", 0.0))
     return float(1 / (1 + np.exp(-np.clip(z - shift, -30, 30))))
 
@@ -241,13 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str =
     """Texts and labels of at most `rows` labelled documents, those of smallest hash; eligible: which ids may be used."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(eligible(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").distinct().orderBy("doc_id").limit(rows)
-    got = some.select(F.col("text"), "_label").toLocalIterator()
-    texts, marks = [], []
-    for r in got:
-        texts.append(r[0][: 12 * SAMPLE_WORDS])
-        marks.append(r[1])
-    return texts, marks
+    some = id_and_text(docs, id_col, text_col).select("doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    got = {r[0]: r[1:] for r in sorted(some.collect())}  # at most 2 * rows, the second half for repeated rows
+    return [t for t, _ in got.values()], [m for _, m in got.values()]
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,12 +235,9 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     output's bias; repeated rows and equal texts get equal scores. Null ids are scored
     like others. An empty table gives an empty result; other columns are not read.
     """
-    held: list = []
 
     def rows(ids, texts):
-        if not held:
-            held.append(_projected(net))
-        return {"doc_id": ids, "score": [score(net, held[0], t) for t in texts]}
+        return {"doc_id": ids, "score": [score(net, t) for t in texts]}
 
     return per_document(id_and_text(docs, id_col, text_col), rows, "doc_id long, score double")
 
@@ -282,13 +257,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that score 0.5 or more; columns as they were. Null texts count as empty."""
     net = train(*fit(docs, labels, "toxic", may_train))
-    held: list = []
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(_projected(net))
-        return pd.Series([score(net, held[0], t if isinstance(t, str) else "") < 0.5 for t in texts], dtype=bool)
+        return pd.Series([score(net, t if isinstance(t, str) else "") < 0.5 for t in texts], dtype=bool)
 
     return docs.where(clean(F.col(text_col)))
 
