@@ -13,7 +13,9 @@ each length and reads their places from it.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,26 +32,53 @@ CAPACITY = 2048
 REMEMBERED = 600_000
 #: White space besides the six characters that every library agrees on.
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: One word of Latin letters with at most a stop or a comma.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 PLAIN = re.compile("[ \t\n\r\f\v]+")
 
 
 class ChunkEncoder:
-    """Ids of texts, chunk by chunk between white space, which this tokenizer drops and never joins over."""
+    """Ids of texts, chunk by chunk between white space, which this tokenizer drops and never joins over.
+
+    A chunk of Latin letters and at most one stop or comma has a known split and needs
+    lower-casing alone, so its word goes to the bare model; other chunks take the whole
+    tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        parts["normalizer"] = None
+        parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.model = Tokenizer.from_str(json.dumps(parts))
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.stops = {"": b""} | dict(zip(".,", self.ids(self.whole, [".", ","])))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    @staticmethod
+    def ids(tokenizer, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Have the ids of these chunks at hand."""
+        simple = [(x, m[1].lower(), m[2]) for x in new if (m := SIMPLE.fullmatch(x))]
+        words = list({w for _, w, _ in simple}.difference(self.words))
+        self.words.update(zip(words, self.ids(self.model, words)))
+        for x, w, stop in simple:
+            self.known[x] = self.words[w] + self.stops[stop]
+        others = [x for x in new if x not in self.known]
+        self.known.update(zip(others, self.ids(self.whole, others)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         chunked = [[x for x in PLAIN.split(t) if x] if DOUBTFUL.search(t) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*chunked).difference(self.known))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[x] = np.array(e.ids, dtype="<u4").tobytes()
+        for held in (self.known, self.words):
+            if len(held) > REMEMBERED:
+                held.clear()
+        self.learn(list(set().union(*chunked).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, c)) for c in chunked]
 
 
