@@ -17,7 +17,8 @@ def library(path):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(path).ranks, special_tokens={})
 
 
-TEXTS = st.text(alphabet=st.sampled_from(list("abceinrst'!?12 \n\t") + ["  ", " the", "ing", "é", "日", "\xa0", "\x1c", "'ll", "'s"]), max_size=80)
+PARTS = [*"abceinrst'!?12 \n\t", "  ", " the", "ing", "é", "日", "\xa0", "\x1c", "'ll", "'s"]
+TEXTS = st.lists(st.sampled_from(PARTS), max_size=60).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -80,7 +81,7 @@ def test_edits_touch_little():
 def test_edit_tables(spark, docs, odd):
     edits = spark.createDataFrame([(4, 2, 0, 4, "1"), (4, 1, 4, 4, ""), (99, 1, 0, 0, "x"), (6, 1, None, None, None)], "doc_id long, seq int, start int, removed int, inserted string")
     got = {r["doc_id"]: r for r in token_counts.counts_after(docs(odd), edits, EN).collect()}
-    assert got[4]["edited_sha256"] == hashlib.sha256(b"1three four five").hexdigest() or got[4]["edited_sha256"] == hashlib.sha256(b"1 three four five").hexdigest()
+    assert got[4]["edited_sha256"] == hashlib.sha256(b"1three four five").hexdigest()
     assert got[6]["n_tokens"] == got[6]["n_tokens_edited"] and got[1]["n_tokens"] == 0
     assert token_counts.counts_with_edits(token_counts.revision(docs(odd)), EN).count() == len(odd)
 
@@ -88,5 +89,5 @@ def test_edit_tables(spark, docs, odd):
 @pytest.mark.parametrize("path", [MULTI, EN])
 def test_neighbours_of_an_encoding_are_compatible(path):
     c = bpe.codec(path)
-    ids = c.encode("Unbelievablehappenings notwithstanding the interconnectedness")
-    assert all(c.seam(a, b) == (a, b) for a, b in zip(ids[:4], ids[1:5]) if not c.bytes_of[b].startswith(b" "))
+    ids = c.tokens(b" antidisinterconnectednesslessness")
+    assert len(ids) > 3 and all(c.seam(a, b) == (a, b) for a, b in zip(ids, ids[1:]))
