@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built, from texts labelled good and from texts labelled
 bad. A text is compressed with each, block by block, so that every block is judged by the
-dictionary and not by what precedes it; the difference of the two sizes over their sum,
-with the compression ratio, is calibrated to a score by logistic regression.
+dictionary and not by what precedes it. The difference of the two sizes for each byte of
+text, over the whole text and in its worst block, with the compression ratio and the
+length, is calibrated to a score by logistic regression.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import id_and_text, per_document, table
 from skein.llm.toxicity import fit
 
-#: Labelled texts used in training, and bytes of each dictionary and block.
-SAMPLE_ROWS, DICTIONARY, BLOCK, LEVEL = 5000, 1 << 16, 1 << 12, 3
+#: Labelled texts used in training; bytes of each dictionary and block; zstandard's level and a frame's own bytes.
+SAMPLE_ROWS, DICTIONARY, BLOCK, LEVEL, FRAME = 5000, 1 << 15, 256, 6, 12
+N_FEATURES = 6
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -44,23 +46,23 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False)
 
 
-def features(text: str, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """Difference of the compressed sizes over their sum, its lowest block, and bytes saved; zeros for an empty text."""
+def features(text: str, good: bytes, bad: bytes) -> tuple[float, ...]:
+    """Size difference for each byte, that of the worst block, compressed share, that of the best block, log length and
+    squared share; zeros for an empty text."""
     data = text.encode()
     if not data:
-        return 0.0, 0.0, 0.0
-    view, a, b, worst = memoryview(data), 0, 0, 1.0
-    by_good, by_bad = _compressor(good), _compressor(bad)
-    for at in range(0, len(data), BLOCK):
-        part = view[at : at + BLOCK]
-        x, y = len(by_good.compress(part)), len(by_bad.compress(part))
-        a, b = a + x, b + y
-        if len(part) > 64 or at == 0:
-            worst = min(worst, (y - x) / (x + y))
-    return (b - a) / (a + b), worst, a / len(data)
-
-
-def train(texts: list[str], labels: list[int], steps: int = 400) -> tuple[bytes, bytes, np.ndarray]:
+        return (0.0,) * N_FEATURES
+    view, by_good, by_bad = memoryview(data), _compressor(good).compress, _compressor(bad).compress
+    starts = range(0, len(data), BLOCK)
+    x = np.array([len(by_good(view[at : at + BLOCK])) for at in starts]) - FRAME
+    y = np.array([len(by_bad(view[at : at + BLOCK])) for at in starts]) - FRAME
+    n = np.full(len(starts), BLOCK)
+    n[-1] = len(data) - starts[-1]
+    share = x.sum() / len(data)
+    return (y.sum() - x.sum()) / len(data), ((y - x) / n).min(), share, (x / n).min(), np.log(len(data)), share**2
+
+
+def train(texts: list[str], labels: list[int], steps: int = 60) -> tuple[bytes, bytes, np.ndarray]:
     """Dictionaries of good and bad texts, and logistic weights (one for each feature, then the bias).
 
     Two thirds of the texts make the dictionaries, the rest the calibration. Without both
@@ -68,7 +70,7 @@ def train(texts: list[str], labels: list[int], steps: int = 400) -> tuple[bytes,
     """
     y = np.array(labels, dtype=float)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-    flat = np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
+    flat = np.r_[np.zeros(N_FEATURES), np.log(share / (1 - share))]
     if not 0 < y.sum() < len(y):
         return b"", b"", flat
     held = np.zeros(len(y), bool)
@@ -77,19 +79,18 @@ def train(texts: list[str], labels: list[int], steps: int = 400) -> tuple[bytes,
     good, bad = (_dictionary([t.encode() for t, label, h in zip(texts, labels, held) if label == v and not h], DICTIONARY) for v in (1, 0))
     rows = np.flatnonzero(held)
     if not 0 < y[rows].sum() < len(rows):
-        return good, bad, np.array([20.0, 0.0, 0.0, 0.0])
+        return good, bad, np.r_[20.0, np.zeros(N_FEATURES)]
     x = np.array([features(texts[i], good, bad) for i in rows])
-    x = np.c_[x, np.ones(len(x))]
-    scale = np.r_[x[:, :3].std(axis=0) + 1e-6, 1.0]
-    w, t = np.zeros(4), y[rows]
-    for _ in range(steps):  # Newton steps, kept short
-        p = 1 / (1 + np.exp(-np.clip(x / scale @ w, -30, 30)))
-        h = (x / scale).T @ ((x / scale) * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * len(x) / 100 * np.eye(4)
-        d = np.linalg.solve(h, (x / scale).T @ (p - t) + 1e-3 * len(x) / 100 * w)
-        w -= d * min(1.0, 2 / (np.abs(d).max() + 1e-12))
+    middle, scale, t = x.mean(axis=0), x.std(axis=0) + 1e-9, y[rows]
+    x = np.c_[(x - middle) / scale, np.ones(len(x))]
+    w = np.zeros(N_FEATURES + 1)
+    for _ in range(steps):  # Newton's steps with a penalty, kept short
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        d = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 0.1 * np.eye(len(w)), x.T @ (p - t) + 0.1 * w)
+        w -= np.clip(d, -2, 2)
         if np.abs(d).max() < 1e-6:
             break
-    return good, bad, w / scale
+    return good, bad, np.r_[w[:-1] / scale, w[-1] - (w[:-1] * middle / scale).sum()]
 
 
 def score_documents(docs: DataFrame, good: bytes, bad: bytes, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +102,7 @@ def score_documents(docs: DataFrame, good: bytes, bad: bytes, weights: np.ndarra
     """
 
     def rows(ids, texts):
-        z = np.array([np.dot(weights[:3], features(t, good, bad)) + weights[3] for t in texts])
+        z = np.array([np.dot(weights[:-1], features(t, good, bad)) + weights[-1] for t in texts])
         return {"doc_id": ids, "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
 
     return per_document(id_and_text(docs, id_col, text_col), rows, "doc_id long, score double")
