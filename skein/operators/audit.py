@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from skein.functions.scalar import SECRET_KEYS, short_hash
 
 
-def with_ids(events: DataFrame, parts: list[str], order: str) -> DataFrame:
-    """events with audit_id: hash of the parts, and -1, -2... for repeats in order of arrival."""
-    hashed = events.withColumn("_h", short_hash(*[F.col(p) for p in parts]))
-    n = F.row_number().over(Window.partitionBy("_h").orderBy(order)) - 1
-    return hashed.withColumn("_n", n).withColumn("audit_id", F.concat(F.lit("aud-"), "_h", F.when(F.col("_n") > 0, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(""))).drop("_h", "_n")
+def with_ids(events: DataFrame, parts: list[str], order: str, width: int = 100_000) -> DataFrame:
+    """events with audit_id: hash of the parts, and -1, -2... for repeats in order of the integer column `order`.
+
+    Repeats are numbered within runs of `width` arrivals, whose counts before are added, so
+    that the log of one busy source is not numbered in one task.
+    """
+    hashed = events.withColumns({"_h": short_hash(*[F.col(p) for p in parts]), "_run": F.expr(f"{order} div {width}")})
+    runs = hashed.groupBy("_h", "_run").agg(F.count("*").alias("_c"))
+    before = runs.select("_h", "_run", F.coalesce(F.sum("_c").over(Window.partitionBy("_h").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_h", "_run").orderBy(order)) - 1
+    numbered = hashed.withColumn("_own", own).join(before, ["_h", "_run"]).withColumn("_n", F.col("_own") + F.col("_before"))
+    return numbered.withColumn("audit_id", F.concat(F.lit("aud-"), "_h", F.when(F.col("_n") > 0, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(""))).drop("_h", "_run", "_own", "_before", "_n")
 
 
 def latest(events: DataFrame, order: str, bound: int = 1000) -> DataFrame:

@@ -106,9 +106,12 @@ def attached(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
 def cue_relations(docs: DataFrame, mentions: DataFrame, known: Column | None = None) -> DataFrame:
     """Relations between two mentions of a document with a cue in the text between them.
 
-    The rules are a small table joined to the pairs; pairs of one type are taken in text order.
+    The rules are a small table joined to the pairs; pairs of one type are taken in text
+    order. Documents without any cue are left out before their mentions are paired.
     """
     spark = mentions.sparkSession
+    docs = docs.where(F.col("text").rlike("|".join(pattern for _, _, pattern, _, _ in CUES)))
+    mentions = mentions.join(docs.select("doc_id"), "doc_id", "left_semi")
     rules = spark.createDataFrame([(s, t, r, p) for s, t, _, r, p in CUES], "source_type string, target_type string, relationship_type string, prior double")
     m = mentions.withColumn("_linked", known if known is not None else F.lit(False))
     p = m.select("doc_id", F.col("entity_type").alias("source_type"), F.col("text").alias("source_text"), F.col("start").alias("sa"), F.col("end").alias("sb"), F.col("_linked").alias("ls"))
