@@ -1,7 +1,8 @@
 """Operator 2: toxicity by a convolutional text classifier over hashed word embeddings.
 
-A word's embedding is the concatenation of rows of two tables, addressed by two hashes,
-so that words rarely share all of it. Filters one, two and three words wide slide over a
+A word's embedding is the concatenation of rows of three tables: two are addressed by
+different hashes of the word, so that words rarely share both, one by a hash of its first
+letters, so that forms of a word share it. Filters one, two and three words wide slide over a
 text; each filter's highest response in the whole text goes to a logistic output. The
 network is trained in numpy on the driver from a bounded sample of labelled texts, then
 sent to the tasks that score. A threshold is calibrated for each language, which is
@@ -25,6 +26,8 @@ from skein.llm.common import id_and_text, per_document, table
 
 WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
+#: Letters that forms of a word share, and hashes of a word.
+PREFIX, HASHES = 4, 3
 #: At most so many labelled texts, of at most so many characters each, are used in training.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 16000
 #: Frequent function words by which a text's language is guessed.
@@ -36,9 +39,10 @@ FUNCTION_WORDS = {
 }
 
 
-def slots(word: str, rows: int) -> tuple[int, int]:
+def slots(word: str, rows: int) -> tuple[int, ...]:
+    """A row of each of the three tables."""
     data = word.encode()
-    return zlib.crc32(data) % rows, rows + zlib.adler32(data[::-1], zlib.crc32(data, 77)) % rows
+    return zlib.crc32(data) % rows, zlib.crc32(data[::-1], 77) % rows, zlib.crc32(word[:PREFIX].encode(), 99) % rows
 
 
 class _Known(dict):
@@ -47,14 +51,14 @@ class _Known(dict):
     rows = 1
 
     def __missing__(self, word: str) -> int:
-        i, j = slots(word, self.rows)
-        self[word] = i << 32 | j
+        i, j, k = slots(word, self.rows)
+        self[word] = (i << 20 | j) << 20 | k
         return self[word]
 
 
 @dataclass
 class Network:
-    """Weights of the classifier; tables (2, rows, half) hold the embeddings."""
+    """Weights of the classifier; tables (3, rows, part) hold the embeddings."""
 
     tables: np.ndarray
     filters: dict[int, np.ndarray]
@@ -79,10 +83,9 @@ def language(words: list[str]) -> str:
     return best[1] if best[0] else "other"
 
 
-def _embedded(net: Network, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(words, 2 * half) embeddings of words by their two slots."""
-    flat = net.tables.reshape(-1, net.tables.shape[2])
-    return np.concatenate([flat[a], flat[b]], axis=1)
+def _embedded(net: Network, codes: np.ndarray) -> np.ndarray:
+    """(words, 3 * part) embeddings of words by their (words, 3) slots."""
+    return np.concatenate([net.tables[t][codes[:, t]] for t in range(HASHES)], axis=1)
 
 
 def _pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +113,8 @@ def _logit(net: Network, pooled: np.ndarray) -> float:
     return float(pooled @ net.out + net.out_bias)
 
 
-def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int = 4, n_filters: int = 6, epochs: int = 4, rate: float = 0.05, seed: int = 5) -> Network:
-    """Fit a network to labelled texts with Adagrad, then calibrate a threshold for each language.
+def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int = 4, n_filters: int = 6, epochs: int = 4, rate: float = 0.05, seed: int = 5) -> Network:
+    """Fit a network to four fifths of the labelled texts with Adagrad; calibrate a threshold for each language on the rest.
 
     The first coordinate of each table starts from the smoothed log-odds of the label
     among the texts that hold a slot; slots met in fewer than three training texts keep
@@ -122,9 +125,9 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
     y = np.array(labels, dtype=np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     net = Network(
-        tables=np.zeros((2, rows, half), dtype=np.float32),
-        filters={w: rng.normal(0, 0.1, (w, 2 * half, n_filters)).astype(np.float32) for w in WIDTHS},
-        bias={w: np.zeros(n_filters, dtype=np.float32) for w in WIDTHS},
+        tables=np.zeros((HASHES, rows, part), dtype=np.float32),
+        filters={w: rng.normal(0, 0.1, (w, HASHES * part, n_filters)).astype(np.float32) for w in WIDTHS},
+        bias={w: np.full(n_filters, -1.5, dtype=np.float32) for w in WIDTHS},
         out=np.full(len(WIDTHS) * n_filters, 0.3),
         out_bias=float(np.log(share / (1 - share))),
     )
@@ -132,35 +135,32 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
         net.out[:] = 0
         return net
     words = [words_of(t) for t in texts]
-    coded = [np.array([slots(w, rows) for w in ws], dtype=np.int64).reshape(-1, 2) for ws in words]
-    seen = np.zeros((2 * rows, 2))
-    for c, label in zip(coded, labels):
-        seen[np.unique(c), int(label)] += 1
-    count = seen.sum(axis=1)
-    odds = np.log((seen[:, 1] + 0.5 * share) / (y.sum() + 1)) - np.log((seen[:, 0] + 0.5 * (1 - share)) / (len(y) - y.sum() + 1))
-    common = count >= 3
-    flat = net.tables.reshape(2 * rows, half)
-    flat[common] = rng.normal(0, 0.02, (int(common.sum()), half))
-    flat[common, 0] = np.clip(odds[common], -2, 6) / 2
+    coded = [np.array([slots(w, rows) for w in ws], dtype=np.int64).reshape(-1, HASHES) for ws in words]
+    fold = np.zeros(len(y), bool)
+    for v in (0, 1):
+        fold[np.flatnonzero(y == v)[4::5]] = True
+    learn = np.flatnonzero(~fold)
+    common = np.zeros((HASHES, rows), bool)
+    for t in range(HASHES):
+        seen = np.zeros((rows, 2))
+        for i in learn:
+            seen[np.unique(coded[i][:, t]), int(y[i])] += 1
+        odds = np.log((seen[:, 1] + 0.5 * share) / (y[learn].sum() + 1)) - np.log((seen[:, 0] + 0.5 * (1 - share)) / (len(learn) - y[learn].sum() + 1))
+        common[t] = seen.sum(axis=1) >= 3
+        net.tables[t][common[t]] = rng.normal(0, 0.02, (int(common[t].sum()), part))
+        net.tables[t][common[t], 0] = np.clip(odds[common[t]], -2, 6) / 2
     for f in net.filters.values():  # filters begin as detectors of strong words
-        f[:, [0, half], :] += 0.5 / len(f)
-    for w in WIDTHS:
-        net.bias[w][:] = -1.5
-    grads = {"out": np.full(net.out.shape, 1e-2), "flat": np.full(flat.shape, 1e-2, dtype=np.float32)} | {w: np.full(net.filters[w].shape, 1e-2, dtype=np.float32) for w in WIDTHS} | {("b", w): np.full(n_filters, 1e-2, dtype=np.float32) for w in WIDTHS}
+        f[:, ::part, :] += 1 / (HASHES * len(f))
+    past = {w: np.full(f.shape, 1e-2, dtype=np.float32) for w, f in net.filters.items()}
+    past_out, past_bias, past_tables = np.full(net.out.shape, 1e-2), {w: np.full(n_filters, 1e-2, dtype=np.float32) for w in WIDTHS}, np.full(net.tables.shape, 1e-2, dtype=np.float32)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).clip(0.2, 5)
-
-    def step(key, value, g):
-        grads[key] += g * g
-        value -= rate * g / np.sqrt(grads[key])
-
-    fold = np.arange(len(y)) % 5 == 0  # for calibration
     for _ in range(epochs):
-        for i in rng.permutation(np.flatnonzero(~fold)):
-            a, b = coded[i][:, 0], coded[i][:, 1]
-            pooled, where = _pooled(net, _embedded(net, a, b))
+        for i in rng.permutation(learn):
+            pooled, where = _pooled(net, _embedded(net, coded[i]))
             g = weight[i] * (1 / (1 + np.exp(-_logit(net, pooled))) - y[i])
-            d = g * net.out
-            step("out", net.out, g * pooled + 1e-4 * net.out)
+            d, g_out = g * net.out, g * pooled + 1e-4 * net.out
+            past_out += g_out * g_out
+            net.out -= rate * g_out / np.sqrt(past_out)
             net.out_bias -= rate * 0.1 * g
             at = 0
             for w in WIDTHS:
@@ -168,35 +168,38 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, half: int =
                     k = where[at + n]
                     if k < 0:
                         continue
-                    f = net.filters[w][:, :, n]
-                    x = np.concatenate([flat[a[k : k + w]], flat[b[k : k + w]]], axis=1)
-                    gf, gx = d[at + n] * x, d[at + n] * f
-                    grads[w][:, :, n] += gf * gf
-                    net.filters[w][:, :, n] -= rate * gf / np.sqrt(grads[w][:, :, n])
-                    for idx, part in ((a[k : k + w], gx[:, :half]), (b[k : k + w], gx[:, half:])):
-                        live = common[idx]
-                        grads["flat"][idx[live]] += part[live] ** 2
-                        flat[idx[live]] -= rate * part[live] / np.sqrt(grads["flat"][idx[live]])
-                    grads[("b", w)][n] += d[at + n] ** 2
-                    net.bias[w][n] -= rate * 0.3 * d[at + n] / np.sqrt(grads[("b", w)][n])
+                    codes, f = coded[i][k : k + w], net.filters[w][:, :, n]
+                    gf, gx = d[at + n] * _embedded(net, codes), d[at + n] * f
+                    past[w][:, :, n] += gf * gf
+                    net.filters[w][:, :, n] -= rate * gf / np.sqrt(past[w][:, :, n])
+                    for t in range(HASHES):
+                        live = common[t][codes[:, t]]
+                        at_, own = codes[live, t], gx[live, t * part : (t + 1) * part]
+                        past_tables[t][at_] += own * own
+                        net.tables[t][at_] -= rate * own / np.sqrt(past_tables[t][at_])
+                    past_bias[w][n] += d[at + n] ** 2
+                    net.bias[w][n] -= rate * 0.3 * d[at + n] / np.sqrt(past_bias[w][n])
                 at += n_filters
-    _calibrate(net, words, coded, y)
+    held = np.flatnonzero(fold)
+    if not 0 < y[held].sum() < len(held):
+        held = np.arange(len(y))
+    _calibrate(net, [words[i] for i in held], [coded[i] for i in held], y[held])
     return net
 
 
 def _calibrate(net: Network, words: list[list[str]], coded: list[np.ndarray], y: np.ndarray) -> None:
     """For each language the logit that separates the labels best, drawn to the common one where examples are few."""
-    logits = np.array([_logit(net, _pooled(net, _embedded(net, c[:, 0], c[:, 1]))[0]) for c in coded])
+    logits = np.array([_logit(net, _pooled(net, _embedded(net, c))[0]) for c in coded])
     langs = np.array([language(w) for w in words])
 
     def best(rows: np.ndarray) -> float:
         order = np.argsort(logits[rows])
         z, t = logits[rows][order], y[rows][order]
-        wrong = np.cumsum(np.r_[0, t]) + np.cumsum(np.r_[0, (1 - t)][::-1])[::-1]  # threshold before each place
+        wrong = np.cumsum(np.r_[0, t]) + np.cumsum(np.r_[1 - t, 0][::-1])[::-1]  # threshold before each place
         at = np.flatnonzero(wrong == wrong.min())
         middle = at[len(at) // 2]
         low, high = (z[middle - 1] if middle else z[0] - 1), (z[middle] if middle < len(z) else z[-1] + 1)
-        return float((low + high) / 2)
+        return float(low + 0.4 * (high - low))  # examples of label 0 are many, so its end of the gap is the better known
 
     everyone = best(np.arange(len(y)))
     net.shift = {"": everyone}
@@ -204,7 +207,7 @@ def _calibrate(net: Network, words: list[list[str]], coded: list[np.ndarray], y:
         rows = np.flatnonzero(langs == name)
         if 0 < y[rows].sum() < len(rows):
             k = y[rows].sum()
-            net.shift[str(name)] = (k * best(rows) + 20 * everyone) / (k + 20)
+            net.shift[str(name)] = (k * best(rows) + 5 * everyone) / (k + 5)
 
 
 def score(net: Network, text: str) -> float:
@@ -214,7 +217,8 @@ def score(net: Network, text: str) -> float:
     if len(known) > 300_000:
         known.clear()
     both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    z = _logit(net, _pooled(net, _embedded(net, both >> 32, both & 0xFFFFFFFF))[0])
+    codes = np.stack([both >> 40, both >> 20 & 0xFFFFF, both & 0xFFFFF], axis=1)
+    z = _logit(net, _pooled(net, _embedded(net, codes))[0])
     shift = net.shift.get(language(words) if net.shift else "", net.shift.get("", 0.0))
     return float(1 / (1 + np.exp(-np.clip(z - shift, -30, 30))))
 
