@@ -328,3 +328,18 @@ def bridges(spark, d, rels=None, between=None):
     if rels is None:
         rels, between = scores(spark, d)
     return settle(community.bridge_candidates(rels, community.articulation_points(rels), between, community.modularity_communities(rels)))
+
+
+@query(f"""WITH {A.OWNERSHIP_SQL}, adj AS (SELECT source_id AS node FROM ownership UNION ALL SELECT target_id FROM ownership), deg AS (SELECT node, count(*) AS degree FROM adj GROUP BY 1)
+SELECT node AS entity_id, degree FROM deg ORDER BY degree DESC, node LIMIT 10""")
+def hub_preview(spark, d):
+    return graph.adjacency(A.ownership(spark, d)).groupBy(F.col("node").alias("entity_id")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "entity_id").limit(10)
+
+
+@query()
+def full_analysis(spark, d):
+    """Counts, degrees and density, components and communities of the backbone as one row."""
+    rels = settle(A.backbone(spark, d))
+    labels = graph.components(graph.neighbours(rels)).agg(F.countDistinct("component").alias("n_components"))
+    groups = community.modularity_communities(rels).agg(F.countDistinct("community").alias("n_communities"))
+    return graph.degree_statistics(rels).crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(groups))

@@ -172,3 +172,57 @@ def upsert_counts(spark, d):
 def synthetic_generate(spark, d):
     ents, rels = C.generate(spark)
     return C.valid_edges(rels, ents)
+
+
+@query()
+def schema_health(spark, d):
+    from skein.sources import schemas
+
+    return schemas.health(spark)
+
+
+@query(f"""WITH {A.ENTITIES_SQL}, {A.OWNERSHIP_SQL} SELECT o.* FROM ownership o LEFT JOIN entities s ON s.entity_id = o.source_id LEFT JOIN entities t ON t.entity_id = o.target_id
+WHERE coalesce(s.entity_type IN ('Location', 'Organization'), TRUE) AND coalesce(t.entity_type IN ('Location', 'Organization'), TRUE)""")
+def type_visible_edges(spark, d):
+    """Edges whose known ends are of the chosen types; unknown ends hide nothing."""
+    types = A.entities(spark, d).select("entity_id", F.col("entity_type").isin("Location", "Organization").alias("_ok"))
+    rels = A.ownership(spark, d)
+    s, t = types.select(F.col("entity_id").alias("_s"), F.col("_ok").alias("_sk")), types.select(F.col("entity_id").alias("_t"), F.col("_ok").alias("_tk"))
+    seen = rels.join(s, F.col("source_id") == F.col("_s"), "left").join(t, F.col("target_id") == F.col("_t"), "left")
+    return seen.where(F.coalesce("_sk", F.lit(True)) & F.coalesce("_tk", F.lit(True))).select(*rels.columns)
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase' AND list_contains(['user-00001', 'user-00002'], printf('user-%05d', user_id))")
+def timeline_filter(spark, d):
+    ev = A.table(spark, d, "events").where("event_type = 'purchase'").withColumn("_e", A.entity_id("user", "user_id"))
+    return ev.where(F.array_contains(F.array(F.lit("user-00001"), F.lit("user-00002")), F.col("_e"))).select("event_id", "event_type", "value")
+
+
+@query("SELECT p_partkey, printf('vehicle-%05d', p_partkey + 99000) AS vehicle_id, regexp_matches(printf('vehicle-%05d', p_partkey + 99000), '^vehicle-[0-9]{5,}$') AS valid FROM part")
+def generated_ids(spark, d):
+    vid = F.format_string("vehicle-%05d", F.col("p_partkey") + 99000)
+    return A.table(spark, d, "part").select("p_partkey", vid.alias("vehicle_id"), vid.rlike("^vehicle-[0-9]{5,}$").alias("valid"))
+
+
+@query(f"""WITH {A.OWNERSHIP_SQL}, {A.ENTITIES_SQL}, adj AS (SELECT source_id AS node, target_id AS nbr FROM ownership UNION ALL SELECT target_id, source_id FROM ownership)
+SELECT node AS entity_id, count(DISTINCT entity_type) AS neighbour_types, count(DISTINCT nbr) AS neighbours FROM adj JOIN entities ON entity_id = nbr GROUP BY 1""")
+def neighbour_types(spark, d):
+    from skein.operators import graph
+
+    ents = A.entities(spark, d).select(F.col("entity_id").alias("nbr"), "entity_type")
+    return graph.adjacency(A.ownership(spark, d)).join(ents, "nbr").groupBy(F.col("node").alias("entity_id")).agg(F.countDistinct("entity_type").alias("neighbour_types"), F.countDistinct("nbr").alias("neighbours"))
+
+
+@query(f"WITH {A.OWNERSHIP_SQL} SELECT * FROM ownership WHERE relationship_type = 'LOCATED_AT' AND relationship_id IN (SELECT relationship_id FROM ownership ORDER BY relationship_id LIMIT 500)")
+def typed_pairs_by_id(spark, d):
+    own = A.ownership(spark, d)
+    chosen = own.select("relationship_id").orderBy("relationship_id").limit(500)
+    return own.where("relationship_type = 'LOCATED_AT'").join(F.broadcast(chosen), "relationship_id", "left_semi")
+
+
+@query(f"WITH {A.ENTITIES_SQL} SELECT e.* FROM entities e WHERE entity_id IN (SELECT printf('nation-%05d', n_nationkey) FROM nation WHERE n_regionkey = 2) OR entity_id = 'region-00002'")
+def case_lookup(spark, d):
+    from skein.operators import graph
+
+    core = graph.case_members(A.ownership(spark, d).where("relationship_type = 'ASSOCIATED_WITH'"), "region-00002")
+    return A.entities(spark, d).join(core, "entity_id", "left_semi")

@@ -166,3 +166,18 @@ def latency_median_rule(spark, d):
 def interpretation_confidence(spark, d):
     g = A.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("_s"))
     return g.select("lang", "n", S.interpretation_confidence(F.col("_s"), F.lit(1)).alias("confidence"))
+
+
+@query("WITH g AS (SELECT lang, count(*) FILTER (quality = 1 AND n_chars >= 500) AS tp, count(*) FILTER (quality = 0 AND n_chars >= 500) AS fp, count(*) FILTER (quality = 1 AND n_chars < 500) AS fn, avg(n_chars) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT (2 * tp >= 0.8 * (2 * tp + fp + fn)) AS good, count(*) AS n, round(avg(c), 4) AS mean_value FROM g GROUP BY 1")
+def confidence_calibration(spark, d):
+    """Mean of a value over the groups with an F1 of 0.8 or more, and over the others."""
+    both = A.table(spark, d, "labels").join(A.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    pairs = both.select("lang", "n_chars", (F.col("quality") == 1).alias("expected"), (F.col("n_chars") >= 500).alias("predicted"))
+    f1 = checks.precision_recall(pairs, "lang").select("lang", (F.col("tp") * 2 * 10 >= 8 * (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("good"))
+    return f1.join(pairs.groupBy("lang").agg(F.avg("n_chars").alias("_c")), "lang").groupBy("good").agg(F.count("*").alias("n"), F.round(F.avg("_c"), 4).alias("mean_value"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]+Z')) AS times, substr(text, 1, 120) AS preview FROM documents")
+def claims_in_text(spark, d):
+    docs = _documents(spark, d)
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("numbers"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]+Z"), F.lit(0))).alias("times"), F.substring("text", 1, 120).alias("preview"))
