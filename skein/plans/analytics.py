@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import centrality, community, derived, strength, temporal, traverse
+from skein.operators import centrality, derived, strength, temporal, traverse
 from skein.operators.base import settle
 from skein.plans import graphs
 from skein.sources import adapters as A
@@ -88,65 +88,60 @@ def window_counts(spark, d):
 
 
 def _all(spark, d):
-    rels, between = graphs.scores(spark, d)
-    bridge = graphs.bridges(spark, d, rels, between)
-    burst = settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS))
-    chains = settle(traverse.transfer_chains(rels))
-    return rels, between, bridge, burst, chains
+    """The backbone's analytics, the activity's bursts and the backbone's chains."""
+    x = graphs.scored(spark, d)
+    return x, settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS)), settle(traverse.transfer_chains(x.rels))
 
 
 @query()
 def indicators(spark, d):
-    _, between, bridge, burst, chains = _all(spark, d)
-    return derived.indicators(between, bridge, burst, chains)
+    x, burst, chains = _all(spark, d)
+    return derived.indicators(x.between, x.bridges, burst, chains)
 
 
 @query()
 def findings(spark, d):
-    rels, _, bridge, burst, chains = _all(spark, d)
-    return derived.findings(bridge, burst, chains, strength.relationship_strength(rels))
+    x, burst, chains = _all(spark, d)
+    return derived.findings(x.bridges, burst, chains, strength.relationship_strength(x.rels))
 
 
 @query()
 def evidence_items(spark, d):
-    rels, between, bridge, burst, chains = _all(spark, d)
-    return derived.evidence_items(A.nations(spark, d), rels, chains, derived.indicators(between, bridge, burst, chains))
+    x, burst, chains = _all(spark, d)
+    return derived.evidence_items(A.nations(spark, d), x.rels, chains, derived.indicators(x.between, x.bridges, burst, chains))
 
 
 @query()
 def snapshot_bundle(spark, d):
     """Subgraph, findings and evidence of one root as rows of one table."""
-    rels, between, bridge, burst, chains = _all(spark, d)
+    x, burst, chains = _all(spark, d)
     root = spark.createDataFrame([("nation-00003",)], "entity_id string")
-    nodes, edges = traverse.bounded_subgraph(rels, A.nations(spark, d), root, 2)
-    found = derived.findings(bridge, burst, chains, strength.relationship_strength(rels))
-    items = derived.evidence_items(nodes, edges, chains, derived.indicators(between, bridge, burst, chains))
+    nodes, edges = traverse.bounded_subgraph(x.rels, A.nations(spark, d), root, 2)
+    found = derived.findings(x.bridges, burst, chains, strength.relationship_strength(x.rels))
+    items = derived.evidence_items(nodes, edges, chains, derived.indicators(x.between, x.bridges, burst, chains))
     part = lambda df, name, key: df.select(F.lit(name).alias("part"), F.col(key).alias("id"))
     return part(nodes, "entity", "entity_id").unionByName(part(edges, "relationship", "relationship_id")).unionByName(part(found, "finding", "finding_id")).unionByName(part(items, "evidence", "evidence_id"))
 
 
 @query()
 def entity_profile(spark, d):
-    rels, between, bridge, burst, chains = _all(spark, d)
-    labels = settle(community.modularity_communities(rels))
-    cuts = settle(community.articulation_points(rels))
-    scored = between.join(centrality.degree_centrality(rels, A.nations(spark, d)), "entity_id")
-    return derived.profile(rels, scored, labels, cuts, derived.indicators(between, bridge, burst, chains), "nation-00003")
+    x, burst, chains = _all(spark, d)
+    facts = x.between.join(centrality.degree_centrality(x.rels, A.nations(spark, d)), "entity_id")
+    return derived.profile(x.rels, facts, x.labels, x.cuts, derived.indicators(x.between, x.bridges, burst, chains), "nation-00003")
 
 
 @query()
 def explain_lookup(spark, d):
-    """Explanations of a bridge, a chain, a burst, a strength and a community, uniform records."""
-    rels, between, bridge, burst, chains = _all(spark, d)
-    labels = settle(community.modularity_communities(rels))
-    tied = strength.relationship_strength(rels)
+    """Explanations of a bridge, a chain, a burst, a strength, a community and a centrality, uniform records."""
+    x, burst, chains = _all(spark, d)
+    tied = strength.relationship_strength(x.rels)
     parts = [
-        derived.explain("bridge", "nation-00003", F.concat(F.lit("connects groups by "), "metric"), bridge, F.col("entity_id") == "nation-00003", F.col("evidence"), "bridge_candidates", {"k": "5"}),
+        derived.explain("bridge", "nation-00003", F.concat(F.lit("connects groups by "), "metric"), x.bridges, F.col("entity_id") == "nation-00003", F.col("evidence"), "bridge_candidates", {"k": "5"}),
         derived.explain("chain", "nation-00003", F.format_string("%d transfers", "hop_count"), chains.orderBy("hop_count", "path"), F.contains("path", F.lit("nation-00003")), F.col("evidence"), "transfer_chains", {"min_hops": "2", "max_hops": "4"}),
         derived.explain("burst", "user-00001", F.format_string("%d in one window", "observed"), burst.orderBy("win"), F.col("entity") == "user-00001", F.col("win"), "bursts", {"hours": "24", "z": "2"}),
         derived.explain("strength", "nation-00003", F.format_string("strength %.4f", "interaction_strength"), tied.orderBy("relationship_id"), F.col("source_id") == "nation-00003", F.col("relationship_id"), "relationship_strength", {}),
-        derived.explain("community", "nation-00003", F.concat(F.lit("member of "), "community"), labels, F.col("node") == "nation-00003", F.col("community"), "modularity_communities", {}),
-        derived.explain("centrality", "nation-00003", F.format_string("betweenness %.4f", "betweenness"), between, F.col("entity_id") == "nation-00003", F.col("entity_id"), "betweenness", {}),
+        derived.explain("community", "nation-00003", F.concat(F.lit("member of "), "community"), x.labels, F.col("node") == "nation-00003", F.col("community"), "modularity_communities", {}),
+        derived.explain("centrality", "nation-00003", F.format_string("betweenness %.4f", "betweenness"), x.between, F.col("entity_id") == "nation-00003", F.col("entity_id"), "betweenness", {}),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import centrality, community, graph, traverse
@@ -303,31 +306,34 @@ def label_propagation(spark, d):
     return community.label_propagation(A.backbone(spark, d), A.nations(spark, d), rounds=6)
 
 
-def _labels(spark, d):
-    return settle(community.modularity_communities(A.backbone(spark, d)))
-
+@dataclass
+class Scored:
+    """The backbone with its analytics, each settled once."""
 
-@query()
-def modularity_communities(spark, d):
-    return community.community_table(A.backbone(spark, d), _labels(spark, d))
+    rels: DataFrame
+    between: DataFrame
+    cuts: DataFrame
+    labels: DataFrame
+    bridges: DataFrame
 
 
-@query()
-def bridge_candidates(spark, d):
-    return bridges(spark, d)
+def scored(spark, d) -> Scored:
+    rels = settle(A.backbone(spark, d))
+    dist = centrality.distances(rels)
+    between = settle(centrality.betweenness(rels, dist, dist.select("src").distinct().count()))
+    cuts, labels = settle(community.articulation_points(rels)), community.modularity_communities(rels)
+    return Scored(rels, between, cuts, labels, settle(community.bridge_candidates(rels, cuts, between, labels)))
 
 
-def scores(spark, d):
-    """betweenness of the backbone's nodes, settled."""
+@query()
+def modularity_communities(spark, d):
     rels = settle(A.backbone(spark, d))
-    dist = centrality.distances(rels)
-    return rels, settle(centrality.betweenness(rels, dist, dist.select("src").distinct().count()))
+    return community.community_table(rels, community.modularity_communities(rels))
 
 
-def bridges(spark, d, rels=None, between=None):
-    if rels is None:
-        rels, between = scores(spark, d)
-    return settle(community.bridge_candidates(rels, community.articulation_points(rels), between, community.modularity_communities(rels)))
+@query()
+def bridge_candidates(spark, d):
+    return scored(spark, d).bridges
 
 
 @query(f"""WITH {A.OWNERSHIP_SQL}, adj AS (SELECT source_id AS node FROM ownership UNION ALL SELECT target_id FROM ownership), deg AS (SELECT node, count(*) AS degree FROM adj GROUP BY 1)

@@ -88,3 +88,31 @@ def test_chains_have_an_edge_a_hop(spark):
 def test_depth_is_bounded(spark):
     with pytest.raises(ValueError):
         traverse.neighbourhood(rels(spark, PATH), ids(spark, ["a"]), 7)
+
+
+def test_indicators_are_ordered_and_explained(spark):
+    from pyspark.sql import functions as F
+
+    from skein.operators import derived
+
+    r = rels(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")])
+    dist = centrality.distances(r)
+    between = centrality.betweenness(r, dist, 5)
+    bridge = community.bridge_candidates(r, community.articulation_points(r), between, community.modularity_communities(r))
+    burst = spark.createDataFrame([], "entity string, indicator_type string, win long, start_us long, observed long, mean double, std double, threshold double")
+    found = derived.indicators(between, bridge, burst, traverse.transfer_chains(r)).collect()
+    rank = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
+    keys = [(rank[x["severity"]], -x["score"], x["indicator_id"]) for x in found]
+    assert keys == sorted(keys) and {x["indicator_type"] for x in found} == {"high_betweenness", "bridge_candidate", "transaction_chain"}
+    none = derived.explain("bridge", "z", F.lit("x"), bridge, F.col("entity_id") == "z", F.col("evidence"), "bridge_candidates", {"k": "5"}).first()
+    assert none["reason"] == "no bridge holds for z" and none["evidence"] == ""
+
+
+def test_findings_have_stable_ids(spark):
+    from skein.operators import derived
+
+    r = rels(spark, [("a", "b"), ("b", "c")])
+    bridge = spark.createDataFrame([("b", "articulation_point", 0.6)], "entity_id string, metric string, score double")
+    burst = spark.createDataFrame([("a", 3, 9)], "entity string, win long, observed long")
+    one, two = (sorted(x["finding_id"] for x in derived.findings(bridge, burst, traverse.transfer_chains(x), strength.relationship_strength(x)).collect()) for x in (r, r.repartition(3)))
+    assert one == two and len(one) == 3
