@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.base import settle
-from skein.operators.graph import adjacency, components, neighbours, simple_edges
+from skein.operators.graph import adjacency, components, neighbours, simple_edges, sizes_and_firsts
 
 
 def label_propagation(rels: DataFrame, nodes: DataFrame, rounds: int = 12, key: str = "entity_id") -> DataFrame:
@@ -59,8 +59,7 @@ def community_table(rels: DataFrame, labels: DataFrame, sample: int = 5) -> Data
     a, b = (labels.select(F.col("node").alias(n), F.col("community").alias(c)) for n, c in (("_s", "cs"), ("_t", "ct")))
     inside = rels.join(a, F.col("source_id") == F.col("_s")).join(b, F.col("target_id") == F.col("_t")).where("cs = ct")
     edges = inside.groupBy(F.col("cs").alias("community")).agg(F.count("*").alias("internal_edges"), F.countDistinct(F.least("source_id", "target_id"), F.greatest("source_id", "target_id")).alias("simple_edges"))
-    ranked = labels.withColumn("_k", F.row_number().over(Window.partitionBy("community").orderBy("node")))
-    sizes = ranked.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_k") <= sample, F.col("node")))), ",").alias("members"))
+    sizes = sizes_and_firsts(labels, "community", sample)
     room = F.col("size") * (F.col("size") - 1) / 2
     per = sizes.join(edges, "community", "left").select("community", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), F.coalesce("simple_edges", F.lit(0)).alias("simple_edges"), "members")
     return per.withColumns({d: F.when(room > 0, F.round(F.col(c) / room, 6)).otherwise(0.0) for d, c in (("density", "internal_edges"), ("simple_density", "simple_edges"))})

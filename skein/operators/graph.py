@@ -98,9 +98,14 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
+def sizes_and_firsts(labels: DataFrame, group: str, sample: int = 5) -> DataFrame:
+    """(group, size, members): members are the first ids, comma-joined. The rank filter is pushed below the
+    shuffle, so a giant group sends a few ids from each task and is not sorted in one."""
+    firsts = labels.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("node"))).where(F.col("_k") <= sample)
+    named = firsts.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    return labels.groupBy(group).agg(F.count("*").alias("size")).join(named, group)
+
+
 def component_sizes(labels: DataFrame, sample: int = 5) -> DataFrame:
-    """Components by their smallest member: index, size and the first members."""
-    w = Window.partitionBy("component").orderBy("node")
-    ranked = labels.withColumn("_k", F.row_number().over(w))
-    firsts = ranked.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_k") <= sample, F.col("node")))), ",").alias("members"))
-    return firsts
+    """Components by their smallest member: size and the first members."""
+    return sizes_and_firsts(labels, "component", sample)

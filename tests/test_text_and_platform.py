@@ -72,3 +72,9 @@ def test_stream_counts(spark, tmp_path):
     q = bursts.window_counts(stream, "user").writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counted").agg(F.sum("n")).first()[0] == 100
+
+
+def test_upper_median(spark):
+    rows = [("one", 5.0)] + [("same", 2.0)] * 4 + [("even", float(x)) for x in (1, 2, 3, 4)] + [("odd", float(x)) for x in (9, 1, 5)] + [("skew", 0.0)] * 5 + [("skew", 1e6)] * 5
+    got = {r["g"]: r["upper_median"] for r in checks.latency(spark.createDataFrame(rows, "g string, v double"), "g", "v", cells=3).collect()}
+    assert got == {"one": 5.0, "same": 2.0, "even": 3.0, "odd": 5.0, "skew": 1e6}
