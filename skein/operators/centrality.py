@@ -42,7 +42,10 @@ def closeness(dist: DataFrame, n: int) -> DataFrame:
 
 
 def betweenness(rels: DataFrame, dist: DataFrame, n: int) -> DataFrame:
-    """Shares of shortest paths through each node, ends excluded, over all pairs; dependencies are summed from the far end, level by level."""
+    """Shares of shortest paths through each of the n nodes, ends excluded, over all pairs whose start is a source of dist.
+
+    Dependencies are summed from the far end, level by level.
+    """
     adj = neighbours(rels)
     deepest = dist.agg(F.max("dist")).first()[0] or 0
     steps = settle(
@@ -59,9 +62,13 @@ def betweenness(rels: DataFrame, dist: DataFrame, n: int) -> DataFrame:
         rest = dist.where(F.col("dist") == d).select("src", "node")
         level = settle(rest.join(given, ["src", "node"], "left").select("src", "node", F.coalesce("delta", F.lit(0.0)).alias("delta")))
         total = total.unionByName(level)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    sources = dist.select(F.col("src").alias("_src")).distinct()
+    k = sources.count()
+    of_source, of_other = (1.0 / (x * (n - 2)) if x > 0 and n > 2 else 0.0 for x in (k - 1, k))
     per = total.groupBy("node").agg(F.sum("delta").alias("sum"))
-    return dist.select(F.col("src").alias("entity_id")).distinct().join(per, F.col("entity_id") == F.col("node"), "left").select("entity_id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
+    ids = adj.select(F.col("u").alias("entity_id")).unionByName(sources.select(F.col("_src").alias("entity_id"))).distinct()
+    scale = F.when(F.col("_src").isNotNull(), of_source).otherwise(of_other)
+    return ids.join(per, F.col("entity_id") == F.col("node"), "left").join(sources, F.col("entity_id") == F.col("_src"), "left").select("entity_id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
 def pagerank(rels: DataFrame, nodes: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, key: str = "entity_id") -> DataFrame:

@@ -88,9 +88,9 @@ def window_counts(spark, d):
 
 
 def _all(spark, d):
-    """The backbone's analytics, the activity's bursts and the backbone's chains."""
+    """The analytics of all trade, the activity's bursts and the chains of all trade, which only top-k reads."""
     x = graphs.scored(spark, d)
-    return x, settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS)), settle(traverse.transfer_chains(x.rels))
+    return x, settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS)), traverse.transfer_chains(x.rels)
 
 
 @query()

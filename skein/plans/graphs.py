@@ -308,7 +308,7 @@ def label_propagation(spark, d):
 
 @dataclass
 class Scored:
-    """The backbone with its analytics, each settled once."""
+    """All trade with its analytics, each settled once."""
 
     rels: DataFrame
     between: DataFrame
@@ -317,8 +317,13 @@ class Scored:
     bridges: DataFrame
 
 
+def _distances(spark, d, rels):
+    """Distances from each nation to the whole graph, and the graph's number of nodes."""
+    return centrality.distances(rels, A.nations(spark, d)), graph.endpoints(rels).distinct().count()
+
+
 def scored(spark, d) -> Scored:
-    rels = settle(A.backbone(spark, d))
+    rels = settle(A.trade_edges(spark, d))
     dist = centrality.distances(rels)
     between = settle(centrality.betweenness(rels, dist, dist.select("src").distinct().count()))
     cuts, labels = settle(community.articulation_points(rels)), community.modularity_communities(rels)
@@ -327,7 +332,7 @@ def scored(spark, d) -> Scored:
 
 @query()
 def modularity_communities(spark, d):
-    rels = settle(A.backbone(spark, d))
+    rels = settle(A.trade_edges(spark, d))
     return community.community_table(rels, community.modularity_communities(rels))
 
 
@@ -336,6 +341,64 @@ def bridge_candidates(spark, d):
     return scored(spark, d).bridges
 
 
+# The queries above that have SQL run on the backbone; these run the same operators on every edge.
+@query()
+def transfer_chains_whole(spark, d):
+    return traverse.transfer_chains(settle(A.trade_edges(spark, d)))
+
+
+@query()
+def all_pairs_distance_whole(spark, d):
+    return _distances(spark, d, settle(A.network(spark, d)))[0].select("src", "node", "dist")
+
+
+@query()
+def closeness_whole(spark, d):
+    return centrality.closeness(*_distances(spark, d, settle(A.network(spark, d))))
+
+
+@query()
+def betweenness_whole(spark, d):
+    rels = settle(A.network(spark, d))
+    return centrality.betweenness(rels, *_distances(spark, d, rels))
+
+
+@query()
+def bfs_neighborhood_whole(spark, d):
+    return traverse.neighbourhood(settle(A.network(spark, d)), _root(spark), 3)
+
+
+@query()
+def shortest_path_whole(spark, d):
+    return traverse.shortest_paths(settle(A.network(spark, d)), "nation-00003").withColumn("path", F.array_join("path", ">"))
+
+
+@query()
+def path_enriched_whole(spark, d):
+    rels = settle(A.network(spark, d))
+    return traverse.enriched_path(rels, A.entities(spark, d), traverse.shortest_paths(rels, "nation-00003"), ["TRANSFERRED_TO"])
+
+
+@query()
+def connected_components_whole(spark, d):
+    return graph.component_sizes(graph.components(graph.neighbours(settle(A.network(spark, d)))))
+
+
+@query()
+def pagerank_fixed_iters_whole(spark, d):
+    return centrality.pagerank(settle(A.network(spark, d)), A.entities(spark, d), rounds=10, tolerance=None)
+
+
+@query()
+def articulation_points_whole(spark, d):
+    return community.articulation_points(settle(A.network(spark, d)))
+
+
+@query()
+def label_propagation_whole(spark, d):
+    return community.label_propagation(settle(A.network(spark, d)), A.entities(spark, d), rounds=6)
+
+
 @query(f"""WITH {A.OWNERSHIP_SQL}, adj AS (SELECT source_id AS node FROM ownership UNION ALL SELECT target_id FROM ownership), deg AS (SELECT node, count(*) AS degree FROM adj GROUP BY 1)
 SELECT node AS entity_id, degree FROM deg ORDER BY degree DESC, node LIMIT 10""")
 def hub_preview(spark, d):
@@ -344,8 +407,8 @@ def hub_preview(spark, d):
 
 @query()
 def full_analysis(spark, d):
-    """Counts, degrees and density, components and communities of the backbone as one row."""
-    rels = settle(A.backbone(spark, d))
+    """Counts, degrees and density, components and communities of all trade as one row."""
+    rels = settle(A.trade_edges(spark, d))
     labels = graph.components(graph.neighbours(rels)).agg(F.countDistinct("component").alias("n_components"))
     groups = community.modularity_communities(rels).agg(F.countDistinct("community").alias("n_communities"))
     return graph.degree_statistics(rels).crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(groups))

@@ -85,6 +85,14 @@ both_ways AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links)
 nodes AS (SELECT DISTINCT u AS id FROM both_ways)"""
 
 
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of trade(), as TRANSFERRED_TO edges."""
+    return trade(spark, sf_dir).select(
+        row_id(F.col("source_id"), F.col("target_id")).alias("relationship_id"), "source_id", "target_id", F.lit("TRANSFERRED_TO").alias("relationship_type"),
+        F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0.9).alias("confidence"),
+    )
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(entity_id("nation", "n_nationkey").alias("entity_id"), F.lit("Location").alias("entity_type"), F.col("n_name").alias("name"))
 
@@ -114,6 +122,13 @@ OWNERSHIP_SQL = """own0 AS (
 ownership AS (SELECT 'rel-' || substr(sha256(concat_ws('|', source_id, target_id, relationship_type)), 1, 16) AS relationship_id, * FROM own0)"""
 
 
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of payments() and ownership()."""
+    cols = ("relationship_id", "source_id", "target_id", "relationship_type")
+    own = ownership(spark, sf_dir).select(*cols, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0.9).alias("confidence"))
+    return payments(spark, sf_dir).select(*cols, F.col("ts").cast("timestamp_ntz").alias("ts"), "confidence").unionByName(own)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified view of the entities of the ownership graph."""
     def one(name, prefix, key, kind, label):
