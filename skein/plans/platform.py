@@ -220,6 +220,15 @@ def typed_pairs_by_id(spark, d):
     return own.where("relationship_type = 'LOCATED_AT'").join(F.broadcast(chosen), "relationship_id", "left_semi")
 
 
+@query()
+def typed_pairs_by_id_whole(spark, d):
+    """LOCATED_AT edges of a given list of ids: those of customers with an order of highest priority."""
+    own, orders = A.ownership(spark, d), A.table(spark, d, "orders").where("o_orderpriority LIKE '1-%'")
+    urgent = A.table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    given = urgent.select(A.row_id(A.entity_id("customer", "c_custkey"), A.entity_id("nation", "c_nationkey"), F.lit("LOCATED_AT")).alias("relationship_id"))
+    return own.where("relationship_type = 'LOCATED_AT'").join(given, "relationship_id", "left_semi")
+
+
 @query(f"WITH {A.ENTITIES_SQL} SELECT e.* FROM entities e WHERE entity_id IN (SELECT printf('nation-%05d', n_nationkey) FROM nation WHERE n_regionkey = 2) OR entity_id = 'region-00002'")
 def case_lookup(spark, d):
     from skein.operators import graph

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.conftest import SF
+from tests.conftest import SF, same
 from tests.test_graphs import ids, rels
 
 from skein.operators import centrality
@@ -34,3 +34,15 @@ def test_betweenness_from_some_sources(spark):
     got = {x[0]: x[1] for x in centrality.betweenness(r, centrality.distances(r, ids(spark, ["a", "b"])), 4).collect()}
     # b lies on a-c, a-d of the pairs that start at a; c on a-d and b-d of those that start at a and b
     assert got == {"a": 0.0, "b": pytest.approx(1.0), "c": pytest.approx(0.5), "d": 0.0}
+
+
+def test_all_customers_are_resolved(spark, sql):
+    n = sql("SELECT count(*) AS n FROM customer")["n"][0]
+    for name, kind in (("resolve_candidates_whole", "Person"), ("resolve_attached_whole", "Person")):
+        assert catalogue.QUERIES[name](spark, SF).where(f"entity_type = '{kind}'").select("mention_id").distinct().count() == n
+
+
+def test_given_ids_are_all_found(spark, sql):
+    expected = sql("SELECT DISTINCT printf('customer-%05d', c_custkey) AS source_id, printf('nation-%05d', c_nationkey) AS target_id FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1-%'")
+    got = catalogue.QUERIES["typed_pairs_by_id_whole"](spark, SF).select("source_id", "target_id").toPandas()
+    assert same(got, expected) and len(got)
