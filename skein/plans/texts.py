@@ -98,6 +98,12 @@ def mentions_per_document(spark, d):
     return text.extract_mentions(docs, rules=tuple(r for r in text.RULES if r.name == "person_titlecase")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def mentions_per_document_whole(spark, d):
+    """The same count over all documents, those with other than ASCII letters too."""
+    return text.extract_mentions(_documents(spark, d), rules=tuple(r for r in text.RULES if r.name == "person_titlecase")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def cue_relations(spark, d):
     docs = _documents(spark, d)

@@ -1,5 +1,7 @@
 """Queries that do the whole job, against brute force."""
 
+import re
+
 import pytest
 
 from tests.conftest import SF, same
@@ -46,3 +48,10 @@ def test_given_ids_are_all_found(spark, sql):
     expected = sql("SELECT DISTINCT printf('customer-%05d', c_custkey) AS source_id, printf('nation-%05d', c_nationkey) AS target_id FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1-%'")
     got = catalogue.QUERIES["typed_pairs_by_id_whole"](spark, SF).select("source_id", "target_id").toPandas()
     assert same(got, expected) and len(got)
+
+
+def test_mentions_are_counted_in_all_documents(spark, sql):
+    docs = sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+    expected = {int(i): n for i, t in docs.itertuples(index=False) if (n := len(re.findall(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", t)))}
+    assert any(not t.isascii() for i, t in docs.itertuples(index=False) if i in expected)
+    assert dict(map(tuple, catalogue.QUERIES["mentions_per_document_whole"](spark, SF).collect())) == expected
