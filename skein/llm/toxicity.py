@@ -28,8 +28,8 @@ WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
 #: Letters that forms of a word share, and hashes of a word.
 PREFIX, HASHES = 4, 3
-#: At most so many labelled texts, of at most so many characters each, are used in training.
-SAMPLE_ROWS, SAMPLE_CHARS = 5000, 16000
+#: At most so many labelled texts are used in training, whole.
+SAMPLE_ROWS = 5000
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with as was on are by this it an be from or".split(),
@@ -134,8 +134,13 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int =
     if not 0 < y.sum() < len(y):
         net.out[:] = 0
         return net
-    words = [words_of(t) for t in texts]
-    coded = [np.array([slots(w, rows) for w in ws], dtype=np.int64).reshape(-1, HASHES) for ws in words]
+    coded, langs, known = [], [], {}
+    for t in texts:  # the words themselves are not kept
+        ws = words_of(t)
+        coded.append(np.array([known.get(w) or known.setdefault(w, slots(w, rows)) for w in ws], dtype=np.int32).reshape(-1, HASHES))
+        langs.append(language(ws))
+        if len(known) > 300_000:
+            known.clear()
     fold = np.zeros(len(y), bool)
     for v in (0, 1):
         fold[np.flatnonzero(y == v)[4::5]] = True
@@ -183,14 +188,14 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int =
     held = np.flatnonzero(fold)
     if not 0 < y[held].sum() < len(held):
         held = np.arange(len(y))
-    _calibrate(net, [words[i] for i in held], [coded[i] for i in held], y[held])
+    _calibrate(net, [langs[i] for i in held], [coded[i] for i in held], y[held])
     return net
 
 
-def _calibrate(net: Network, words: list[list[str]], coded: list[np.ndarray], y: np.ndarray) -> None:
+def _calibrate(net: Network, langs: list[str], coded: list[np.ndarray], y: np.ndarray) -> None:
     """For each language the logit that separates the labels best, drawn to the common one where examples are few."""
     logits = np.array([_logit(net, _pooled(net, _embedded(net, c))[0]) for c in coded])
-    langs = np.array([language(w) for w in words])
+    langs = np.array(langs)
 
     def best(rows: np.ndarray) -> float:
         order = np.argsort(logits[rows])
@@ -224,10 +229,10 @@ def score(net: Network, text: str) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `rows` labelled documents, those of smallest hash; eligible: which ids may be used."""
+    """Whole texts and labels of at most `rows` labelled documents, those of smallest hash; eligible: which ids may be used."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(eligible(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = id_and_text(docs, id_col, text_col).select("doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    some = id_and_text(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows)
     got = {r[0]: r[1:] for r in sorted(some.collect())}  # at most 2 * rows, the second half for repeated rows
     return [t for t, _ in got.values()], [m for _, m in got.values()]
 

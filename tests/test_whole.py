@@ -7,6 +7,7 @@ import pytest
 from tests.conftest import SF, same
 from tests.test_graphs import ids, rels
 
+from skein.llm import toxicity
 from skein.operators import centrality
 from skein.plans import catalogue
 
@@ -55,3 +56,11 @@ def test_mentions_are_counted_in_all_documents(spark, sql):
     expected = {int(i): n for i, t in docs.itertuples(index=False) if (n := len(re.findall(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", t)))}
     assert any(not t.isascii() for i, t in docs.itertuples(index=False) if i in expected)
     assert dict(map(tuple, catalogue.QUERIES["mentions_per_document_whole"](spark, SF).collect())) == expected
+
+
+def test_training_reads_whole_texts(spark):
+    long = "calm water " * 3000 + "villain"
+    docs = spark.createDataFrame([(1, long), (2, "calm water")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    texts, marks = toxicity.fit(docs, labels, "toxic", lambda c: c.isNotNull())
+    assert sorted(zip(texts, marks)) == sorted([(long, 1), ("calm water", 0)])
