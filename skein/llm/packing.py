@@ -3,12 +3,15 @@
 The lengths of all pieces make a histogram of at most `capacity` numbers, whatever the
 corpus's size. A configuration is a multiset of lengths that fits one sequence; the
 linear program asks for the fewest configurations that cover the histogram. It is solved
-by multiplicative weights: an item's weight falls as it is covered, and a knapsack
-dynamic program over the weights prices the best configurations of each round. The
-fractional solution is rounded down, solved again for what is left, and the last few
-pieces, a number that depends on `capacity` alone, are placed best-fit. The plan is a
-small table of (length, first rank, count, sequences, offset); Spark ranks the pieces of
-each length and reads their places from it.
+by multiplicative weights: the weight of a length's constraint begins as its share of all
+tokens and falls as the length is covered; weight by piece is its price, and a knapsack
+dynamic program over the prices finds the best configurations of each round. Prices
+divided by the knapsack's optimum are a dual solution, so each round also gives a lower
+bound. The fuller half of the fractional solution is rounded down (up where that is not
+half) and the program repeated on what is left. Once no more pieces are left than there are distinct lengths (at most
+`capacity`), those are placed best-fit. The plan is a small table of (length, first rank,
+count, sequences, offset); Spark ranks the pieces of each length and reads their places
+from it.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 from skein.llm.common import SLICE, cut, id_and_text, table, tokenizer_path
 
 CAPACITY = 2048
-#: Chunks of which a worker remembers the ids.
-REMEMBERED = 600_000
+#: Chunks of which a worker remembers the ids, twice so many at most, and the characters of the longest one remembered.
+REMEMBERED, LONGEST = 250_000, 48
+#: Share of its scarcest length that a configuration covers at once, fall of a weight by its cover, configurations taken at one
+#: round's prices, share of a solution that is placed (its fullest configurations first) before the program is solved again.
+STEP, FALL, TRIES, SHARE = 0.25, 0.25, 64, 0.5
 #: White space besides the six characters that every library agrees on.
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: One word of Latin letters with at most a stop or a comma.
@@ -54,8 +60,8 @@ class ChunkEncoder:
         parts["normalizer"] = None
         parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.model = Tokenizer.from_str(json.dumps(parts))
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks met lately, and those before them
+        self.older: dict[str, bytes] = {}
         self.stops = {"": b""} | dict(zip(".,", self.ids(self.whole, [".", ","])))
 
     @staticmethod
@@ -63,23 +69,27 @@ class ChunkEncoder:
         """Little-endian 32-bit ids of each text."""
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Have the ids of these chunks at hand."""
+    def encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks."""
         simple = [(x, m[1].lower(), m[2]) for x in new if (m := SIMPLE.fullmatch(x))]
-        words = list({w for _, w, _ in simple}.difference(self.words))
-        self.words.update(zip(words, self.ids(self.model, words)))
-        for x, w, stop in simple:
-            self.known[x] = self.words[w] + self.stops[stop]
-        others = [x for x in new if x not in self.known]
-        self.known.update(zip(others, self.ids(self.whole, others)))
+        words = list({w for _, w, _ in simple})
+        by_word = dict(zip(words, self.ids(self.model, words)))
+        out = {x: by_word[w] + self.stops[stop] for x, w, stop in simple}
+        others = [x for x in new if x not in out]
+        out.update(zip(others, self.ids(self.whole, others)))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known = self.known.get
         chunked = [[x for x in PLAIN.split(t) if x] if DOUBTFUL.search(t) else t.split() for t in texts]
-        for held in (self.known, self.words):
-            if len(held) > REMEMBERED:
-                held.clear()
-        self.learn(list(set().union(*chunked).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunked]
+        found = [list(map(known, c)) for c in chunked]
+        missing = {x for c, got in zip(chunked, found) if None in got for x, g in zip(c, got) if g is None}
+        fresh = {x: self.older[x] for x in missing if x in self.older}
+        fresh |= self.encoded(list(missing.difference(fresh)))
+        self.known.update((x, g) for x, g in fresh.items() if len(x) <= LONGEST)
+        return [b"".join(got) if None not in got else b"".join([fresh[x] if g is None else g for x, g in zip(c, got)]) for c, got in zip(chunked, found)]
 
 
 @lru_cache(maxsize=2)
@@ -112,50 +122,57 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each room 0..capacity, and the item that reaches it (0: none); values[n] is that of length n."""
+    """Best value for each room 0..capacity, and the item that reaches it (0: none); values[n] is that of length n, if above 0."""
     best, item = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    lengths = np.flatnonzero(values > 0)
+    worth, fitting = values[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        got = best[room - 1 :: -1][:room] + values[1 : room + 1]
-        at = int(got.argmax())
-        if got[at] > best[room - 1] + 1e-12:
-            best[room], item[room] = got[at], at + 1
-        else:
-            best[room], item[room] = best[room - 1], 0
+        best[room] = best[room - 1]
+        if k := fitting[room]:
+            got = best[room - lengths[:k]] + worth[:k]
+            at = got.argmax()
+            if got[at] > best[room] + 1e-12:
+                best[room], item[room] = got[at], lengths[at]
     return best, item
 
 
-def _fill(room: int, item: np.ndarray) -> list[int]:
-    out = []
-    while room > 0:
-        if item[room]:
-            out.append(int(item[room]))
-            room -= out[-1]
+def configuration(first: int, capacity: int, item: np.ndarray, counts: np.ndarray, lengths: list[int]) -> dict[int, int]:
+    """Pieces of each length beside one of `first`: the knapsack's choice as far as counts allow, then the longest that fit."""
+    used, at, room = {first: 1}, capacity - first, capacity - first
+    while at > 0:
+        n = int(item[at])
+        if n and used.get(n, 0) < counts[n]:
+            used[n] = used.get(n, 0) + 1
+            room -= n
+            at -= n
         else:
-            room -= 1
-    return out
-
-
-def fractional(counts: np.ndarray, capacity: int, rounds: int = 40, step: float = 0.2) -> dict[tuple[int, ...], float]:
-    """Configurations and amounts that cover counts[n] pieces of each length n, by multiplicative weights."""
-    lengths = np.flatnonzero(counts)
-    cover = np.zeros(capacity + 1)
-    amounts: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        short = lengths[cover[lengths] < counts[lengths]]
-        if not len(short):
-            break
-        values = np.full(capacity + 1, -1.0)
-        values[short] = short / capacity * np.exp(-step * cover[short] / counts[short])
-        _, item = knapsack(values, capacity)
-        for n in short[np.argsort(cover[short] / counts[short] - short / capacity, kind="stable")][:64]:
-            if cover[n] >= counts[n]:
-                continue
-            config, times = np.unique([int(n), *_fill(capacity - int(n), item)], return_counts=True)
-            amount = max(step * float((counts[config] / times).min()), 1.0)
-            key = tuple(np.repeat(config, times)[::-1].tolist())
-            amounts[key] = amounts.get(key, 0.0) + amount
-            cover[config] += amount * times
-    return amounts
+            at -= 1
+    for n in reversed(lengths):
+        while n <= room and used.get(n, 0) < counts[n]:
+            used[n] = used.get(n, 0) + 1
+            room -= n
+    return used
+
+
+def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Configurations ((length, times), ...) with amounts that cover counts[n] pieces of each length n, and a lower bound of the program."""
+    lengths, cover, bound = np.flatnonzero(counts), np.zeros(capacity + 1), 0.0
+    listed, amounts, open_ = lengths.tolist(), {}, counts.copy()
+    while len(short := lengths[cover[lengths] < counts[lengths]]):
+        weights = short * counts[short] * np.exp(-FALL * cover[short] / counts[short])
+        prices = np.zeros(capacity + 1)
+        prices[short] = weights / counts[short] / capacity
+        best, item = knapsack(prices, capacity)
+        bound = max(bound, float(weights.sum() / capacity / best[capacity]))
+        for n in short[np.argsort(cover[short] / counts[short] - short / capacity, kind="stable")][:TRIES].tolist():
+            if cover[n] < counts[n]:
+                used = sorted(configuration(n, capacity, item, open_, listed).items())
+                kinds, times = np.array(used).T
+                amount = STEP * float((counts[kinds] / times).min())
+                amounts[tuple(used)] = amounts.get(tuple(used), 0.0) + amount
+                cover[kinds] += amount * times
+                open_[kinds[cover[kinds] >= counts[kinds]]] = 0
+    return amounts, bound
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -163,27 +180,31 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     left, placed = counts.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64)
     rows, sequences = [], 0
 
-    def place(config: tuple[int, ...], times: int) -> None:
+    def place(config: tuple[tuple[int, int], ...], most: int) -> int:
+        """Place as many sequences of this kind as pieces are left for, `most` at most."""
         nonlocal sequences
-        offset = 0
-        for n, k in zip(*np.unique(config, return_counts=True)):
-            rows.append((n, placed[n], k * times, sequences, k, offset))
-            placed[n] += k * times
-            left[n] -= k * times
+        kinds, times = np.array(config).T
+        number, offset = min(most, int((left[kinds] // times).min())), 0
+        for n, k in config if number else ():
+            rows.append((n, placed[n], k * number, sequences, k, offset))
+            placed[n] += k * number
+            left[n] -= k * number
             offset += n * k
-        sequences += times
+        sequences += number
+        return number
 
     if left[capacity]:
-        place((capacity,), int(left[capacity]))
-    while left.sum() > 4 * capacity:
-        before = left.sum()
-        for config, amount in sorted(fractional(left, capacity).items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
-            kinds, times = np.unique(config, return_counts=True)
-            whole = min(int(amount), int((left[kinds] // times).min()))
-            if whole > 0:
-                place(config, whole)
-        if left.sum() > 0.9 * before:
-            break
+        place(((capacity, 1),), int(left[capacity]))
+    few = np.count_nonzero(left)
+    while left.sum() > few:
+        amounts, _ = fractional(left, capacity)
+        order = sorted(amounts, key=lambda c: (-sum(n * k for n, k in c), -amounts[c], c))
+        part, got = SHARE * sum(amounts.values()), 0
+        for up in (0, 1):
+            for c in order:
+                if got >= part:
+                    break
+                got += place(c, int(amounts[c]) + up)
     bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # open sequences by room left
     rooms = np.zeros(capacity + 1, dtype=np.int64)
     for n in range(capacity, 0, -1):
@@ -194,7 +215,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             bins[room - n].append([*held, n])
             rooms[room - n] += 1
     for one in (x for some in bins for x in some):
-        place(tuple(one), 1)
+        place(tuple((int(n), int(k)) for n, k in zip(*np.unique(one, return_counts=True))), 1)
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 

@@ -1,10 +1,11 @@
 """Operator 4: text quality by compression against dictionaries.
 
-Two zstandard dictionaries are built, from texts labelled good and from texts labelled
-bad. A text is compressed with each, block by block, so that every block is judged by the
-dictionary and not by what precedes it. The difference of the two sizes for each byte of
-text, over the whole text and in its worst block, with the compression ratio and the
-length, is calibrated to a score by logistic regression.
+Two zstandard dictionaries are trained, by the library's own trainer and over whole texts,
+from texts labelled good and from texts labelled bad. A text is compressed with each, block
+by block, so that every block is judged by the dictionary and not by what precedes it. The
+difference of the two sizes for each byte of text, over the whole text and in its worst and
+best blocks, with the share that the good dictionary leaves, is calibrated to a score by
+logistic regression.
 """
 
 from __future__ import annotations
@@ -19,36 +20,33 @@ from pyspark.sql import functions as F
 from skein.llm.common import id_and_text, per_document, table
 from skein.llm.toxicity import fit
 
-#: Labelled texts used in training; bytes of each dictionary and block; zstandard's level and a frame's own bytes.
-SAMPLE_ROWS, DICTIONARY, BLOCK, LEVEL, FRAME = 5000, 1 << 15, 256, 6, 12
-N_FEATURES = 6
+#: Labelled texts used in training; bytes of each dictionary at most, and of a block; zstandard's level.
+SAMPLE_ROWS, DICTIONARY, BLOCK, LEVEL = 5000, 1 << 17, 256, 6
+N_FEATURES = 4
+#: Bytes of an empty frame without size, checksum and dictionary id; bytes of a sample that the trainer takes at least.
+FRAME, LEAST = 6, 8
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw dictionary: beginnings and middles of many texts, each a share of the room."""
-    share = max(256, size // max(1, len(texts)))
-    parts, room = [], size
-    for t in texts:
-        at = max(0, (len(t) - share) // 2)
-        parts.append(t[at : at + share][:room])
-        room -= len(parts[-1])
-        if room <= 0:
-            break
-    return b"".join(parts)
+    """A dictionary trained over all of these texts; the texts themselves, joined, where they are too few to train one."""
+    some = [t for t in texts if len(t) >= LEAST]
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, some)) // 4)), some).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[:size]
 
 
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
     if not dictionary:
-        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False)
+        return zstandard.ZstdCompressor(**plain)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), **plain)
 
 
 def features(text: str, good: bytes, bad: bytes) -> tuple[float, ...]:
-    """Size difference for each byte, that of the worst block, compressed share, that of the best block, log length and
-    squared share; zeros for an empty text."""
+    """Size difference for each byte of the whole text, of its worst and of its best block, and the share of its bytes that the
+    good dictionary leaves; zeros for an empty text."""
     data = text.encode()
     if not data:
         return (0.0,) * N_FEATURES
@@ -58,12 +56,12 @@ def features(text: str, good: bytes, bad: bytes) -> tuple[float, ...]:
     y = np.array([len(by_bad(view[at : at + BLOCK])) for at in starts]) - FRAME
     n = np.full(len(starts), BLOCK)
     n[-1] = len(data) - starts[-1]
-    share = x.sum() / len(data)
-    return (y.sum() - x.sum()) / len(data), ((y - x) / n).min(), share, (x / n).min(), np.log(len(data)), share**2
+    each = (y - x) / n
+    return (y.sum() - x.sum()) / len(data), each.min(), each.max(), x.sum() / len(data)
 
 
-def train(texts: list[str], labels: list[int], steps: int = 60) -> tuple[bytes, bytes, np.ndarray]:
-    """Dictionaries of good and bad texts, and logistic weights (one for each feature, then the bias).
+def train(texts: list[str], labels: list[int], steps: int = 60, used: int = N_FEATURES) -> tuple[bytes, bytes, np.ndarray]:
+    """Dictionaries of good and bad texts, and logistic weights (one for each of the first `used` features, 0 for the others, then the bias).
 
     Two thirds of the texts make the dictionaries, the rest the calibration. Without both
     labels every score is the smoothed share of label 1.
@@ -80,7 +78,7 @@ def train(texts: list[str], labels: list[int], steps: int = 60) -> tuple[bytes,
     rows = np.flatnonzero(held)
     if not 0 < y[rows].sum() < len(rows):
         return good, bad, np.r_[20.0, np.zeros(N_FEATURES)]
-    x = np.array([features(texts[i], good, bad) for i in rows])
+    x = np.array([features(texts[i], good, bad) for i in rows]) * (np.arange(N_FEATURES) < used)
     middle, scale, t = x.mean(axis=0), x.std(axis=0) + 1e-9, y[rows]
     x = np.c_[(x - middle) / scale, np.ones(len(x))]
     w = np.zeros(N_FEATURES + 1)

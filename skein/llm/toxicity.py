@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_and_text, per_document, table
+from skein.llm.common import cut, id_and_text, per_document, table
 
 WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
 #: Letters that forms of a word share, and hashes of a word.
 PREFIX, HASHES = 4, 3
-#: At most so many labelled texts are used in training, whole.
-SAMPLE_ROWS = 5000
+#: At most so many labelled texts are used in training, whole, and at most so many characters of them together.
+SAMPLE_ROWS, SAMPLE_CHARS = 5000, 60_000_000
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with as was on are by this it an be from or".split(),
@@ -113,7 +113,7 @@ def _logit(net: Network, pooled: np.ndarray) -> float:
     return float(pooled @ net.out + net.out_bias)
 
 
-def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int = 4, n_filters: int = 6, epochs: int = 4, rate: float = 0.05, seed: int = 5) -> Network:
+def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int = 4, n_filters: int = 6, epochs: int = 4, rate: float = 0.05, seed: int = 5, widths: tuple[int, ...] = WIDTHS) -> Network:
     """Fit a network to four fifths of the labelled texts with Adagrad; calibrate a threshold for each language on the rest.
 
     The first coordinate of each table starts from the smoothed log-odds of the label
@@ -126,9 +126,9 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int =
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     net = Network(
         tables=np.zeros((HASHES, rows, part), dtype=np.float32),
-        filters={w: rng.normal(0, 0.1, (w, HASHES * part, n_filters)).astype(np.float32) for w in WIDTHS},
-        bias={w: np.full(n_filters, -1.5, dtype=np.float32) for w in WIDTHS},
-        out=np.full(len(WIDTHS) * n_filters, 0.3),
+        filters={w: rng.normal(0, 0.1, (w, HASHES * part, n_filters)).astype(np.float32) for w in widths},
+        bias={w: np.full(n_filters, -1.5, dtype=np.float32) for w in widths},
+        out=np.full(len(widths) * n_filters, 0.3),
         out_bias=float(np.log(share / (1 - share))),
     )
     if not 0 < y.sum() < len(y):
@@ -157,7 +157,7 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int =
     for f in net.filters.values():  # filters begin as detectors of strong words
         f[:, ::part, :] += 1 / (HASHES * len(f))
     past = {w: np.full(f.shape, 1e-2, dtype=np.float32) for w, f in net.filters.items()}
-    past_out, past_bias, past_tables = np.full(net.out.shape, 1e-2), {w: np.full(n_filters, 1e-2, dtype=np.float32) for w in WIDTHS}, np.full(net.tables.shape, 1e-2, dtype=np.float32)
+    past_out, past_bias, past_tables = np.full(net.out.shape, 1e-2), {w: np.full(n_filters, 1e-2, dtype=np.float32) for w in widths}, np.full(net.tables.shape, 1e-2, dtype=np.float32)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).clip(0.2, 5)
     for _ in range(epochs):
         for i in rng.permutation(learn):
@@ -168,7 +168,7 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 17, part: int =
             net.out -= rate * g_out / np.sqrt(past_out)
             net.out_bias -= rate * 0.1 * g
             at = 0
-            for w in WIDTHS:
+            for w in widths:
                 for n in range(n_filters):
                     k = where[at + n]
                     if k < 0:
@@ -228,13 +228,24 @@ def score(net: Network, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z - shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most `rows` labelled documents, those of smallest hash; eligible: which ids may be used."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most `rows` labelled documents, those of smallest hash, as far as `chars` characters go; eligible: which ids may be used.
+
+    A doc_id that several labels or texts carry counts once, with the greatest of each.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(eligible(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = id_and_text(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows)
-    got = {r[0]: r[1:] for r in sorted(some.collect())}  # at most 2 * rows, the second half for repeated rows
-    return [t for t, _ in got.values()], [m for _, m in got.values()]
+    some = cut(id_and_text(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label")))
+    keep, room = [], chars
+    for doc, n in some.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most `rows` numbers
+        room -= n
+        if room < 0:
+            break
+        keep.append(doc)
+    if room < 0:
+        some = some.join(F.broadcast(some.sparkSession.createDataFrame([(d,) for d in keep], "doc_id long")), "doc_id", "left_semi")
+    got = sorted(some.collect())
+    return [t for _, t, _ in got], [m for *_, m in got]
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

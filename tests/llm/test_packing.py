@@ -55,10 +55,37 @@ def test_plan_is_near_the_bound(scale):
 
 
 def test_knapsack_fills():
-    values = np.full(11, -1.0)
+    values = np.zeros(11)
     values[[3, 4]] = [3.0, 4.5]
     best, item = packing.knapsack(values, 10)
-    assert best[10] == pytest.approx(10.5) and sorted(packing._fill(10, item)) == [3, 3, 4]
+    assert best[10] == pytest.approx(10.5)
+    many, few = np.zeros(11, dtype=int), np.zeros(11, dtype=int)
+    many[[3, 4]], few[[3, 4]] = 9, 1
+    assert packing.configuration(3, 10, item, many, [3, 4]) == {3: 2, 4: 1} and packing.configuration(3, 10, item, few, [3, 4]) == {3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("name", ["thirds", "documents"])
+def test_the_program_runs_at_every_size_and_bounds_the_plan(name, monkeypatch):
+    """The bound is never above a feasible cover; the plan stays near it, and best-fit places fewer pieces than there are lengths."""
+    if name == "thirds":
+        counts = np.bincount(np.random.default_rng(3).integers(550, 760, 3000), minlength=2049)
+    else:
+        import duckdb
+
+        counts = np.bincount([1 + n % 2047 for (n,) in duckdb.sql("SELECT length(text) // 5 FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()], minlength=2049)
+    calls, solve = [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a: calls.append(int(a[0].sum())) or solve(*a))
+    rows = packing.plan(counts)
+    n = int((rows[:, 3] + rows[:, 2] // rows[:, 4]).max())
+    amounts, bound = solve(counts, 2048)
+    assert calls[0] == counts[:2048].sum() and bound <= n <= 1.07 * bound + 2
+    cover = np.zeros(2049)
+    for config, amount in amounts.items():
+        assert sum(length * k for length, k in config) <= 2048
+        for length, k in config:
+            cover[length] += k * amount
+    assert (cover[:2048] >= counts[:2048]).all()
+    assert rows[:, 2].sum() == counts.sum()
 
 
 def test_small_cases_are_optimal():
