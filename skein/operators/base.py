@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the session's spark.checkpoint.dir (a temporary folder only where that is unset) and cut its lineage."""
-    sc = df.sparkSession.sparkContext
+    """Checkpoint df in the session's spark.checkpoint.dir and cut its lineage. Only a session of this machine alone may leave that
+    unset; a temporary folder then takes its place."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-"))
     return df.checkpoint()
