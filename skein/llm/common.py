@@ -27,15 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the folder that all machines share and cut its lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (a
-    single machine, as in tests) a temporary folder takes its place.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary
+    folder takes its place if the session runs on this machine alone, as in tests; on a
+    cluster other machines would not see it, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set from spark.checkpoint.dir if it is not yet."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-"))
+    return sc.getCheckpointDir()
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, null texts as empty ones; other columns are not read."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -79,3 +89,33 @@ def salted_join(many: DataFrame, unique: DataFrame, key: str, size: str, how: st
     salts = F.sequence(F.lit(0), F.when(F.col(size) > most, F.ceil(F.col(size) / F.lit(most)).cast("int") - 1).otherwise(0))
     right = unique.withColumn("_salt", F.explode(salts))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def hub_join(many: DataFrame, unique: DataFrame, key: str, size: str, total: int, slots: int = 1024) -> DataFrame:
+    """Join many to unique on key, where unique has one small row a key and its number of rows in `many` as column `size`; total: rows of many, or more.
+
+    Keys with more than 1/slots of the rows, of which there are at most `slots`, are
+    broadcast with their columns and need no shuffle; the others are joined by key.
+    """
+    hot = F.broadcast(unique.where(F.col(size) > total // slots + 1))
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique.where(F.col(size) <= total // slots + 1), key)
+    return many.join(hot, key).unionByName(rest).drop(size)
+
+
+class Remembering(dict):
+    """Results of compute(key) by short keys, in two generations of at most `limit`: what was not asked for in a whole generation is forgotten."""
+
+    def __init__(self, compute: Callable, limit: int, longest: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.longest, self.older = compute, limit, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found

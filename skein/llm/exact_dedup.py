@@ -58,7 +58,20 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
-def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """docs without all but one of each group of equal texts; columns as they were."""
-    marks = exact_duplicates(docs, keep=keep).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_kept"]), "left_semi")
+def deduplicated(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with exactly one row of each group of equal texts, that of the smallest or largest id; columns as they were.
+
+    Null and empty texts are one group. A null id stays only in a group without others. Of
+    rows with one id and one text, the one whose plain columns hash lowest stays. An
+    empty table gives an empty result. Rows are aggregated before the shuffle, each text
+    being shipped once by a map task.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name in others and f.dataType.typeName() not in ("map", "struct", "array", "variant")]
+    sign = F.lit(1 if keep == "smallest" else -1)
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("_none"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
+    order = F.struct(F.col(f"`{id_col}`").isNull(), sign * F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.lit(0), *plain))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    kept = docs.select(content_hash(text).alias("_hash"), text.alias("_text"), row.alias("_row"), order.alias("_order")).groupBy("_hash", "_text").agg(F.min_by("_row", "_order").alias("_row"))
+    at = {c: f"_{i}" for i, c in enumerate(others)}
+    return kept.select(*[F.when(~F.col("_row._none"), F.col("_text")).alias(c) if c == text_col else F.col(f"_row.{at[c]}").alias(c) for c in docs.columns])

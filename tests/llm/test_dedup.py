@@ -32,7 +32,19 @@ def test_exact_against_sql(spark, sql):
 
 def test_deduplicated_keeps_columns(docs, odd):
     out = exact_dedup.deduplicated(docs(odd))
-    assert out.columns == docs(odd).columns and {r["doc_id"] for r in out.collect()} == {1, 3, 4, 6, None, 7, 8}
+    assert out.columns == docs(odd).columns and sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([1, 3, 4, 6, None, 7, 8], key=str)
+    assert {r["doc_id"]: r["text"] for r in out.collect()}[1] is None
+
+
+def test_one_row_of_each_whatever_the_ids(docs):
+    pairs = [(5, "a b c"), (5, "a b c"), (5, "zzz"), (None, "a b c"), (None, "q"), (None, "q"), (7, None), (7, "")]
+    for keep in ("smallest", "largest"):
+        got = sorted(((r["doc_id"], r["text"] or "") for r in exact_dedup.deduplicated(docs(pairs), keep).collect()), key=str)
+        assert got == sorted([(5, "a b c"), (5, "zzz"), (None, "q"), (7, "")], key=str)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(docs(pairs)).collect()), key=str)
+    assert got == sorted([(5, "a b c"), (5, "zzz"), (None, "q"), (7, "")], key=str)
+    assert simhash.one_of_each(docs(pairs)).columns == docs(pairs).columns
+    assert exact_dedup.deduplicated(docs(pairs).limit(0)).count() == simhash.one_of_each(docs(pairs).limit(0)).count() == 0
 
 
 def test_empty(docs, odd):
@@ -105,4 +117,18 @@ def test_links_lose_no_component(spark, seed):
 def test_spanning_links_are_linear():
     rng = np.random.default_rng(3)
     fps = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)))
-    assert len(simhash.spanning_links(fps, 4)) == len(fps) - 1
+    assert len(simhash.spanning_links(fps, 4)[0]) == len(fps) - 1
+
+
+@pytest.mark.parametrize("whole, compared", [(1 << 16, 1 << 22), (50, 1 << 22), (1 << 16, 100)])
+def test_large_buckets_are_split(spark, whole, compared):
+    """Skewed fingerprints: 40 bits are the same in all of them, so every bucket of those bits is hot."""
+    rng = np.random.default_rng(7)
+    n = 20_000 if whole == 1 << 16 and compared > 100 else 1200
+    fps = np.unique((rng.integers(0, 1 << 24, n, dtype=np.uint64) if n > 5000 else rng.integers(0, 1 << 18, n, dtype=np.uint64)) | np.uint64(0xABCDE12345 << 24))
+    unique = spark.createDataFrame([(simhash._signed(int(f)),) for f in fps], "fp long")
+    found = simhash.links(simhash.bucket_rows(unique), whole=whole, compared=compared)
+    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(found).collect()}
+    want = plain_components(list(range(len(fps))), fps, 4)
+    label = [roots.get(int(f), int(f)) for f in fps]
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
