@@ -30,12 +30,14 @@ from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import id_and_text, per_document, table, tokenizer_path
+from skein.llm.common import Remembering, id_and_text, per_document, table, tokenizer_path
 
 #: Characters of a text's leaf.
 LEAF_CHARS = 4096
-#: Units, parts of pre-tokens and seams of which a worker remembers the tokens.
-REMEMBERED = 250_000
+#: Bytes of a pre-token's leaf, which is merged directly.
+LEAF_BYTES = 16
+#: Units and seams of which a worker remembers the tokens, twice so many at most, and characters of the longest such unit.
+REMEMBERED, LONGEST = 120_000, 64
 #: Rank of a pair that is no token.
 NONE = 1 << 60
 #: White space and what follows it; characters that not every library takes for white space.
@@ -52,9 +54,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.seams: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.known = Remembering(self.unit_tokens, REMEMBERED, LONGEST)
+        self.seams = Remembering(lambda ab: tuple(self.merged(self.bytes_of[ab[0]] + self.bytes_of[ab[1]])), REMEMBERED, 2)
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a short piece: merge the pair of lowest rank until none is left."""
@@ -72,28 +73,17 @@ class Codec:
 
     def seam(self, a: int, b: int) -> tuple[int, ...]:
         """Tokens of the bytes of two tokens."""
-        key = (a, b)
-        found = self.seams.get(key)
-        if found is None:
-            if len(self.seams) > REMEMBERED:
-                self.seams.clear()
-            found = self.seams[key] = tuple(self.merged(self.bytes_of[a] + self.bytes_of[b]))
-        return found
+        return self.seams[a, b]
 
     def tokens(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a pre-token or a part of one: joined from its halves unless it is itself a token."""
+        """Tokens of a pre-token or a part of one: joined from its halves unless it is itself a token or a leaf."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        found = self.parts.get(piece)
-        if found is None:
-            half = (len(piece) + 1) // 2
-            found = self.join_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
-            if len(piece) <= 16:
-                if len(self.parts) > REMEMBERED:
-                    self.parts.clear()
-                self.parts[piece] = found
-        return found
+        if len(piece) <= LEAF_BYTES:
+            return tuple(self.merged(piece))
+        half = (len(piece) + 1) // 2
+        return self.join_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
     def join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         reach = 1
@@ -155,21 +145,14 @@ class Codec:
     def cut(text: str) -> list[str]:
         return [text] if DOUBTFUL.search(text) else UNIT.findall(text)
 
-    def learn(self, units: list[str]) -> None:
-        """Have the tokens of all these units at hand."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for u in set(units).difference(known):
-            out: tuple[int, ...] = ()
-            for p in self.pieces(u):
-                out += self.tokens(p.encode())
-            known[u] = out
+    def unit_tokens(self, unit: str) -> tuple[int, ...]:
+        pieces = self.pieces(unit)
+        if len(pieces) == 1:
+            return self.tokens(pieces[0].encode())
+        return tuple(chain.from_iterable(self.tokens(p.encode()) for p in pieces))
 
     def encode(self, text: str) -> list[int]:
-        units = self.units(text)
-        self.learn(units)
-        return list(chain.from_iterable(map(self.known.__getitem__, units)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.units(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids: each node of the tree concatenates those of its halves."""

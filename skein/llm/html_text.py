@@ -1,9 +1,11 @@
 """Operator 3: main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into text blocks at block-level tags. Each block is described by its word
-count and link density, those of the blocks before and after it, and the regions it lies
-in (article, menus and the like, regions whose class or id names an advert, a notice, a
-comment...). A decision tree, grown from the small labelled TABLE, keeps or drops it.
+count and link density, those of the blocks before and after it, and the kind of its
+element (list item, plain, paragraph, heading). A decision tree, grown from the small
+labelled TABLE, keeps or drops it. Three hints are features of the same tree: whether the
+block lies in an article, in a menu-like element, or in one whose class or id names an
+advert, a notice, a comment... The tree also works without them (tree(False)).
 """
 
 from __future__ import annotations
@@ -22,59 +24,99 @@ from skein.llm.common import per_document, table
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 REGION = frozenset("article main nav header footer aside form div section menu dialog figure ul ol table fieldset head".split())
 CHROME = frozenset("nav header footer aside form menu dialog fieldset head button".split())
-HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|menu|nav\w*|breadcrumbs?|header|footer|cookies?|consent|notice|alert|popup|modal|share|social|related|recommend\w*|newsletter|subscribe|login|widget|masthead)(?:$|[\s_-])")
-NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-HIDDEN = re.compile(r"""(?i)\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
+#: Class or id tokens, whole, of what is no main text; common words before and after them.
+HINT = re.compile(
+    r"(?i)(?:(?:site|page|top|bottom|left|right|cookie|share|social|related|user|reader|side|comment|ad|google|global|nav|post|article)[-_]?)?"
+    r"(?:ads?|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|comments?|replies|disqus|respond|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|alert|popup|modal|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|widget|masthead)"
+    r"(?:[-_]?(?:list|box|bar|banner|section|area|block|container|wrapper|slot|unit|buttons?|links?|posts?|form|thread|notice|item|body|\d+))?"
+    r"|(?:(?:site|page|global|top|bottom)[-_]?)?(?:header|footer)"
+)
+COMMENT = re.compile(r"(?i)(?:reader|user)?[-_]?(?:comments?|replies|disqus|respond)(?:[-_]?(?:list|section|area|thread|body|item|\d+))?")
+NAMED = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s/>]|=\s*["']?(?:hidden)?["']?(?:[\s/>]|$)|$)|display\s*:\s*none|(?:^|\s)aria-hidden\s*=\s*["']?true""")
+#: Kinds of elements: list items and controls 0, others 1, paragraphs 2, headings 3.
+KIND = {t: 0 for t in "li td th option label button a dd nav menu".split()} | {t: 2 for t in "p pre blockquote figcaption".split()} | {t: 3 for t in "h1 h2 h3 h4 h5 h6 caption dt summary".split()}
 RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
 TOKEN = re.compile(rf"""(?is)<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+[^>]*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""")
 
-#: Labelled pages, one to a line. A block is the region's letter, its words and, if it has
-#: links, a slash and the words in links. Regions: a article, c menu, header, footer,
-#: sidebar or form, n named like an advert, notice or comment, d menu within the article,
-#: m named region within the article, o none of these. Capitals: main text.
+#: Labelled pages, one to a line. A block is the region's letter, the kind's letter (i item, t plain, p paragraph, h
+#: heading), its words and, if it has links, a slash and the words in links. Regions: a article, c menu, header, footer,
+#: sidebar or form, n named like an advert, notice or comment, d menu within the article, m named region within the
+#: article, o none of these. Capitals: main text.
 TABLE = """
-c1/1 c1/1 c2/2 c1/1 n6 A9 A120 A60 A3 A1 A200/20 c18
-c1/1 c2/2 c3/3 n12 A9 A5/1 A30/18 A2/2 A90 A14 c9 c3/3
-c4/1 n40 A12 A80 d7/2 A60 m15 A20 A6 A1 c60
-n9 A6 A1 A1 A2/2 A150 m80 m30 m12 m3 c25/5 o25
-c1/1 c1/1 n25 n3 A10 A300 A40/30 A8 m60 A12 d25 c12/12 o30/2
-c2/2 n8 A7 A18 d1/1 d2/2 d1/1 A70 A11/9 m120 c40
-n5 n18 A12 A33 A4 m5 A250 A1 A2 c8 c5/5 o5/5 o60
-c30 n7 A60 A70/8 A5 d90/20 A17 m9 m40 n33 c100
-c3/3 c3/3 n14 A8 A45 A200/120 A3/3 A25 m22 c6 n60 n15
-o3 o40 n10 A13 A22 A100 A2 d12 m7 A55 o12/10 c7
-c1/1 c2/2 c1/1 o2/2 O9 O80 O60/5 O25/2 o3/3 o5 c9
-c1/1 c1/1 O8 O14 O150/30 n30 O70 o4/3 o1/1 c50
-o1/1 o2/2 o1/1 o4/4 O12 O90 O40 n20 O60 o8/8 o5/5 c12
-n60 O20 O33 d0 O18/1 n80 n12 c4 o2 c30
-c2/2 O6 O120 O11 O30/3 o6/6 o12/12 o2/2 c15
-O25 O60 O90/9 n45 c80 o4
+ci1/1 ci1/1 ci2/2 ci1/1 nt6 Ah9 Ap120 Ap60 Ap3 Ap1 Ap200/20 ct18
+ci1/1 ci2/2 ci3/3 nt12 Ah9 Ap5 Ap30/8 Ap2 Ap90 Ap14 ct9 ci3/3
+ci4/1 nt40 Ah12 Ap80 di7/2 Ap60 mp15 Ap20 Ap6 Ap1 ct60
+nt9 Ah6 Ap1 Ap1 Ap2 Ap150 mp80 mp30 mp12 mt3 ct25/5 ot25
+ci1/1 ci1/1 nt25 nt3 Ah10 Ap300 Ap40/20 Ap8 mp60 Ah4 Ap25 at12/12 op30/2
+ci2/2 nt8 Ah7 Ap18 di1/1 di2/2 di1/1 Ap70 Ap11/5 mp120 ct40
+nt5 nt18 Ah12 Ap33 Ap4 mt5 Ap250 Ap1 Ap2 ct8 ct5/5 ot5/5 op60
+ct30 nt7 Ah60 Ap70/8 Ap5 dp90/20 Ap17 mt9 mp40 np33 ct100
+ci3/3 ci3/3 nt14 Ah8 Ap45 Ap200/110 ai3/3 ai4/4 Ap25 mp22 ct6 np60 np15
+ot3 ot40 nt10 Ah13 Ap22 Ap100 Ap2 di12 mt7 Ap55 ot12/10 ct7
+Ah8 Ap40 ai5/5 ai4/4 ai6/6 Ap30 Ai9 Ai12 Ai7/1 Ap80 ap6/6 at4/4
+Ah5 At60 At35/4 At3 At80 ai2/2 at7/7 At12 Ap9 ot9/9
+ci1/1 ci1/1 Ah3/3 Ap50 Ah4/4 Ap70/5 ap9/9 Ap40 ai3/3 ai2/2 ai3/3 ct10
+Ah7 Ap12 Ai3 Ai4 Ai2 Ap30 at2/2 at3/3 oi4/4 op25 oh3 op40
+ci1/1 ci2/2 ci1/1 oi2/2 Oh9 Op80 Op60/5 Op25/2 oi3/3 ot5 ct9
+ci1/1 ci1/1 Oh8 Op14 Op150/30 np30 Op70 ot4/3 oi1/1 ct50
+oi1/1 oi2/2 oi1/1 oi4/4 Oh12 Op90 Op40 nt20 Op60 ot8/8 oi5/5 ct12
+np60 Op20 Op33 Oh18/1 Op80 nt12 ct4 ot2 ct30
+ci2/2 Oh6 Op120 Op11 Op30/3 ot6/6 oi12/12 ot2/2 ct15
+Op25 Op60 Op90/9 nt45 cp80 ot4
+Op50
+Op2 Op50
+Op2 Op12 Op1
+Oh5 Op2
+Ot50
+Ot120 Ot40/3 Ot70 oi2/2
+oi1/1 oi1/1 ot3 Ot60 Ot25 Ot45/5 ot6/6 ot4
+Oh6 Ot40 Ot30 Oi6 Oi9 Oi4 Op20 oi2/2 oi3/3 ot7
+ot4/2 ot5/5 Oh4/4 Op33 Oh3 Op45/9 op6/6 ot12/12 ot8
+ct12 ci1/1 Ot35 Op15 Ot55 nt30 ct9 ot3/1
+oi2/2 oi3/3 ot8 oi1/1 Op70 Op15 op4/4 ot5 ot6
+ot9 ot4 Op200 Oh6 Op3 Op7 ot10/9
+oi1/1 oi1/1 oi1/1 ot7 Oh9 Op44 Op1 Op2 Op120 ot4 ot12/1
+Op20 Op30/25 Op60 Op10/6 ot12/11 op25/24
 """
 
 
+#: Each page of TABLE also counts with its words multiplied so, and each main text block as a page of its own.
+SCALES = (1.0, 0.3, 4.0, 40.0)
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of TABLE."""
-    x, y = [], []
+    """Features and labels of the blocks of TABLE and of its variants."""
+    pages = []
     for line in TABLE.strip().splitlines():
         page = []
         for one in line.split():
-            words, _, links = one[1:].partition("/")
-            if words != "0":
-                page.append((one[0].lower(), int(words), int(links or 0), one[0].isupper()))
-        found = [("", w, k, int(r in "adm"), int(r in "cd"), int(r in "nm")) for r, w, k, _ in page]
-        x += features(found, any(r in "adm" for r, *_ in page))
-        y += [p[3] for p in page]
+            words, _, links = one[2:].partition("/")
+            page.append((one[0].lower(), "itph".index(one[1]), int(words), int(links or 0), one[0].isupper()))
+        # a short plain text may be a label, so plain main text is not made shorter
+        pages += [[(r, kind, max(1, round(w * (1 if k or s < 1 and kind == 1 else s))), k, main) for r, kind, w, k, main in page] for s in SCALES]
+        pages += [[b] for b in pages[-len(SCALES)] + pages[1 - len(SCALES)] if b[4] and b[1] >= 2]
+    x, y = [], []
+    for page in pages:
+        x += features([(w, k, kind, int(r in "adm"), int(r in "cd"), int(r in "nm")) for r, kind, w, k, _ in page])
+        y += [p[4] for p in page]
     return np.array(x, dtype=float), np.array(y, dtype=int)
 
 
-def features(found: list[tuple], has_article: bool) -> list[tuple[float, ...]]:
-    """Of each block: article (2 within one, 1 beside one, 0 none on the page), chrome, named, then words and
-    link density in per cent of the block, of the one before and of the one after."""
-    counts = [(0, 0.0), *((b[1], 100 * b[2] / b[1]) for b in found), (0, 0.0)]
-    return [(2 if b[3] else int(has_article), b[4], b[5], *counts[i], *counts[i - 1], *counts[i + 1]) for i, b in enumerate(found, 1)]
+def features(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[float, ...]]:
+    """From (words, words in links, kind, in article, chrome, named) of a page's blocks, for each: words and link density in per
+    cent of the block, of the one before and of the one after, its kind; then the hints: article (2 within one, 1 beside one, 0
+    none on the page), chrome, named."""
+    has_article = int(any(b[3] for b in found))
+    counts = [(0, 0.0), *((b[0], 100 * b[1] / b[0]) for b in found), (0, 0.0)]
+    return [(*counts[i], *counts[i - 1], *counts[i + 1], b[2], 2 if b[3] else has_article, b[4], b[5]) for i, b in enumerate(found, 1)]
 
 
-def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 6) -> tuple | int:
+#: Features that are not hints.
+PLAIN_FEATURES = 7
+
+
+def grow(x: np.ndarray, y: np.ndarray, least: int = 4, depth: int = 6) -> tuple | int:
     """A binary decision tree by the Gini impurity: (feature, threshold, below or equal, above), or a label."""
     if depth == 0 or len(set(y)) < 2:
         return int(2 * y.sum() >= len(y))
@@ -94,9 +136,11 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 6) -> tuple
     return (j, t, grow(x[low], y[low], least, depth - 1), grow(x[~low], y[~low], least, depth - 1))
 
 
-@lru_cache(maxsize=1)
-def tree() -> tuple | int:
-    return grow(*labelled())
+@lru_cache(maxsize=2)
+def tree(hints: bool = True) -> tuple | int:
+    """The tree over all features, or over word counts, link densities and kinds alone."""
+    x, y = labelled()
+    return grow(x if hints else x[:, :PLAIN_FEATURES], y)
 
 
 def decide(node: tuple | int, x: tuple[float, ...]) -> int:
@@ -105,17 +149,21 @@ def decide(node: tuple | int, x: tuple[float, ...]) -> int:
     return node
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, int, int, int, int]], bool]:
-    """((text, words, words in links, in article, in chrome, in a named region) of each block in page order, whether the page has an article)."""
+def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
+    """(text, (words, words in links, kind, in article, in chrome, in a named region)) of each block in page order.
+
+    A form that holds most of a page's paragraphs is no chrome, and what stands around the
+    page's only article does not count for what is within it, unless it is a comment.
+    """
     out, parts, linked = [], [], []
-    region: list[tuple[str, int, int, int]] = []  # tag, and whether article, chrome, named: its own or of one around it
-    state, link, at, has_article = (0, 0, 0), 0, 0, False
+    region: list[tuple] = []  # tag, and the state within it: article, chrome, named, whether the article is in chrome or a named region, number of the form, comment
+    state, link, at, kind, forms = (0, 0, 0, 0, 0, 0), 0, 0, 1, 0
 
     def flush() -> None:
         nonlocal parts, linked
         words = "".join(parts).split()
         if words:
-            out.append((" ".join(words), len(words), min(len(words), sum(len(x.split()) for x in linked)), *state))
+            out.append((" ".join(words), len(words), min(len(words), sum(len(x.split()) for x in linked)), kind, *state[:5]))
         parts, linked = [], []
 
     def say(text: str) -> None:
@@ -138,32 +186,42 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int, int, int, int]], bool]:
             parts.append(" ")
         elif tag in BLOCK:
             flush()
+            kind = 1 if closing else KIND.get(tag, 1)
             if tag not in REGION:
                 continue
             if not closing:
-                article, chrome, named = state
-                words = " ".join("".join(x) for x in NAMED.findall(rest)) if rest else ""
-                named = int(named or (bool(words) and bool(HINT.search(words))) or (bool(rest) and bool(HIDDEN.search(rest))))
-                if tag in ("article", "main") and not named:
-                    article, has_article = 1, True
-                chrome = int(chrome or (tag in CHROME and not (tag == "header" and article)))
-                region.append((tag, article, chrome, named))
-                state = (article, chrome, named)
+                article, chrome, named, outer, form, comment = state
+                tokens = " ".join("".join(x) for x in NAMED.findall(rest)).split() if rest else []
+                hint = any(map(HINT.fullmatch, tokens)) or (bool(rest) and bool(HIDDEN.search(rest)))
+                comment = int(comment or any(map(COMMENT.fullmatch, tokens)))
+                if tag in ("article", "main") and not hint and not comment:
+                    outer, article, chrome, named = int(outer or chrome or named), 1, 0, 0
+                named = int(named or hint)
+                if tag == "form":
+                    forms += 1
+                    form = form or forms
+                chrome = int(chrome or (tag in CHROME and tag != "form" and not (tag == "header" and article)))
+                region.append((tag, article, chrome, named, outer, form, comment))
+                state = region[-1][1:]
             elif any(r[0] == tag for r in region):
                 while region.pop()[0] != tag:
                     pass
-                state = region[-1][1:] if region else (0, 0, 0)
+                state = region[-1][1:] if region else (0, 0, 0, 0, 0, 0)
                 link = 0
     say(page[at:])
     flush()
-    return out, has_article
+    free = any(b[4] and not b[7] for b in out)
+    prose = [0] * (forms + 1)
+    for _, words, links, kind_, _, chrome, named, _, form in out:
+        prose[form] += words if kind_ >= 2 and 2 * links < words and not chrome and not named else 0
+    whole = {f for f in range(1, forms + 1) if 2 * prose[f] > sum(prose)}
+    return [(text, (words, links, kind_, article, int(chrome or (form > 0 and form not in whole)), int(named or (outer and free)))) for text, words, links, kind_, article, chrome, named, outer, form in out]
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, hints: bool = True) -> str:
     """Kept blocks of a page in order, joined by one space."""
-    found, has_article = blocks(page)
-    node = tree()
-    return " ".join(b[0] for b, x in zip(found, features(found, has_article)) if decide(node, x))
+    found, node = blocks(page), tree(hints)
+    return " ".join(b[0] for b, x in zip(found, features([b[1] for b in found])) if decide(node, x))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:

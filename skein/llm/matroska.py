@@ -23,9 +23,11 @@ EBML, DOCTYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
+#: Elements beside a cluster (seek head, chapters, tags and attachments among them): a cluster of unknown size ends before one.
+BESIDE_CLUSTER = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
 
 #: Samples a second; bytes of a frame, frames of a block, blocks of a cluster. A frame lasts 128 ms.
 HERTZ, FRAME, LACED, BLOCKS = 8000, 1024, 8, 8
@@ -144,46 +146,88 @@ def unlace(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[i
 
 
 def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list[tuple[int, int, int]], dict]:
-    """Packets (track, timestamp, offset, size, cluster, key), cues (timestamp, track, cluster's byte) and facts of a document."""
-    packets, cues, facts = [], [], {"clusters": 0, "laced": 0, "codec": "", "rate": 0.0, "duration": 0.0}
+    """Packets (track, timestamp, offset, size, cluster, key), cues (timestamp, track, cluster's byte) and facts of a document.
+
+    Timestamps are in whole milliseconds, by the segment's scale. A cluster of unknown size
+    ends before the next element of its own level, a segment before the next document. A
+    block in a group is a key one if it refers to no other. Open elements are kept in a
+    list, so no depth or number of them is too much.
+    """
+    packets, cues, facts = [], [], {"clusters": 0, "laced": 0, "codec": "", "rate": 0.0, "duration": 0.0, "scale": 1_000_000}
+    open_: list[tuple[int, int, bool]] = [(0, len(data), False)]  # element, end, whether that is unknown
+    base = time = at = 0
+    group: dict = {}
+    cue: dict = {}
 
     def integer(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
 
     def real(a: int, b: int) -> float:
-        return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
-
-    def walk(at: int, end: int, base: int, cue: dict) -> None:
-        time = 0
-        for kind, start, a, b in elements(data, at, end):
+        return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
+
+    def add(a: int, b: int, key: bool | None) -> None:
+        track, relative, flagged, parts = unlace(data, a, b)
+        facts["laced"] += len(parts) > 1
+        packets.extend((track, time + relative, at_, n, facts["clusters"], flagged if key is None else key) for at_, n in parts)
+
+    def close() -> None:
+        kind = open_.pop()[0]
+        if kind == GROUP and "block" in group:
+            add(*group["block"], not group.get("refers"))
+        elif kind == CUE_AT:
+            cue.setdefault("places", []).append((cue.pop(CUE_TRACK, 0), base + cue.pop(CUE_CLUSTER, 0)))
+        elif kind == CUE:
+            cues.extend((cue.get(CUE_TIME, 0), *p) for p in cue.get("places", ()))
+
+    while True:
+        while len(open_) > 1 and open_[-1][1] <= at:
+            close()
+        if at >= len(data):
+            break
+        kind, a = variable(data, at, True)
+        n, a = variable(data, a, False)
+        while open_[-1][2] and kind in (BESIDE_CLUSTER if open_[-1][0] == CLUSTER else {EBML, SEGMENT}):
+            close()
+        b = open_[-1][1] if n < 0 else a + n
+        if b > open_[-1][1]:
+            raise ValueError(f"element {kind:x} at byte {at} is longer than what holds it")
+        at = b
+        if kind in MASTERS:
+            open_.append((kind, b, n < 0))
+            at = a
             if kind == SEGMENT:
-                walk(a, b, a, cue)
+                base = a
             elif kind == CLUSTER:
                 facts["clusters"] += 1
-                walk(a, b, base, cue)
-            elif kind in (CUE, CUE_AT):
-                walk(a, b, base, cue)
-                if kind == CUE:
-                    cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), base + cue.get(CUE_CLUSTER, 0)))
-            elif kind in MASTERS:
-                walk(a, b, base, cue)
-            elif kind == TIME:
-                time = integer(a, b)
-                facts["time"] = time
-            elif kind in (SIMPLE, BLOCK):
-                track, relative, key, parts = unlace(data, a, b)
-                facts["laced"] += len(parts) > 1
-                packets.extend((track, facts.get("time", 0) + relative, at_, n, facts["clusters"], key) for at_, n in parts)
-            elif kind in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                cue[kind] = integer(a, b)
-            elif kind == CODEC:
-                facts["codec"] = data[a:b].decode("ascii", "replace")
-            elif kind == RATE:
-                facts["rate"] = real(a, b)
-            elif kind == DURATION:
-                facts["duration"] = real(a, b)
-
-    walk(0, len(data), 0, {})
+                time = 0
+            elif kind == GROUP:
+                group = {}
+            elif kind == CUE:
+                cue = {}
+        elif kind == TIME:
+            time = integer(a, b)
+        elif kind == SIMPLE:
+            add(a, b, None)
+        elif kind == BLOCK:
+            group["block"] = (a, b)
+        elif kind == REFERENCE:
+            group["refers"] = True
+        elif kind in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
+            cue[kind] = integer(a, b)
+        elif kind == SCALE:
+            facts["scale"] = integer(a, b)
+        elif kind == CODEC:
+            facts["codec"] = data[a:b].decode("ascii", "replace")
+        elif kind == RATE:
+            facts["rate"] = real(a, b)
+        elif kind == DURATION:
+            facts["duration"] = real(a, b)
+    while len(open_) > 1:
+        close()
+    if facts["scale"] != 1_000_000:
+        packets = [(t, at_ * facts["scale"] // 1_000_000, *rest) for t, at_, *rest in packets]
+        cues = [(at_ * facts["scale"] // 1_000_000, *rest) for at_, *rest in cues]
+        facts["duration"] *= facts["scale"] / 1_000_000
     return packets, cues, facts
 
 

@@ -1,21 +1,21 @@
 """Operator 6: token counts that follow edits.
 
 A document's tree holds runs of its pre-tokens as leaves and sums of characters and
-tokens above them. An edit takes the leaves that it touches and one more on either side,
-encodes that region anew and puts it back; only the sums above it change. Leaves end
+tokens above them. Trees are kept: build_trees() writes their leaves as a table, and
+edit_trees() takes that table with edits, encodes only what they touch, and gives the
+table of the new trees. An edit takes the leaves that it touches and one more on either
+side, encodes that region anew and puts it back; only the sums above it change. Leaves end
 where white space follows another character, a place that no pre-token crosses whatever
 stands beyond it, so the untouched leaf on either side is context enough.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import Codec, codec
-from skein.llm.common import id_and_text, per_document, table, tokenizer_path
+from skein.llm.common import cut, per_document, saved, table, tokenizer_path
 
 #: Characters of a leaf, unless one pre-token is longer.
 LEAF = 512
@@ -42,6 +42,14 @@ class TokenTree:
         self.encoder, self.encoded = encoder, 0
         self.root = self.tree(text)
 
+    @classmethod
+    def stored(cls, leaves: list[tuple[str, int]], encoder: Codec) -> "TokenTree":
+        """A tree from its leaves' texts and tokens; nothing is encoded."""
+        one = cls.__new__(cls)
+        one.encoder, one.encoded = encoder, 0
+        one.root = one.above([Node(text=t, tokens=n) for t, n in leaves] or [Node()])
+        return one
+
     @property
     def tokens(self) -> int:
         return self.root.tokens
@@ -49,7 +57,6 @@ class TokenTree:
     def tree(self, text: str) -> Node:
         self.encoded += len(text)
         units = self.encoder.units(text) if text else []
-        self.encoder.learn(units)
         leaves, run, chars, tokens = [], [], 0, 0
         for u in units:
             run.append(u)
@@ -123,40 +130,88 @@ class TokenTree:
         return Node(left, right) if left is not None and right is not None else left if right is None else right
 
 
-def counts_with_edits(docs: DataFrame, ranks_path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens before and n_tokens_edited after its edits, the new text's sha256, and n_chars_encoded.
+LEAVES = "leaves array<struct<text:string,tokens:int>>"
+#: Edits of one document that are applied at once.
+RUN = 1000
 
-    edits_col: array of (start, removed, inserted) in code points, applied in its order;
-    null or empty means none, null fields count as 0 and "". A null text is empty. Texts
-    of any length are counted whole; repeated rows are counted each. An empty table gives
-    an empty result; other columns are not read.
+
+def build_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """One tree for each row of docs: doc_id, n_chars, n_tokens, leaves, and edits if edits_col names a column of them.
+
+    A null text is empty and has one empty leaf. Texts of any length are encoded whole;
+    repeated rows have a tree each. An empty table gives an empty result; other columns
+    are not read.
     """
-    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(edits_col).alias("edits")).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["doc_id", "n_tokens", "n_tokens_edited", "edited_sha256", "n_chars_encoded"]
+    edits = F.col(edits_col).cast(EDITS) if edits_col else F.lit(None).cast(EDITS)
+    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), edits.alias("edits")).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def rows(keys, texts):
+        trees = [TokenTree(t, codec(ranks_path)) for t in texts]
+        return {"doc_id": [k["doc_id"] for k in keys], "edits": [k["edits"] for k in keys], "n_chars": [len(t) for t in texts], "n_tokens": [t.tokens for t in trees], "leaves": [[{"text": x.text, "tokens": x.tokens} for x in t.leaves()] for t in trees]}
+
+    trees = per_document(keyed, rows, f"doc_id long, n_chars long, n_tokens long, {LEAVES}, edits {EDITS}")
+    return trees if edits_col else trees.drop("edits")
+
+
+EDITS = "array<struct<start:int,removed:int,inserted:string>>"
+
+
+def edit_trees(trees: DataFrame, ranks_path: str, edits_col: str = "edits") -> DataFrame:
+    """The trees after their edits: doc_id, n_chars, n_tokens, leaves, n_chars_encoded for the edits, n_tokens_before.
+
+    edits_col: array of (start, removed, inserted) in code points, applied in its order;
+    null or empty means none, null fields count as 0 and "". Places outside a text count
+    as its nearest end.
+    """
+    keyed = trees.select(F.struct("doc_id", F.col(edits_col).cast(EDITS).alias("edits"), "n_tokens").alias("key"), "leaves")
+    names = ["doc_id", "n_chars", "n_tokens", "leaves", "n_chars_encoded", "n_tokens_before"]
+
+    def rows(keys, stored):
         out, encoder = [], codec(ranks_path)
-        for key, text in zip(keys, texts):
-            tree = TokenTree(text, encoder)
-            before = tree.tokens
-            for e in key["edits"] or []:
+        for key, leaves in zip(keys, stored):
+            if not key["edits"]:
+                out.append((key["doc_id"], sum(len(x["text"]) for x in leaves), key["n_tokens"], leaves, 0, key["n_tokens"]))
+                continue
+            tree = TokenTree.stored([(x["text"], x["tokens"]) for x in leaves], encoder)
+            for e in key["edits"]:
                 tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-            out.append((key["id"], before, tree.tokens, hashlib.sha256(tree.text().encode()).hexdigest(), tree.encoded))
+            out.append((key["doc_id"], tree.root.chars, tree.tokens, [{"text": x.text, "tokens": x.tokens} for x in tree.leaves() if x.text] or [{"text": "", "tokens": 0}], tree.encoded, key["n_tokens"]))
         return dict(zip(names, map(list, zip(*out))))
 
-    return per_document(keyed, rows, "doc_id long, n_tokens long, n_tokens_edited long, edited_sha256 string, n_chars_encoded long")
+    return per_document(keyed, rows, f"doc_id long, n_chars long, n_tokens long, {LEAVES}, n_chars_encoded long, n_tokens_before long")
+
+
+def text_of(leaves: Column) -> Column:
+    """The text of a tree's leaves."""
+    return F.array_join(F.transform(leaves, lambda x: x["text"]), "")
+
+
+def counts_with_edits(docs: DataFrame, ranks_path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens before and n_tokens_edited after its edits, the new text's sha256, its n_chars, and
+    n_chars_encoded for the edits. Nulls, empties and repeats as in build_trees() and edit_trees()."""
+    out = edit_trees(saved(build_trees(docs, ranks_path, id_col, text_col, edits_col)), ranks_path)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.sha2(text_of(F.col("leaves")), 256).alias("edited_sha256"), "n_chars", "n_chars_encoded")
 
 
-def counts_after(docs: DataFrame, edits: DataFrame, ranks_path: str) -> DataFrame:
-    """counts_with_edits() for a table of edits (doc_id, seq, start, removed, inserted), applied by seq.
+def counts_after(trees: DataFrame, edits: DataFrame, ranks_path: str, run: int = RUN) -> DataFrame:
+    """The stored trees after a table of edits (doc_id, seq, start, removed, inserted): doc_id, n_chars, n_tokens, leaves, n_chars_encoded.
 
-    A document's edits are one log that has to be applied in order, so they meet in its
-    row; edits of unknown documents and null ids are ignored, ties of seq are applied by
-    start, removed and inserted.
+    A document's edits are applied by seq, ties by start, removed and inserted, nulls
+    first, at most `run` at once; so many passes are made over the trees as the longest log
+    needs, each from a stored table to a stored table, and no task holds more than `run`
+    edits of a document. Edits of unknown documents and null ids are ignored; an empty
+    table of edits changes nothing.
     """
-    logs = edits.groupBy(F.col("doc_id").alias("_of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "removed", "inserted"))), lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
-    joined = id_and_text(docs, "doc_id", "text").join(logs, F.col("doc_id") == F.col("_of"), "left")
-    return counts_with_edits(joined, ranks_path)
+    order = Window.partitionBy("doc_id").orderBy("seq", "start", "removed", "inserted")
+    numbered = cut(edits.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "start", "removed", "inserted").withColumn("_n", F.row_number().over(order) - 1))
+    passes = 1 + ((numbered.agg(F.max("_n")).first()[0] or 0) // run)
+    now = trees.select("doc_id", "n_chars", "n_tokens", "leaves", F.lit(0).cast("long").alias("_encoded"))
+    for k in range(passes):
+        some = numbered.where((F.col("_n") >= k * run) & (F.col("_n") < (k + 1) * run)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "start", "removed", "inserted"))), lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
+        touched = saved(edit_trees(now.join(some, "doc_id"), ranks_path).select("doc_id", "n_chars", "n_tokens", "leaves", F.col("n_chars_encoded").alias("_encoded")))
+        others = now.join(some.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left_anti")
+        now = saved(others.unionByName(touched)) if passes > 1 else others.unionByName(touched)
+    return now.withColumnRenamed("_encoded", "n_chars_encoded")
 
 
 def revision(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 from skein.llm import html_text, matroska
 
 SF = "/root/testdata/sf0.001"
@@ -13,6 +15,44 @@ def test_blocks_outside_the_article_go():
     assert html_text.main_text(page) == "Title One word & A. Two three. Last."
 
 
+FIFTY = " ".join(["Plain words of a paragraph that goes on,"] * 6)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p>{FIFTY}</p></div>", FIFTY),
+    (f"<body><p>Short one.</p><p>{FIFTY}</p>", f"Short one. {FIFTY}"),
+    (f'<div class="overflow-hidden"><article><p>{FIFTY}</p></article></div>', FIFTY),
+    (f'<article data-hidden="false" aria-hidden="false"><p>{FIFTY}</p></article>', FIFTY),
+    (f'<div class="content with-sidebar"><article class="has-sidebar comments-enabled social-science"><p>{FIFTY}</p></article></div>', FIFTY),
+    (f'<form id="aspnetForm"><div><p>{FIFTY}</p></div></form>', FIFTY),
+    (f'<form id="aspnetForm"><article><p>{FIFTY}</p><form class="newsletter"><p>Your mail</p></form></article></form>', FIFTY),
+    (f'<div class="sidebar"><article><p>{FIFTY}</p></article></div>', FIFTY),
+    (f'<article><p>{FIFTY}</p></article><div class="sidebar"><article><p>Another teaser that should not be here.</p></article></div>', FIFTY),
+    (f'<article><p>{FIFTY}</p></article><section class="comments"><article class="comment-body"><p>I do not agree at all.</p></article></section>', FIFTY),
+    (f'<article><p>{FIFTY}</p><p hidden>secret</p><div style="display:none"><p>gone</p></div><ul><li><a href=x>One link</a></li><li><a href=y>Other link</a></li></ul></article>', f"{FIFTY} secret"),
+])
+def test_missing_and_misleading_regions(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_the_tree_stands_without_hints(spark):
+    """Words, link densities and kinds alone tell nearly all blocks of the pages."""
+    right = total = 0
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        found = html_text.blocks(p["html"])
+        for (text, b), x in zip(found, html_text.features([b for _, b in found])):
+            right += html_text.decide(html_text.tree(False), x) == b[3]
+            total += 1
+    assert right / total > 0.9
+    node, used = [html_text.tree()], set()
+    while node:
+        n = node.pop()
+        if isinstance(n, tuple):
+            used.add(n[0])
+            node += n[2:]
+    assert used & {0, 2, 4} and used & {1, 3, 5}
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<article><p>x", "<script>never closed <p>a</p>", "<article><p title='a>b'>kept words here</p>", "</div></p>text", "<!-- open"):
         html_text.main_text(page)
@@ -70,3 +110,35 @@ def test_media_of_documents(spark, docs, odd):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert got[4]["media_sha256"] == got[5]["media_sha256"]
     assert matroska.packet_table(matroska.to_matroska(docs(odd))).where("doc_id = 6").count() == -(-150016 // 1024)
+
+
+def cluster(time, *blocks, unknown=False):
+    body = matroska.number(matroska.TIME, time) + b"".join(blocks)
+    return matroska.CLUSTER.to_bytes(4, "big") + (b"\x01" + b"\xff" * 7 + body if unknown else matroska.size_bytes(len(body)) + body)
+
+
+def test_odd_media():
+    m = matroska
+    key = m.element(m.GROUP, m.element(m.BLOCK, b"\x81\x00\x05\x00", b"key"))
+    other = m.element(m.GROUP, m.element(m.BLOCK, b"\x81\x00\x06\x00", b"other"), m.element(m.REFERENCE, b"\xff"))
+    cue = m.element(m.CUE, m.number(m.CUE_TIME, 3), *(m.element(m.CUE_AT, m.number(m.CUE_TRACK, t), m.number(m.CUE_CLUSTER, 10 * t)) for t in (1, 2)))
+    clusters = [cluster(10 * i, m.block(1, 1, [b"x"]), unknown=True) for i in range(1500)]
+    body = m.element(m.INFO, m.number(m.SCALE, 2_000_000)) + b"".join(clusters) + cluster(100, key, other) + m.element(m.CUES, cue)
+    for unknown in (False, True):
+        head = b"\x01" + b"\xff" * 7 if unknown else m.size_bytes(len(body))
+        packets, cues, facts = m.demux(m.element(m.EBML) + m.SEGMENT.to_bytes(4, "big") + head + body)
+        assert facts["clusters"] == 1501 and [p[1] for p in packets[:3]] == [2, 22, 42] and packets[1499][4] == 1500
+        assert [(p[1], p[5]) for p in packets[-2:]] == [(210, True), (212, False)]
+        assert [c[:2] for c in cues] == [(6, 1), (6, 2)] and cues[1][2] - cues[0][2] == 10
+
+
+def test_empty_tables(spark, docs, odd):
+    none = docs(odd).limit(0)
+    assert matroska.read_back(matroska.to_matroska(none)).count() == matroska.packet_table(matroska.to_matroska(none)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long, key string")
+    assert html_text.extract_text(pages, keep=("url",)).count() == 0
+
+
+def test_the_feature_string(docs):
+    got = matroska.read_back(matroska.to_matroska(docs([(1, "ab" * 32)]))).collect()[0]
+    assert got["feature"] == "A_PCM/INT/LIT;rate=8000;ms=8.000;packets=1;clusters=1;laced=0;cues=1;last_ms=0;mean=97.500000"

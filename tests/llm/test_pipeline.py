@@ -26,3 +26,21 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_on_odd_documents(spark, odd):
+    """Nulls in any column, repeated and null ids, clashing names and empty tables; rows are compared, not sets of ids."""
+    wide = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, _hash string, key string"
+    rows = [(i, t, None, None, None if t is None else len(t), "x", None, "x", "x") for i, t in odd + [(5, "another text of number five"), (4, "one two three four five")]]
+    docs = spark.createDataFrame(rows, wide)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, empty, SF).count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), wide)
+        if name == "exact_dedup":
+            texts = [r["text"] or "" for r in docs.collect()]
+            assert len(texts) == len(set(texts))
+    assert out.select("doc_id").distinct().count() > 3
