@@ -17,6 +17,7 @@ from it.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -32,26 +33,28 @@ from skein.llm.common import SLICE, cut, id_and_text, table, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks of which a worker remembers the ids, twice so many at most, and the characters of the longest one remembered.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 #: Share of its scarcest length that a configuration covers at once, fall of a weight by its cover, configurations taken at one
 #: round's prices, share of a solution that is placed (its fullest configurations first) before the program is solved again.
 STEP, FALL, TRIES, SHARE = 0.25, 0.25, 64, 0.5
 #: White space besides the six characters that every library agrees on.
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: One word of Latin letters with at most a stop or a comma.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: One word of small Latin letters and a run of signs, none of them an apostrophe; texts that may be lower-cased before they are cut.
+SIMPLE = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 PLAIN = re.compile("[ \t\n\r\f\v]+")
 
 
 class ChunkEncoder:
     """Ids of texts, chunk by chunk between white space, which this tokenizer drops and never joins over.
 
-    A chunk of Latin letters and at most one stop or comma has a known split and needs
-    lower-casing alone, so its word goes to the bare model; other chunks take the whole
-    tokenizer.
+    A text of plain Latin letters is lower-cased whole. A chunk of small letters and signs
+    has a known split, so its word goes to the bare model and its signs have ids of their
+    own; other chunks take the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -62,7 +65,8 @@ class ChunkEncoder:
         self.model = Tokenizer.from_str(json.dumps(parts))
         self.known: dict[str, bytes] = {}  # chunks met lately, and those before them
         self.older: dict[str, bytes] = {}
-        self.stops = {"": b""} | dict(zip(".,", self.ids(self.whole, [".", ","])))
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def ids(tokenizer, texts: list[str]) -> list[bytes]:
@@ -71,10 +75,14 @@ class ChunkEncoder:
 
     def encoded(self, new: list[str]) -> dict[str, bytes]:
         """Ids of chunks."""
-        simple = [(x, m[1].lower(), m[2]) for x in new if (m := SIMPLE.fullmatch(x))]
-        words = list({w for _, w, _ in simple})
-        by_word = dict(zip(words, self.ids(self.model, words)))
-        out = {x: by_word[w] + self.stops[stop] for x, w, stop in simple}
+        simple = [(x, m[1], m[2]) for x in new if (m := SIMPLE.fullmatch(x))]
+        for held, tokenizer, parts in ((self.words, self.model, {w for _, w, _ in simple}), (self.signs, self.whole, {e for *_, e in simple})):
+            if len(held) > REMEMBERED:
+                held.clear()
+            missing = [x for x in parts if x not in held and x]
+            held.update(zip(missing, self.ids(tokenizer, missing)))
+        self.signs[""] = b""
+        out = {x: self.words[w] + self.signs[e] for x, w, e in simple}
         others = [x for x in new if x not in out]
         out.update(zip(others, self.ids(self.whole, others)))
         return out
@@ -83,6 +91,7 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known = self.known.get
+        texts = [t.lower() if LATIN.fullmatch(t) else t for t in texts]
         chunked = [[x for x in PLAIN.split(t) if x] if DOUBTFUL.search(t) else t.split() for t in texts]
         found = [list(map(known, c)) for c in chunked]
         missing = {x for c, got in zip(chunked, found) if None in got for x, g in zip(c, got) if g is None}
