@@ -61,32 +61,35 @@ def block_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def chained(blocks: DataFrame, order: str, data: str) -> DataFrame:
-    """blocks with prev_hash and hash, each from the one before: one ordered pass over one log.
+def chained(blocks: DataFrame, order: str, data: str, log: str) -> DataFrame:
+    """blocks with prev_hash and hash, each from the one before in its log.
 
-    A chain is sequential by definition, so a log is one partition; give many logs a
-    column of their own and chain each by applyInPandas instead of one long chain.
+    Logs are dealt over the partitions and sorted there; a task passes over its rows batch
+    by batch and remembers the last hash alone. A chain is sequential by definition, so
+    one log is one task's.
     """
     import hashlib
 
     import pandas as pd
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = "0" * 64
+        name, before = None, "0" * 64
         for part in parts:
             prev, own = [], []
-            for key, value in zip(part[order], part[data]):
+            for of, key, value in zip(part[log], part[order], part[data]):
+                if of != name:
+                    name, before = of, "0" * 64
                 prev.append(before)
                 before = hashlib.sha256(f"{key}|{value}|{before}".encode()).hexdigest()
                 own.append(before)
             yield part.assign(prev_hash=prev, hash=own)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
-    return blocks.repartition(1).sortWithinPartitions(order).mapInPandas(run, f"{schema}, prev_hash string, hash string")
+    return blocks.repartition(log).sortWithinPartitions(log, order).mapInPandas(run, f"{schema}, prev_hash string, hash string")
 
 
-def verify(blocks: DataFrame, order: str, data: str, log: str | None = None) -> DataFrame:
-    """(key, hash_ok, link_ok) of each block, the first one included; logs are checked apart and in parallel."""
-    w = (Window.partitionBy(log) if log else Window.partitionBy(F.lit(1))).orderBy(order)
+def verify(blocks: DataFrame, order: str, data: str, log: str) -> DataFrame:
+    """(key, hash_ok, link_ok) of each block, the first of a log included; logs are checked apart and in parallel."""
+    w = Window.partitionBy(log).orderBy(order)
     own = block_hash(F.col(order).cast("string"), F.col(data), F.col("prev_hash"))
     return blocks.select(F.col(order), (F.col("hash") == own).alias("hash_ok"), (F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit("0" * 64))).alias("link_ok"))

@@ -17,15 +17,17 @@ def degree_centrality(rels: DataFrame, nodes: DataFrame, key: str = "entity_id")
     return ids.join(near, F.col("entity_id") == F.col("u"), "left").select("entity_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.round(F.coalesce("degree", F.lit(0)) / max(1, n - 1), 6).alias("degree_centrality"))
 
 
-def distances(rels: DataFrame, sources: DataFrame | None = None, depth: int = 50) -> DataFrame:
-    """(src, node, dist, sigma): breadth-first distances from each source and the number of shortest paths.
+def distances(rels: DataFrame, sources: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(src, node, dist, sigma): breadth-first distances from each source and the number of shortest paths, to the end unless depth bounds them.
 
     Its size is sources times reachable nodes: give a sample of sources on a large graph.
     """
     adj = settle(neighbours(rels))
     roots = adj.select(F.col("u").alias("src")).distinct() if sources is None else sources.select(F.col(sources.columns[0]).alias("src"))
     front = reached = settle(roots.select("src", F.col("src").alias("node"), F.lit(0).alias("dist"), F.lit(1).cast("long").alias("sigma")))
-    for d in range(1, depth + 1):
+    d = 0
+    while depth is None or d < depth:
+        d += 1
         nxt = front.join(adj, front["node"] == adj["u"]).groupBy("src", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"))
         front = settle(nxt.join(reached.select("src", "node"), ["src", "node"], "left_anti").select("src", "node", F.lit(d).alias("dist"), "sigma"))
         if not front.limit(1).count():

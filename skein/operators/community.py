@@ -27,7 +27,7 @@ def label_propagation(rels: DataFrame, nodes: DataFrame, rounds: int = 12, key:
     return labels
 
 
-def modularity_communities(rels: DataFrame, rounds: int = 50) -> DataFrame:
+def modularity_communities(rels: DataFrame) -> DataFrame:
     """(node, community): agglomeration by modularity gain on the simple graph.
 
     Every round merges all pairs of communities that are each other's best gain above
@@ -39,7 +39,7 @@ def modularity_communities(rels: DataFrame, rounds: int = 50) -> DataFrame:
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     labels = settle(both.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("community")))
     degrees = both.groupBy("u").agg(F.count("*").alias("deg"))
-    for _ in range(rounds):
+    while True:
         at = labels.join(degrees, F.col("node") == F.col("u")).groupBy("community").agg(F.sum("deg").alias("deg"))
         ends = pairs.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca <> cb")
         between = ends.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count("*").alias("e"))
@@ -49,9 +49,8 @@ def modularity_communities(rels: DataFrame, rounds: int = 50) -> DataFrame:
         chosen = best.select("c", F.col("b.o").alias("o"))
         merged = settle(chosen.alias("l").join(chosen.alias("r"), (F.col("l.c") == F.col("r.o")) & (F.col("l.o") == F.col("r.c"))).where("l.c > l.o").select(F.col("l.c").alias("_from"), F.col("l.o").alias("_to")))
         if not merged.limit(1).count():
-            break
+            return labels
         labels = settle(labels.join(merged, F.col("community") == F.col("_from"), "left").select("node", F.coalesce("_to", "community").alias("community")))
-    return labels
 
 
 def community_table(rels: DataFrame, labels: DataFrame, sample: int = 5) -> DataFrame:
@@ -72,7 +71,7 @@ def boundary_scores(rels: DataFrame, labels: DataFrame) -> DataFrame:
     return neighbours(rels).join(own, F.col("u") == F.col("_u")).join(other, F.col("v") == F.col("_v")).groupBy(F.col("u").alias("entity_id")).agg(F.countDistinct(F.when(F.col("cu") != F.col("cv"), F.col("cv"))).alias("boundary"))
 
 
-def articulation_points(rels: DataFrame, depth: int = 200) -> DataFrame:
+def articulation_points(rels: DataFrame) -> DataFrame:
     """(entity_id): nodes whose removal splits their component, by spanning trees and their blocks.
 
     A breadth-first forest is grown from each component's smallest node; subtree sizes
@@ -84,14 +83,14 @@ def articulation_points(rels: DataFrame, depth: int = 200) -> DataFrame:
     adj = settle(neighbours(rels))
     roots = components(adj).where("node = component").select("node")
     front = tree = settle(roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.col("node").alias("root")))
-    for d in range(1, depth + 1):
+    d = 0
+    while True:
+        d += 1
         nxt = front.select(F.col("node").alias("_f"), "root").join(adj, F.col("_f") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("_f").alias("parent"), F.min("root").alias("root"))
         front = settle(nxt.join(tree.select("node"), "node", "left_anti").select("node", "parent", F.lit(d).alias("level"), "root"))
         if not front.limit(1).count():
             break
         tree = tree.unionByName(front)
-    else:
-        raise RuntimeError(f"the graph is deeper than {depth}")
     tree = settle(tree)
     last = d - 1
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,14 +54,17 @@ MENTIONS = "doc_id long, mention_no int, text string, entity_type string, start
 
 def mentions_of(text: str, rules: list[tuple[re.Pattern, Rule]]) -> list[tuple[str, str, int, int, str, float, str]]:
     """Mentions of one text; a match that overlaps one of an earlier rule is dropped."""
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of the spans taken, in order; they do not overlap
+    ends: list[int] = []
     out = []
     for pattern, rule in rules:
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not m[0].strip() or any(a < y and x < b for x, y in taken):
+            at = bisect_left(starts, a)
+            if not m[0].strip() or (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
                 continue
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
             value = re.sub(r"\s+", " ", m[0].strip())
             out.append((m[0], rule.entity_type, a, b, value.replace(" ", "") if rule.entity_type == "Vehicle" else value, rule.prior, f"pattern:{rule.name}"))
     return sorted(out, key=lambda x: (x[2], -x[3]))

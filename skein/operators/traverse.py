@@ -34,10 +34,12 @@ def neighbourhood_edges(rels: DataFrame, reached: DataFrame, depth: int) -> Data
 
 
 def shortest_paths(rels: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """(entity_id, length, path): for every node within `depth` of root, its lexicographically smallest shortest path."""
-    spark = rels.sparkSession
+    """(entity_id, length, path): for every node within `depth` of root, its lexicographically smallest shortest path.
+
+    A root that no edge touches is unknown and has no path, not even to itself.
+    """
     adj = neighbours(rels)
-    frontier = paths = spark.createDataFrame([(root, 0, [root])], "entity_id string, length int, path array<string>")
+    frontier = paths = settle(adj.where(F.col("u") == root).limit(1).select(F.lit(root).alias("entity_id"), F.lit(0).alias("length"), F.array(F.lit(root)).alias("path")))
     for d in range(1, depth + 1):
         nxt = frontier.select(F.col("entity_id").alias("_f"), "path").join(adj, F.col("_f") == F.col("u"))
         best = nxt.groupBy(F.col("v").alias("entity_id")).agg(F.min("path").alias("_p"))

@@ -20,8 +20,8 @@ def entity_id(prefix: str, key: str | Column) -> Column:
 
 
 def row_id(*parts: Column) -> Column:
-    """rel- and 16 hex digits of the hash of the parts' text."""
-    return F.concat(F.lit("rel-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+    """rel- and 32 hex digits of the hash of the parts' text."""
+    return F.concat(F.lit("rel-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAYMENTS_SQL = """payments AS (
   SELECT 'rel-' || substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DECIMAL(15,2)::VARCHAR,
       l_extendedprice::DECIMAL(15,2)::VARCHAR, l_discount::DECIMAL(15,2)::VARCHAR, l_tax::DECIMAL(15,2)::VARCHAR, l_returnflag, l_linestatus,
-      strftime(l_shipdate, '%Y-%m-%d'))), 1, 16) AS relationship_id,
+      strftime(l_shipdate, '%Y-%m-%d'))), 1, 32) AS relationship_id,
     printf('customer-%05d', o_custkey) AS source_id, printf('supplier-%05d', l_suppkey) AS target_id, 'TRANSFERRED_TO' AS relationship_type,
     l_shipdate AS ts, 1e0 - l_discount AS confidence, l_extendedprice::DECIMAL(15,2) * (1::DECIMAL(15,2) - l_discount::DECIMAL(15,2)) AS amount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -78,7 +78,7 @@ BACKBONE_SQL = """trade AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 backbone AS (
-  SELECT 'rel-' || substr(sha256(source_id || '|' || target_id), 1, 16) AS relationship_id, source_id, target_id
+  SELECT 'rel-' || substr(sha256(source_id || '|' || target_id), 1, 32) AS relationship_id, source_id, target_id
   FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n_lines DESC, target_id) AS k FROM trade) WHERE k <= 2),
 links AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM backbone),
 both_ways AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
@@ -119,7 +119,7 @@ OWNERSHIP_SQL = """own0 AS (
   UNION ALL SELECT printf('customer-%05d', c_custkey), printf('nation-%05d', c_nationkey), 'LOCATED_AT' FROM customer
   UNION ALL SELECT printf('supplier-%05d', s_suppkey), printf('nation-%05d', s_nationkey), 'LOCATED_AT' FROM supplier
   UNION ALL SELECT printf('nation-%05d', n_nationkey), printf('region-%05d', n_regionkey), 'ASSOCIATED_WITH' FROM nation),
-ownership AS (SELECT 'rel-' || substr(sha256(concat_ws('|', source_id, target_id, relationship_type)), 1, 16) AS relationship_id, * FROM own0)"""
+ownership AS (SELECT 'rel-' || substr(sha256(concat_ws('|', source_id, target_id, relationship_type)), 1, 32) AS relationship_id, * FROM own0)"""
 
 
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,16 @@ def key_index(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str, kept: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Target after the batch: known keys replaced but for the kept columns, new ones added. Of repeated keys in a batch the greatest row wins."""
-    rest = [c for c in batch.columns if c != key]
-    last = batch.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+def upsert(target: DataFrame, batch: DataFrame, key: str, kept: tuple[str, ...] = ("created_at",), arrival: str | None = None) -> DataFrame:
+    """Target after the batch: known keys replaced but for the kept columns, new ones added; rows without a key are left out.
+
+    Of repeated keys in a batch the row of the greatest `arrival` column (of the batch
+    alone) wins; without one, the greatest row by its columns that can be ordered.
+    """
+    rest = [c for c in batch.columns if c not in (key, arrival)]
+    plain = [f.name for f in batch.schema if f.name in rest and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    order = F.struct(arrival, *plain) if arrival else F.struct(F.lit(0).alias("_0"), *plain)
+    last = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
     old = target.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in kept])
     fresh = last.join(old, F.col(key) == F.col("_k"), "left").select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in kept else F.col(c) for c in rest])
     return target.join(last.select(key), key, "left_anti").unionByName(fresh)

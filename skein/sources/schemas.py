@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _REST = "metadata map<string,string>, created_at timestamp"
@@ -27,6 +29,11 @@ def key_of(collection: str) -> str:
     return COLLECTIONS[collection].split(" ", 1)[0]
 
 
+def columns(collection: str) -> list[str]:
+    """Names of a collection's columns; commas within a type's brackets part nothing."""
+    return [part.split()[0] for part in re.sub(r"[<(][^<>()]*[>)]", "", COLLECTIONS[collection]).split(",")]
+
+
 def empty(spark: SparkSession, collection: str) -> DataFrame:
     return spark.createDataFrame([], COLLECTIONS[collection])
 
