@@ -386,3 +386,106 @@ def articulation_indicators(spark, d):
     """Indicators of articulation points: the first five by id, whatever their score."""
     cuts = graphs.QUERIES["articulation_points_ownership"](spark, d).orderBy("entity_id").limit(5)
     return cuts.select(F.concat(F.lit("ind-bridge-"), "entity_id").alias("indicator_id"), F.lit("bridge_candidate").alias("indicator_type"), "entity_id")
+
+
+# Typed bursts, chains by id, base analysis, lookups with fallbacks
+
+TYPED_SQL = f"""WITH {A.ACTIVITY_SQL}, typed AS (SELECT relationship_id, source_id, target_id, ts, CASE relationship_type WHEN 'purchase' THEN 'TRANSFERRED_TO' WHEN 'click' THEN 'CALLED' ELSE 'KNOWS' END AS t FROM activity),
+times AS (SELECT source_id AS entity, epoch_us(ts) AS us FROM typed UNION ALL SELECT target_id, epoch_us(ts) FROM typed UNION ALL SELECT 'type:' || t, epoch_us(ts) FROM typed WHERE t <> 'KNOWS'),
+win AS (SELECT entity, (us - (SELECT min(us) FROM times)) // 3600000000 AS win, count(*) AS n FROM times GROUP BY 1, 2),
+base AS (SELECT entity, avg(n) AS mean, stddev_pop(n) AS std FROM win GROUP BY 1 HAVING count(*) >= 2 AND sum(n) >= 3),
+found AS (SELECT w.*, CASE WHEN std > 0 THEN mean + 2e0 * std ELSE mean + 1 END AS t FROM win w JOIN base USING (entity))
+SELECT entity, CASE entity WHEN 'type:CALLED' THEN 'communication_burst' WHEN 'type:TRANSFERRED_TO' THEN 'transaction_burst' ELSE 'temporal_burst' END AS indicator_type, win, n AS observed, round(t, 2) AS threshold FROM found WHERE n > t AND n >= 3"""
+
+
+def _typed(spark, d):
+    kind = F.when(F.col("relationship_type") == "purchase", "TRANSFERRED_TO").when(F.col("relationship_type") == "click", "CALLED").otherwise("KNOWS")
+    return temporal.bursts(A.activity(spark, d).withColumn("relationship_type", kind), hours=1).select("entity", "indicator_type", "win", "observed", "threshold")
+
+
+@query(TYPED_SQL)
+def typed_bursts(spark, d):
+    """Bursts by the hour of entities and of the two types that have bursts of their own."""
+    return _typed(spark, d)
+
+
+@query(f"SELECT * FROM ({TYPED_SQL}) ORDER BY observed DESC, win, entity LIMIT 20")
+def top_bursts(spark, d):
+    return _typed(spark, d).orderBy(F.desc("observed"), "win", "entity").limit(20)
+
+
+@query(f"""WITH c AS ({graphs.SQL['transfer_chains_top']}), asked AS (SELECT chain_id AS id FROM c WHERE chain_id LIKE '%0' UNION SELECT 'chain-unknown')
+SELECT 'expl-chain-' || id || '-' || substr(sha256(id), 1, 12) AS explanation_id, id, 'chain' AS analysis_type, coalesce(printf('chain of %d transfers from %s to %s', hop_count, source_account, destination_account), 'chain ' || id || ' not found') AS summary,
+  'simple directed paths of two to four transfers' AS methodology, 'min_hops=2,max_hops=4' AS parameters, coalesce(replace(path, '>', ','), '') AS contributing_entities, coalesce(evidence, '') AS supporting_evidence FROM asked LEFT JOIN c ON id = chain_id""")
+def explain_chain(spark, d):
+    chains = graphs.QUERIES["transfer_chains_top"](spark, d)
+    asked = chains.where("chain_id LIKE '%0'").select(F.col("chain_id").alias("id")).unionByName(spark.createDataFrame([("chain-unknown",)], "id string"))
+    return review.explanations(chains, "chain", "chain_id", F.format_string("chain of %d transfers from %s to %s", "hop_count", "source_account", "destination_account"), F.replace(F.col("path"), F.lit(">"), F.lit(",")), F.col("evidence"), "simple directed paths of two to four transfers", "min_hops=2,max_hops=4", asked)
+
+
+@query(f"""WITH {A.ENTITIES_SQL}, {A.OWNERSHIP_SQL}, per AS (SELECT node, count(*) AS c FROM (SELECT source_id AS node FROM ownership UNION ALL SELECT target_id FROM ownership) GROUP BY 1),
+top AS (SELECT node, c FROM per ORDER BY c DESC, node LIMIT 5)
+SELECT 'count' AS section, 'entities' AS name, count(*)::VARCHAR AS value FROM entities UNION ALL SELECT 'count', 'relationships', count(*)::VARCHAR FROM ownership
+UNION ALL SELECT 'degree', 'min', min(c)::VARCHAR FROM per UNION ALL SELECT 'degree', 'max', max(c)::VARCHAR FROM per UNION ALL SELECT 'top', node, c::VARCHAR FROM top
+UNION ALL SELECT 'indicator', 'high_network_centrality:' || node, CASE WHEN c >= 10 THEN 'HIGH' ELSE 'LOW' END FROM top
+UNION ALL SELECT 'type', relationship_type, count(*)::VARCHAR FROM ownership GROUP BY 2
+UNION ALL SELECT 'month', strftime(o_orderdate, '%Y-%m'), count(*)::VARCHAR FROM orders GROUP BY 2""")
+def base_analysis(spark, d):
+    """Counts, degrees, most connected entities with an indicator each, relationship types and months, a row a fact."""
+    ents, own = A.entities(spark, d), A.ownership(spark, d)
+    per = graph.adjacency(own).groupBy(F.col("node").alias("name")).agg(F.count("*").alias("c"))
+    top = per.orderBy(F.desc("c"), "name").limit(5)
+    row = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value"))
+    parts = [
+        row(ents.agg(F.count("*").alias("n")), "count", F.lit("entities"), F.col("n")), row(own.agg(F.count("*").alias("n")), "count", F.lit("relationships"), F.col("n")),
+        row(per.agg(F.min("c").alias("n")), "degree", F.lit("min"), F.col("n")), row(per.agg(F.max("c").alias("n")), "degree", F.lit("max"), F.col("n")), row(top, "top", F.col("name"), F.col("c")),
+        row(top, "indicator", F.concat(F.lit("high_network_centrality:"), "name"), F.when(F.col("c") >= 10, "HIGH").otherwise("LOW")),
+        row(own.groupBy("relationship_type").count(), "type", F.col("relationship_type"), F.col("count")),
+        row(A.table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).count(), "month", F.col("m"), F.col("count")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""WITH asked AS (SELECT printf('customer-%05d', c_custkey) AS id FROM customer UNION ALL SELECT printf('supplier-%05d', s_suppkey) FROM supplier UNION ALL SELECT printf('person-%05d', n_nationkey) FROM nation)
+SELECT id, coalesce(c_name, s_name, id) AS name, CASE WHEN c_name IS NOT NULL THEN 'Person' WHEN s_name IS NOT NULL THEN 'Organization' ELSE 'Unknown' END AS entity_type
+FROM asked LEFT JOIN (SELECT printf('customer-%05d', c_custkey) AS id, c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0) USING (id) LEFT JOIN (SELECT printf('supplier-%05d', s_suppkey) AS id, s_name FROM supplier) USING (id)""")
+def node_records_with_fallback(spark, d):
+    """Records of asked ids from the first store, else the second, else a stub of type Unknown; the first store lacks some on purpose."""
+    cust, supp, nation = (A.table(spark, d, t) for t in ("customer", "supplier", "nation"))
+    cid, sid = A.entity_id("customer", "c_custkey"), A.entity_id("supplier", "s_suppkey")
+    asked = cust.select(cid.alias("id")).unionByName(supp.select(sid.alias("id"))).unionByName(nation.select(A.entity_id("person", "n_nationkey").alias("id")))
+    first = cust.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0").select(cid.alias("id"), "c_name")
+    j = asked.join(first, "id", "left").join(supp.select(sid.alias("id"), "s_name"), "id", "left")
+    kind = F.when(F.col("c_name").isNotNull(), "Person").when(F.col("s_name").isNotNull(), "Organization").otherwise("Unknown")
+    return j.select("id", F.coalesce("c_name", "s_name", "id").alias("name"), kind.alias("entity_type"))
+
+
+@query("SELECT doc_id, surface, min(l_linenumber) AS position, arg_min(p, (l_linenumber::BIGINT * 1000000000 + l_partkey)) AS entity_id FROM (SELECT l_orderkey AS doc_id, lower(l_returnflag || l_linestatus) AS surface, l_linenumber, l_partkey, printf('part-%05d', l_partkey) AS p FROM lineitem) GROUP BY 1, 2")
+def first_match_by_surface(spark, d):
+    """Of the records registered under one surface in a document, the first; ties go to the smallest."""
+    line = A.table(spark, d, "lineitem")
+    return line.groupBy(F.col("l_orderkey").alias("doc_id"), F.lower(F.concat("l_returnflag", "l_linestatus")).alias("surface")).agg(F.min("l_linenumber").alias("position"), F.min_by(A.entity_id("part", "l_partkey"), F.struct("l_linenumber", "l_partkey")).alias("entity_id"))
+
+
+@query("SELECT event_id, user_id, printf('object-%d', event_id % 10) AS object_id FROM events WHERE printf('user-%d', user_id) = 'object-3' OR printf('object-%d', event_id % 10) = 'object-3'")
+def audit_by_entity_or_object(spark, d):
+    """Audit records of an id, whether it acted or was acted upon."""
+    ev = A.table(spark, d, "events").select("event_id", "user_id", F.format_string("object-%d", F.col("event_id") % 10).alias("object_id"))
+    return ev.where((F.format_string("user-%d", "user_id") == "object-3") | (F.col("object_id") == "object-3"))
+
+
+@query(f"""WITH {A.OWNERSHIP_SQL}, one AS (SELECT source_id AS id FROM ownership WHERE target_id = 'nation-00003' UNION SELECT target_id FROM ownership WHERE source_id = 'nation-00003' UNION SELECT 'nation-00003'),
+kept AS (SELECT id FROM one ORDER BY id LIMIT 20), inside AS (SELECT relationship_id FROM ownership WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept))
+SELECT (SELECT count(*) FROM one) AS found_nodes, (SELECT count(*) FROM kept) AS nodes, (SELECT count(*) FROM inside) AS found_edges, least((SELECT count(*) FROM inside), 10) AS edges, (SELECT count(*) FROM one) > 20 OR (SELECT count(*) FROM inside) > 10 AS truncated""")
+def subgraph_truncation(spark, d):
+    """Whether a neighbourhood of at most 20 nodes and 10 edges left something out, with the counts before and after."""
+    from skein.operators import traverse
+
+    own = A.ownership(spark, d)
+    reached = traverse.neighbourhood(own, spark.createDataFrame([("nation-00003",)], "entity_id string"), 1)
+    kept = reached.orderBy("entity_id").limit(20)
+    n = reached.agg(F.count("*").alias("found_nodes")).crossJoin(kept.agg(F.count("*").alias("nodes"))).crossJoin(graph.induced(own, kept).agg(F.count("*").alias("found_edges")))
+    return n.select("found_nodes", "nodes", "found_edges", F.least("found_edges", F.lit(10).cast("long")).alias("edges"), ((F.col("found_nodes") > 20) | (F.col("found_edges") > 10)).alias("truncated"))
