@@ -54,22 +54,26 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        of = self.ranks.get
+        #: Token of two neighbouring tokens, by both numbers in one.
+        self.pairs = {a << 32 | b: whole for piece, whole in self.ranks.items() for i in range(1, len(piece)) if (a := of(piece[:i])) is not None and (b := of(piece[i:])) is not None}
         self.known = Remembering(self.unit_tokens, REMEMBERED, LONGEST)
         self.seams = Remembering(lambda ab: tuple(self.merged(self.bytes_of[ab[0]] + self.bytes_of[ab[1]])), REMEMBERED, 2)
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a short piece: merge the pair of lowest rank until none is left."""
-        rank, parts = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
-        while pairs and (best := min(pairs)) != NONE:
-            at = pairs.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
+        ids, get = [self.single[b] for b in piece], self.pairs.get
+        ranks = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NONE:
+            at = ranks.index(best)
+            ids[at] = best
+            del ids[at + 1], ranks[at]
             if at:
-                pairs[at - 1] = rank(parts[at - 1] + parts[at], NONE)
-            if at < len(pairs):
-                pairs[at] = rank(parts[at] + parts[at + 1], NONE)
-        return [self.ranks[p] for p in parts]
+                ranks[at - 1] = get(ids[at - 1] << 32 | best, NONE)
+            if at < len(ranks):
+                ranks[at] = get(best << 32 | ids[at + 1], NONE)
+        return ids
 
     def seam(self, a: int, b: int) -> tuple[int, ...]:
         """Tokens of the bytes of two tokens."""

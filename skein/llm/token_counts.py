@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from skein.llm.bpe import Codec, codec
 from skein.llm.common import cut, per_document, saved, table, tokenizer_path
 
-#: Characters of a leaf, unless one pre-token is longer.
-LEAF = 512
+#: Characters of a leaf, unless one pre-token is longer: an edit encodes about three leaves.
+LEAF = 128
 
 
 class Node:
@@ -130,13 +130,13 @@ class TokenTree:
         return Node(left, right) if left is not None and right is not None else left if right is None else right
 
 
-LEAVES = "leaves array<struct<text:string,tokens:int>>"
+LEAVES = "leaves array<string>, tokens array<int>"
 #: Edits of one document that are applied at once.
 RUN = 1000
 
 
 def build_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """One tree for each row of docs: doc_id, n_chars, n_tokens, leaves, and edits if edits_col names a column of them.
+    """One tree for each row of docs: doc_id, n_chars, n_tokens, leaves and their tokens, and edits if edits_col names a column of them.
 
     A null text is empty and has one empty leaf. Texts of any length are encoded whole;
     repeated rows have a tree each. An empty table gives an empty result; other columns
@@ -147,7 +147,8 @@ def build_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
 
     def rows(keys, texts):
         trees = [TokenTree(t, codec(ranks_path)) for t in texts]
-        return {"doc_id": [k["doc_id"] for k in keys], "edits": [k["edits"] for k in keys], "n_chars": [len(t) for t in texts], "n_tokens": [t.tokens for t in trees], "leaves": [[{"text": x.text, "tokens": x.tokens} for x in t.leaves()] for t in trees]}
+        leaves = [t.leaves() for t in trees]
+        return {"doc_id": [k["doc_id"] for k in keys], "edits": [k["edits"] for k in keys], "n_chars": [len(t) for t in texts], "n_tokens": [t.tokens for t in trees], "leaves": [[x.text for x in v] for v in leaves], "tokens": [[x.tokens for x in v] for v in leaves]}
 
     trees = per_document(keyed, rows, f"doc_id long, n_chars long, n_tokens long, {LEAVES}, edits {EDITS}")
     return trees if edits_col else trees.drop("edits")
@@ -157,25 +158,26 @@ EDITS = "array<struct<start:int,removed:int,inserted:string>>"
 
 
 def edit_trees(trees: DataFrame, ranks_path: str, edits_col: str = "edits") -> DataFrame:
-    """The trees after their edits: doc_id, n_chars, n_tokens, leaves, n_chars_encoded for the edits, n_tokens_before.
+    """The trees after their edits: doc_id, n_chars, n_tokens, leaves, tokens, n_chars_encoded for the edits, n_tokens_before.
 
     edits_col: array of (start, removed, inserted) in code points, applied in its order;
     null or empty means none, null fields count as 0 and "". Places outside a text count
     as its nearest end.
     """
-    keyed = trees.select(F.struct("doc_id", F.col(edits_col).cast(EDITS).alias("edits"), "n_tokens").alias("key"), "leaves")
-    names = ["doc_id", "n_chars", "n_tokens", "leaves", "n_chars_encoded", "n_tokens_before"]
+    keyed = trees.select(F.struct("doc_id", F.col(edits_col).cast(EDITS).alias("edits"), "n_tokens", "n_chars", "tokens").alias("key"), "leaves")
+    names = ["doc_id", "n_chars", "n_tokens", "leaves", "tokens", "n_chars_encoded", "n_tokens_before"]
 
     def rows(keys, stored):
         out, encoder = [], codec(ranks_path)
         for key, leaves in zip(keys, stored):
             if not key["edits"]:
-                out.append((key["doc_id"], sum(len(x["text"]) for x in leaves), key["n_tokens"], leaves, 0, key["n_tokens"]))
+                out.append((key["doc_id"], key["n_chars"], key["n_tokens"], leaves, key["tokens"], 0, key["n_tokens"]))
                 continue
-            tree = TokenTree.stored([(x["text"], x["tokens"]) for x in leaves], encoder)
+            tree = TokenTree.stored(list(zip(leaves, key["tokens"])), encoder)
             for e in key["edits"]:
                 tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-            out.append((key["doc_id"], tree.root.chars, tree.tokens, [{"text": x.text, "tokens": x.tokens} for x in tree.leaves() if x.text] or [{"text": "", "tokens": 0}], tree.encoded, key["n_tokens"]))
+            now = [x for x in tree.leaves() if x.text] or [Node()]
+            out.append((key["doc_id"], tree.root.chars, tree.tokens, [x.text for x in now], [x.tokens for x in now], tree.encoded, key["n_tokens"]))
         return dict(zip(names, map(list, zip(*out))))
 
     return per_document(keyed, rows, f"doc_id long, n_chars long, n_tokens long, {LEAVES}, n_chars_encoded long, n_tokens_before long")
@@ -183,7 +185,7 @@ def edit_trees(trees: DataFrame, ranks_path: str, edits_col: str = "edits") -> D
 
 def text_of(leaves: Column) -> Column:
     """The text of a tree's leaves."""
-    return F.array_join(F.transform(leaves, lambda x: x["text"]), "")
+    return F.array_join(leaves, "")
 
 
 def counts_with_edits(docs: DataFrame, ranks_path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,10 +207,10 @@ def counts_after(trees: DataFrame, edits: DataFrame, ranks_path: str, run: int =
     order = Window.partitionBy("doc_id").orderBy("seq", "start", "removed", "inserted")
     numbered = cut(edits.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "start", "removed", "inserted").withColumn("_n", F.row_number().over(order) - 1))
     passes = 1 + ((numbered.agg(F.max("_n")).first()[0] or 0) // run)
-    now = trees.select("doc_id", "n_chars", "n_tokens", "leaves", F.lit(0).cast("long").alias("_encoded"))
+    now = trees.select("doc_id", "n_chars", "n_tokens", "leaves", "tokens", F.lit(0).cast("long").alias("_encoded"))
     for k in range(passes):
         some = numbered.where((F.col("_n") >= k * run) & (F.col("_n") < (k + 1) * run)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "start", "removed", "inserted"))), lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
-        touched = saved(edit_trees(now.join(some, "doc_id"), ranks_path).select("doc_id", "n_chars", "n_tokens", "leaves", F.col("n_chars_encoded").alias("_encoded")))
+        touched = saved(edit_trees(now.join(some, "doc_id"), ranks_path).select("doc_id", "n_chars", "n_tokens", "leaves", "tokens", F.col("n_chars_encoded").alias("_encoded")))
         others = now.join(some.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left_anti")
         now = saved(others.unionByName(touched)) if passes > 1 else others.unionByName(touched)
     return now.withColumnRenamed("_encoded", "n_chars_encoded")
