@@ -48,11 +48,11 @@ def test_generator_is_deterministic(spark):
 
 
 def test_hash_chain_shows_a_change(spark):
-    blocks = spark.createDataFrame([(i, f"d{i}") for i in range(20)], "k int, data string")
-    chain = audit.chained(blocks, "k", "data")
-    assert audit.verify(chain, "k", "data").where("NOT hash_ok OR NOT link_ok").count() == 0
+    blocks = spark.createDataFrame([(i, f"d{i}", f"log{i % 3}") for i in range(20)], "k int, data string, log string")
+    chain = audit.chained(blocks, "k", "data", "log")
+    assert audit.verify(chain, "k", "data", "log").where("NOT hash_ok OR NOT link_ok").count() == 0
     broken = chain.withColumn("data", F.when(F.col("k") == 7, "x").otherwise(F.col("data")))
-    assert [r["k"] for r in audit.verify(broken, "k", "data").where("NOT hash_ok").collect()] == [7]
+    assert [r["k"] for r in audit.verify(broken, "k", "data", "log").where("NOT hash_ok").collect()] == [7]
 
 
 def test_neutral_wording(spark):
