@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, exact_dedup, html_text, matroska, packing, pii, quality, simhash, token_counts, toxicity
+from skein.llm import bpe, context_tree, exact_dedup, html_text, matroska, merkle, packing, pii, quality, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_matroska": matroska.op9_matroska,
     "op10_pii": pii.op10_pii,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_context_tree": context_tree.op13_context_tree,
 }
 
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}

@@ -5,7 +5,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry_has_every_operator():
-    assert {int(q[2:].split("_")[0]) for q in registry.QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in registry.QUERIES} == set(range(1, 14))
 
 
 def test_stages(spark):
