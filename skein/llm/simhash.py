@@ -290,10 +290,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_co
 
     marked = cut(per_document(keyed, rows, "doc_id long, digest string, fp long"))
     stays = first_of_each(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"), radius).select("first.doc_id", "first.digest").distinct()
-    counted = cut(marked.groupBy("doc_id", "digest").agg(F.count("*").alias("rows_")).join(stays.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("_id", "_digest", "rows_"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.md5(text) == F.col("_digest"))
-    once = docs.join(counted.where("rows_ = 1"), same, "left_semi")
+    counted = cut(marked.groupBy("doc_id", "digest").agg(F.count("*").alias("rows_")).alias("m").join(stays.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.digest") == F.col("s.digest"))).select("m.doc_id", "m.digest", "rows_"))
+    own_id, own_text = F.col(f"d.`{id_col}`").cast("long"), F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit(""))
+    same = own_id.eqNullSafe(F.col("c.doc_id")) & (F.md5(own_text) == F.col("c.digest"))
+    once = docs.alias("d").join(counted.where("rows_ = 1").alias("c"), same, "left_semi")
     if not counted.where("rows_ > 1").limit(1).count():
         return once
-    repeated = docs.join(counted.where("rows_ > 1"), same, "left_semi").withColumn("_of", F.md5(text)).dropDuplicates([id_col, "_of"]).drop("_of")
+    of = "_of" + "_" * max(map(len, docs.columns))  # a name that docs does not have
+    repeated = docs.alias("d").join(counted.where("rows_ > 1").alias("c"), same, "left_semi").withColumn(of, F.md5(text)).dropDuplicates([id_col, of]).drop(of)
     return once.unionByName(repeated)

@@ -16,11 +16,9 @@ def test_stages(spark):
         assert docs.columns == columns, name
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[3] == sizes[4] and sizes[1] >= 0.8 * sizes[0]
-    texts = [r["text"] for r in docs.collect()]
-    assert len(set(texts)) == len(texts) or sizes[3] >= len(set(texts))
     before = corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF)
     rows = simhash.near_duplicates(before).collect()
-    assert {r["doc_id"] for r in docs.collect()} == {r["component_id"] for r in rows}
+    assert sorted(r["doc_id"] for r in docs.collect()) == sorted({r["component_id"] for r in rows})
 
 
 def test_run(spark):
@@ -30,8 +28,8 @@ def test_run(spark):
 
 def test_stages_on_odd_documents(spark, odd):
     """Nulls in any column, repeated and null ids, clashing names and empty tables; rows are compared, not sets of ids."""
-    wide = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, _hash string, key string"
-    rows = [(i, t, None, None, None if t is None else len(t), "x", None, "x", "x") for i, t in odd + [(5, "another text of number five"), (4, "one two three four five")]]
+    wide = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, _hash string, key string, _id string, _digest string, digest string, rows_ string, _of string"
+    rows = [(i, t, None, None, None if t is None else len(t), "x", None, "x", "x", "x", "x", "x", "x", "x") for i, t in odd + [(5, "another text of number five"), (4, "one two three four five")]]
     docs = spark.createDataFrame(rows, wide)
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
