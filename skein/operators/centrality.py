@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.base import settle
-from skein.operators.graph import neighbours
+from skein.operators.graph import endpoints, neighbours
 
 
 def degree_centrality(rels: DataFrame, nodes: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -43,10 +43,46 @@ def closeness(dist: DataFrame, n: int) -> DataFrame:
     return per.select("entity_id", F.round(score, 6).alias("closeness"))
 
 
-def betweenness(rels: DataFrame, dist: DataFrame, n: int) -> DataFrame:
+def pivots(nodes: DataFrame, k: int, key: str = "entity_id") -> DataFrame:
+    """The k nodes of smallest hash: a sample that does not depend on the order of rows."""
+    return nodes.select(key).distinct().orderBy(F.xxhash64(key), key).limit(k)
+
+
+def sampled_closeness(rels: DataFrame, k: int = 64) -> DataFrame:
+    """(entity_id, closeness, error): estimates from the distances to k pivots, exact where the graph has no more nodes.
+
+    The mean distance to the pivots stands for that to all nodes, the share of pivots
+    reached for that of nodes. error is the closeness's standard error through that of the
+    mean distance, with the correction for a finite population.
+    """
+    near = settle(endpoints(rels))
+    n, some = near.count(), settle(pivots(near, k))
+    sample = min(n, k)
+    dist = distances(rels, some).where("dist > 0").groupBy(F.col("node").alias("entity_id")).agg(F.count("*").alias("r"), F.avg("dist").alias("mean"), F.coalesce(F.stddev_samp("dist"), F.lit(0.0)).alias("s"))
+    held = near.join(some.withColumn("_own", F.lit(1)), "entity_id", "left").join(dist, "entity_id", "left")
+    others = F.lit(sample) - F.coalesce("_own", F.lit(0))  # pivots besides the node itself
+    share, spread = F.col("r") / others, F.sqrt(F.lit((n - sample) / max(1, n - 1)))
+    close = F.when(others > 0, F.coalesce(share / F.col("mean"), F.lit(0.0))).otherwise(0.0)
+    error = F.coalesce(close * F.col("s") / F.col("mean") / F.sqrt("r") * spread, F.lit(0.0))
+    return held.select("entity_id", F.round(close, 6).alias("closeness"), F.round(error, 6).alias("error"))
+
+
+def sampled_betweenness(rels: DataFrame, k: int = 64) -> DataFrame:
+    """(entity_id, betweenness, error): estimates from the shortest paths that start at k pivots, exact where the graph has no more nodes.
+
+    error is the standard error of the mean over the pivots, with the correction for a
+    finite population.
+    """
+    near = settle(endpoints(rels))
+    n, some = near.count(), settle(pivots(near, k))
+    return betweenness(rels, distances(rels, some), n, errors=True)
+
+
+def betweenness(rels: DataFrame, dist: DataFrame, n: int, errors: bool = False) -> DataFrame:
     """Shares of shortest paths through each of the n nodes, ends excluded, over all pairs whose start is a source of dist.
 
-    Dependencies are summed from the far end, level by level.
+    Dependencies are summed from the far end, level by level. errors: also the standard error
+    of that share over the sources, as a sample of all n nodes.
     """
     adj = neighbours(rels)
     deepest = dist.agg(F.max("dist")).first()[0] or 0
@@ -67,10 +103,17 @@ def betweenness(rels: DataFrame, dist: DataFrame, n: int) -> DataFrame:
     sources = dist.select(F.col("src").alias("_src")).distinct()
     k = sources.count()
     of_source, of_other = (1.0 / (x * (n - 2)) if x > 0 and n > 2 else 0.0 for x in (k - 1, k))
-    per = total.groupBy("node").agg(F.sum("delta").alias("sum"))
+    per = total.groupBy("node").agg(F.sum("delta").alias("sum"), F.sum(F.col("delta") ** 2).alias("squares"))
     ids = adj.select(F.col("u").alias("entity_id")).unionByName(sources.select(F.col("_src").alias("entity_id"))).distinct()
     scale = F.when(F.col("_src").isNotNull(), of_source).otherwise(of_other)
-    return ids.join(per, F.col("entity_id") == F.col("node"), "left").join(sources, F.col("entity_id") == F.col("_src"), "left").select("entity_id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
+    held = ids.join(per, F.col("entity_id") == F.col("node"), "left").join(sources, F.col("entity_id") == F.col("_src"), "left")
+    share = F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness")
+    if not errors:
+        return held.select("entity_id", share)
+    times = F.lit(float(k)) - F.when(F.col("_src").isNotNull(), 1).otherwise(0)
+    variance = F.greatest(F.lit(0.0), (F.col("squares") - F.col("sum") ** 2 / times) / (times - 1)) / (max(1, n - 2) ** 2)
+    error = F.when((times > 1) & F.col("sum").isNotNull(), F.sqrt(variance / times * max(0.0, (n - k) / max(1, n - 1)))).otherwise(0.0)
+    return held.select("entity_id", share, F.round(error, 6).alias("error"))
 
 
 def pagerank(rels: DataFrame, nodes: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, key: str = "entity_id") -> DataFrame:
@@ -81,7 +124,7 @@ def pagerank(rels: DataFrame, nodes: DataFrame, rounds: int = 100, damping: floa
     """
     pairs = neighbours(rels)
     deg = pairs.groupBy("u").agg(F.count("*").alias("_deg"))
-    edges = settle(pairs.join(deg, "u").select("u", "v", (1.0 / F.col("_deg")).alias("share")).repartition("u"))
+    edges = settle(pairs.join(deg, "u").select("u", "v", (1.0 / F.col("_deg")).alias("share")).repartition("u"), partitioned=True)
     ids = settle(nodes.select(F.col(key).alias("id")).unionByName(edges.select(F.col("u").alias("id"))).distinct())
     n = ids.count()
     if not n:

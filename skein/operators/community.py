@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.base import settle
+from skein.operators.base import ranked, settle
 from skein.operators.graph import adjacency, components, neighbours, simple_edges, sizes_and_firsts
 
 
@@ -27,41 +27,155 @@ def label_propagation(rels: DataFrame, nodes: DataFrame, rounds: int = 12, key:
     return labels
 
 
-def modularity_communities(rels: DataFrame) -> DataFrame:
-    """(node, community): agglomeration by modularity gain on the simple graph.
+def label_propagation_in_turns(rels: DataFrame, nodes: DataFrame, rounds: int = 12, key: str = "entity_id") -> DataFrame:
+    """(node, colour, label): label propagation where nodes of one colour, which share no edge, vote together and colours vote in turn.
 
-    Every round merges all pairs of communities that are each other's best gain above
-    zero (ties to the smallest members). The pair of largest gain is always among them;
-    other mutual pairs merge in the same round, so rounds stay few.
+    The result is that of nodes voting one after another in the order (colour, id); labels
+    cannot swing to and fro between two sides of an edge. Votes are weighted by parallel
+    edges, self-loops give none, ties go to the smallest label. Rounds end when no label moves.
+    """
+    colours = settle(colouring(rels, nodes, key))
+    votes = settle(adjacency(rels).where("node <> nbr").groupBy("node", "nbr").agg(F.count("*").alias("w")).join(colours, "node"))
+    labels = colours.select("node", F.col("node").alias("label"))
+    top = colours.agg(F.max("colour")).first()[0]
+    for _ in range(rounds if top is not None else 0):
+        before = labels
+        for c in range(top + 1):
+            cast = votes.where(F.col("colour") == c).join(labels.select(F.col("node").alias("nbr"), "label"), "nbr").groupBy("node", "label").agg(F.sum("w").alias("w"))
+            won = cast.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("_best")).select("node", F.col("_best.label").alias("_new"))
+            labels = labels.join(won, "node", "left").select("node", F.coalesce("_new", "label").alias("label"))
+            labels = settle(labels) if c == top or c % 4 == 3 else labels
+        if not labels.exceptAll(before).limit(1).count():
+            break
+    return labels.join(colours, "node").select("node", "colour", "label")
+
+
+def colouring(rels: DataFrame, nodes: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(node, colour): colours from 0 on, different at the two ends of every edge.
+
+    In each round the nodes whose hash is above that of all their uncoloured neighbours
+    take the smallest colour that no neighbour has; no two of them are neighbours.
+    """
+    adj = settle(neighbours(rels))
+    left = settle(nodes.select(F.col(key).alias("node")).unionByName(adj.select(F.col("u").alias("node"))).distinct().select("node", F.struct(F.xxhash64("node").alias("h"), "node").alias("rank")))
+    done = None
+    while left.limit(1).count():
+        other = left.select(F.col("node").alias("v"), F.col("rank").alias("_of"))
+        beaten = adj.join(other, "v").groupBy(F.col("u").alias("node")).agg(F.max("_of").alias("_most"))
+        ready = left.join(beaten, "node", "left").where("_most IS NULL OR rank > _most").select("node")
+        if done is None:
+            chosen = ready.withColumn("colour", F.lit(0))
+        else:
+            used = ready.join(adj, F.col("node") == F.col("u")).join(done.select(F.col("node").alias("v"), "colour"), "v").groupBy("node").agg(F.collect_set("colour").alias("_used"))
+            free = F.filter(F.sequence(F.lit(0), F.size("_used")), lambda c: ~F.array_contains("_used", c))
+            chosen = ready.join(used, "node", "left").select("node", F.when(F.col("_used").isNull(), 0).otherwise(F.array_min(free)).alias("colour"))
+        chosen = settle(chosen)
+        done = chosen if done is None else done.unionByName(chosen)
+        left = settle(left.join(chosen.select("node"), "node", "left_anti"))
+    return nodes.select(F.col(key).alias("node"), F.lit(0).alias("colour")).where("false") if done is None else done
+
+
+def modularity_communities(rels: DataFrame, moves: int = 5) -> DataFrame:
+    """(node, community): agglomeration on the simple graph, then moves of single nodes; a community is named by its smallest node.
+
+    Communities are the nodes of a weighted graph that is contracted after each round, so
+    rounds shrink. Of the pairs whose merger raises modularity, a community prefers that of
+    most edges for its degrees; pairs that tie are ordered by a hash that differs by round,
+    so that many equal pairs merge at once. Mutual choices merge, and with them communities
+    with a single neighbour, where modularity rises even if all that neighbour's others come
+    too. At last, up to `moves` times, nodes that gain most among their neighbours move to a
+    neighbour's community, as long as modularity rises. All steps are joins and aggregations.
     """
     pairs = settle(simple_edges(rels))
-    m = pairs.count()
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    labels = settle(both.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("community")))
-    degrees = both.groupBy("u").agg(F.count("*").alias("deg"))
-    while True:
-        at = labels.join(degrees, F.col("node") == F.col("u")).groupBy("community").agg(F.sum("deg").alias("deg"))
-        ends = pairs.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca <> cb")
-        between = ends.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count("*").alias("e"))
-        gain = between.join(at.select(F.col("community").alias("x"), F.col("deg").alias("dx")), "x").join(at.select(F.col("community").alias("y"), F.col("deg").alias("dy")), "y")
-        gain = gain.select("x", "y", (2 * F.lit(m) * F.col("e") - F.col("dx") * F.col("dy")).alias("g")).where("g > 0")
-        best = gain.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("o")), F.struct(F.col("y").alias("c"), F.col("x").alias("o")))).alias("p"), "g", "x", "y").groupBy("p.c").agg(F.min(F.struct((-F.col("g")).alias("g"), F.col("x"), F.col("y"), F.col("p.o").alias("o"))).alias("b"))
-        chosen = best.select("c", F.col("b.o").alias("o"))
-        merged = settle(chosen.alias("l").join(chosen.alias("r"), (F.col("l.c") == F.col("r.o")) & (F.col("l.o") == F.col("r.c"))).where("l.c > l.o").select(F.col("l.c").alias("_from"), F.col("l.o").alias("_to")))
+    m, both = pairs.count(), neighbours(rels)
+    degrees = settle(both.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("deg")))
+    x, y = (degrees.select(F.col("node").alias(n), F.col("deg").alias(d)) for n, d in (("a", "dx"), ("b", "dy")))
+    edges = settle(pairs.join(x, "a").join(y, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).cast("long").alias("w"), "dx", "dy"))
+    gone, n = None, 0
+    while m:
+        n += 1
+        merged = settle(_mergers(edges, m, n))
         if not merged.limit(1).count():
-            return labels
-        labels = settle(labels.join(merged, F.col("community") == F.col("_from"), "left").select("node", F.coalesce("_to", "community").alias("community")))
+            break
+        gone = merged.select("c", "to") if gone is None else gone.unionByName(merged.select("c", "to"))
+        sums = merged.groupBy("to").agg((F.max("d_to") + F.sum("d")).alias("nd"))
+        renamed = merged.select("c", "to").join(sums, "to").unionByName(sums.select(F.col("to").alias("c"), "to", "nd"))
+        for end, d in (("x", "dx"), ("y", "dy")):
+            edges = edges.join(renamed.select(F.col("c").alias(end), F.col("to").alias("_to"), F.col("nd").alias("_nd")), end, "left")
+            edges = edges.withColumns({end: F.coalesce("_to", end), d: F.coalesce("_nd", d)}).drop("_to", "_nd")
+        turned = F.col("x") > F.col("y")
+        low, high = F.when(turned, F.struct(F.col("y").alias("c"), F.col("dy").alias("d"))).otherwise(F.struct(F.col("x").alias("c"), F.col("dx").alias("d"))), F.when(turned, F.struct(F.col("x").alias("c"), F.col("dx").alias("d"))).otherwise(F.struct(F.col("y").alias("c"), F.col("dy").alias("d")))
+        edges = settle(edges.where("x <> y").groupBy(low.alias("l"), high.alias("h")).agg(F.sum("w").alias("w")).select(F.col("l.c").alias("x"), F.col("h.c").alias("y"), "w", F.col("l.d").alias("dx"), F.col("h.d").alias("dy")))
+    labels = degrees.select("node", F.col("node").alias("community"))
+    if gone is not None:
+        up = settle(gone)
+        while True:  # every community went into one other at most: follow the names to the last, twice as far each time
+            nxt = up.join(up.select(F.col("c").alias("to"), F.col("to").alias("_on")), "to", "left")
+            if not nxt.where("_on IS NOT NULL").limit(1).count():
+                break
+            up = settle(nxt.select("c", F.coalesce("_on", "to").alias("to")))
+        labels = settle(labels.join(up.select(F.col("c").alias("node"), "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+    labels = _moved(settle(both), degrees, labels, m, moves) if m else labels
+    names = labels.groupBy("community").agg(F.min("node").alias("_first"))
+    return settle(labels.join(names, "community").select("node", F.col("_first").alias("community")))
+
+
+def _mergers(edges: DataFrame, m: int, n: int) -> DataFrame:
+    """(c, to, d, d_to): communities that go into others in round n, each once, none into one that goes itself."""
+    sides = edges.select(F.col("x").alias("c"), F.col("y").alias("o"), "w", F.col("dx").alias("dc"), F.col("dy").alias("do")).unionByName(edges.select(F.col("y").alias("c"), F.col("x").alias("o"), "w", F.col("dy").alias("dc"), F.col("dx").alias("do")))
+    least, most = F.least("c", "o"), F.greatest("c", "o")
+    order = F.struct((F.col("w") / (F.col("dc") * F.col("do"))).alias("lift"), F.xxhash64(F.lit(n), least, most).alias("h"), least.alias("l"), most.alias("g"), "o", "w", "dc", "do")
+    best = sides.groupBy("c").agg(F.max(F.when(2 * F.lit(m) * F.col("w") > F.col("dc") * F.col("do"), order)).alias("b"), F.count("*").alias("near")).where("b IS NOT NULL").select("c", "b.o", "b.w", "b.dc", "b.do", "near")
+    second = best.select(F.col("c").alias("o"), F.col("o").alias("o2"), F.col("do").alias("d2"))
+    third = best.select(F.col("c").alias("o2"), F.col("o").alias("o3"))
+    seen = best.join(second, "o", "left").join(third, "o2", "left")
+    pairs = seen.where("o2 = c AND c > o").select("c", F.col("o").alias("to"), F.col("dc").alias("d"), F.col("do").alias("d_to"))
+    paired = F.col("o3") == F.col("o")
+    single = seen.where("near = 1 AND NOT (o2 <=> c)").select("c", "w", "dc", F.when(paired, F.least("o", "o2")).otherwise(F.col("o")).alias("to"), (F.col("do") + F.when(paired, F.col("d2")).otherwise(0)).alias("base"), F.when(paired & (F.col("o2") < F.col("o")), F.col("d2")).otherwise(F.col("do")).alias("d_to"))
+    all_ = single.groupBy("to").agg(F.sum("dc").alias("come"))
+    joined = single.join(all_, "to").where(2 * F.lit(m) * F.col("w") > F.col("dc") * (F.col("base") + F.col("come") - F.col("dc")))
+    return pairs.unionByName(joined.select("c", "to", F.col("dc").alias("d"), "d_to"))
+
+
+def _moved(both: DataFrame, degrees: DataFrame, labels: DataFrame, m: int, rounds: int) -> DataFrame:
+    """labels after up to `rounds` rounds of moves of single nodes."""
+    def score(of: DataFrame) -> float:
+        inside = both.join(of.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv").count()
+        squares = of.join(degrees, "node").groupBy("community").agg(F.sum("deg").alias("d")).agg(F.sum((F.col("d") / (2 * m)) ** 2)).first()[0]
+        return inside / (2 * m) - squares
+
+    now = score(labels) if rounds else 0.0
+    for n in range(rounds):
+        own = labels.join(degrees, "node")
+        totals = own.groupBy("community").agg(F.sum("deg").alias("total"))
+        votes = both.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.count("*").alias("w"))
+        votes = votes.unionByName(labels.select("node", "community", F.lit(0).cast("long").alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        held = votes.join(totals, "community").join(own.select("node", F.col("community").alias("_own"), "deg"), "node")
+        here = F.col("community") == F.col("_own")
+        gain = 2 * F.lit(m) * F.col("w") - F.col("deg") * (F.col("total") - F.when(here, F.col("deg")).otherwise(0))
+        per = held.groupBy("node").agg(F.max(F.when(here, gain)).alias("stay"), F.max(F.when(~here, F.struct(gain.alias("g"), F.xxhash64(F.lit(n), "node", "community").alias("h"), "community"))).alias("b"))
+        wish = settle(per.where("b.g > stay").select("node", "b.community", F.struct((F.col("b.g") - F.col("stay")).alias("g"), F.xxhash64(F.lit(n), "node").alias("h"), "node").alias("rank")))
+        rival = wish.select(F.col("node").alias("v"), F.col("rank").alias("_other"))
+        outdone = wish.join(both, F.col("node") == F.col("u")).join(rival, "v").where("_other > rank").select("node").distinct()
+        goes = wish.join(outdone, "node", "left_anti").select("node", F.col("community").alias("_to"))
+        nxt = settle(labels.join(goes, "node", "left").select("node", F.coalesce("_to", "community").alias("community")))
+        then = score(nxt)
+        if then <= now + 1e-12:
+            break
+        labels, now = nxt, then
+    return labels
 
 
 def community_table(rels: DataFrame, labels: DataFrame, sample: int = 5) -> DataFrame:
-    """Size, internal multigraph and simple edges, densities and first members of each (node, community)."""
+    """Size, internal multigraph and simple edges, densities, first members and index (by smallest member) of each (node, community)."""
     a, b = (labels.select(F.col("node").alias(n), F.col("community").alias(c)) for n, c in (("_s", "cs"), ("_t", "ct")))
     inside = rels.join(a, F.col("source_id") == F.col("_s")).join(b, F.col("target_id") == F.col("_t")).where("cs = ct")
     edges = inside.groupBy(F.col("cs").alias("community")).agg(F.count("*").alias("internal_edges"), F.countDistinct(F.least("source_id", "target_id"), F.greatest("source_id", "target_id")).alias("simple_edges"))
     sizes = sizes_and_firsts(labels, "community", sample)
     room = F.col("size") * (F.col("size") - 1) / 2
     per = sizes.join(edges, "community", "left").select("community", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), F.coalesce("simple_edges", F.lit(0)).alias("simple_edges"), "members")
-    return per.withColumns({d: F.when(room > 0, F.round(F.col(c) / room, 6)).otherwise(0.0) for d, c in (("density", "internal_edges"), ("simple_density", "simple_edges"))})
+    per = per.withColumns({d: F.when(room > 0, F.round(F.col(c) / room, 6)).otherwise(0.0) for d, c in (("density", "internal_edges"), ("simple_density", "simple_edges"))})
+    return ranked(per, "community").withColumn("community_id", F.format_string("community-%03d", "rank")).drop("rank")
 
 
 def boundary_scores(rels: DataFrame, labels: DataFrame) -> DataFrame:

@@ -88,9 +88,9 @@ def window_counts(spark, d):
 
 
 def _all(spark, d):
-    """The analytics of all trade, the activity's bursts and the chains of all trade, which only top-k reads."""
+    """The analytics of frequent payments, the activity's bursts and the chains of payments between accounts."""
     x = graphs.scored(spark, d)
-    return x, settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS)), traverse.transfer_chains(x.rels)
+    return x, settle(temporal.bursts(A.activity(spark, d), pseudo=KINDS)), settle(traverse.timed_chains(A.account_payments(spark, d)))
 
 
 @query()
@@ -108,15 +108,15 @@ def findings(spark, d):
 @query()
 def evidence_items(spark, d):
     x, burst, chains = _all(spark, d)
-    return derived.evidence_items(A.nations(spark, d), x.rels, chains, derived.indicators(x.between, x.bridges, burst, chains))
+    return derived.evidence_items(A.entities(spark, d), x.rels, chains, derived.indicators(x.between, x.bridges, burst, chains))
 
 
 @query()
 def snapshot_bundle(spark, d):
     """Subgraph, findings and evidence of one root as rows of one table."""
     x, burst, chains = _all(spark, d)
-    root = spark.createDataFrame([("nation-00003",)], "entity_id string")
-    nodes, edges = traverse.bounded_subgraph(x.rels, A.nations(spark, d), root, 2)
+    root = spark.createDataFrame([("supplier-00003",)], "entity_id string")
+    nodes, edges = traverse.bounded_subgraph(x.rels, A.entities(spark, d), root, 2)
     found = derived.findings(x.bridges, burst, chains, strength.relationship_strength(x.rels))
     items = derived.evidence_items(nodes, edges, chains, derived.indicators(x.between, x.bridges, burst, chains))
     part = lambda df, name, key: df.select(F.lit(name).alias("part"), F.col(key).alias("id"))
@@ -126,8 +126,8 @@ def snapshot_bundle(spark, d):
 @query()
 def entity_profile(spark, d):
     x, burst, chains = _all(spark, d)
-    facts = x.between.join(centrality.degree_centrality(x.rels, A.nations(spark, d)), "entity_id")
-    return derived.profile(x.rels, facts, x.labels, x.cuts, derived.indicators(x.between, x.bridges, burst, chains), "nation-00003")
+    facts = x.between.join(centrality.degree_centrality(x.rels, graphs.graph.endpoints(x.rels)), "entity_id")
+    return derived.profile(x.rels, facts, x.labels, x.cuts, derived.indicators(x.between, x.bridges, burst, chains), "supplier-00003")
 
 
 @query()
@@ -136,12 +136,12 @@ def explain_lookup(spark, d):
     x, burst, chains = _all(spark, d)
     tied = strength.relationship_strength(x.rels)
     parts = [
-        derived.explain("bridge", "nation-00003", F.concat(F.lit("connects groups by "), "metric"), x.bridges, F.col("entity_id") == "nation-00003", F.col("evidence"), "bridge_candidates", {"k": "5"}),
-        derived.explain("chain", "nation-00003", F.format_string("%d transfers", "hop_count"), chains.orderBy("hop_count", "path"), F.contains("path", F.lit("nation-00003")), F.col("evidence"), "transfer_chains", {"min_hops": "2", "max_hops": "4"}),
+        derived.explain("bridge", "supplier-00003", F.concat(F.lit("connects groups by "), "metric"), x.bridges, F.col("entity_id") == "supplier-00003", F.col("evidence"), "bridge_candidates", {"k": "5"}),
+        derived.explain("chain", "account-00003", F.format_string("%d transfers", "hop_count"), chains.orderBy("hop_count", "path"), F.contains("path", F.lit("account-00003")), F.col("evidence"), "timed_chains", {"min_hops": "2", "max_hops": "4"}),
         derived.explain("burst", "user-00001", F.format_string("%d in one window", "observed"), burst.orderBy("win"), F.col("entity") == "user-00001", F.col("win"), "bursts", {"hours": "24", "z": "2"}),
-        derived.explain("strength", "nation-00003", F.format_string("strength %.4f", "interaction_strength"), tied.orderBy("relationship_id"), F.col("source_id") == "nation-00003", F.col("relationship_id"), "relationship_strength", {}),
-        derived.explain("community", "nation-00003", F.concat(F.lit("member of "), "community"), x.labels, F.col("node") == "nation-00003", F.col("community"), "modularity_communities", {}),
-        derived.explain("centrality", "nation-00003", F.format_string("betweenness %.4f", "betweenness"), x.between, F.col("entity_id") == "nation-00003", F.col("entity_id"), "betweenness", {}),
+        derived.explain("strength", "supplier-00003", F.format_string("strength %.4f", "interaction_strength"), tied.orderBy("relationship_id"), F.col("target_id") == "supplier-00003", F.col("relationship_id"), "relationship_strength", {}),
+        derived.explain("community", "supplier-00003", F.concat(F.lit("member of "), "community"), x.labels, F.col("node") == "supplier-00003", F.col("community"), "modularity_communities", {}),
+        derived.explain("centrality", "supplier-00003", F.format_string("betweenness %.4f", "betweenness"), x.between, F.col("entity_id") == "supplier-00003", F.col("entity_id"), "betweenness", {}),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skein.plans import analytics, graphs, platform, review, texts
 
-FLAGSHIP = "transfer_chains_whole"
+FLAGSHIP = "timed_chains"
 PARTS = (graphs, analytics, texts, platform, review)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.SQL.items()}

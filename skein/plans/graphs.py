@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import centrality, community, graph, traverse
-from skein.operators.base import settle
+from skein.operators.base import settle, together
 from skein.sources import adapters as A
 
 QUERIES, SQL = {}, {}
@@ -209,6 +209,24 @@ def account_to_account(spark, d):
     return found.join(F.broadcast(found.agg(F.min("destination_account").alias("destination_account"))), "destination_account")
 
 
+TIMED_SQL = f"""WITH RECURSIVE {A.ACCOUNTS_SQL}, hops AS (SELECT * FROM accounts WHERE source_id <> target_id AND amount > 0),
+walk AS (SELECT [source_id, target_id] AS path, [relationship_id] AS evidence, target_id AS last, ts, amount, 1 AS hops FROM hops
+  UNION ALL SELECT list_append(path, h.target_id), list_append(evidence, h.relationship_id), h.target_id, h.ts, h.amount, w.hops + 1 FROM walk w JOIN hops h ON h.source_id = w.last
+    AND h.ts > w.ts AND h.ts <= w.ts + 30 AND h.amount <= w.amount AND h.amount >= w.amount * 0.9 AND NOT list_contains(w.path, h.target_id) WHERE w.hops < 4),
+chains AS (SELECT hops AS hop_count, path[1] AS source_account, last AS destination_account, array_to_string(path, '>') AS path, array_to_string(evidence, ',') AS evidence FROM walk WHERE hops >= 2)"""
+
+
+@query(f"{TIMED_SQL} SELECT * FROM chains")
+def timed_chains(spark, d):
+    return traverse.timed_chains(A.account_payments(spark, d))
+
+
+@query(f"""{TIMED_SQL} SELECT *, printf('chain-%03d', row_number() OVER (ORDER BY hop_count, source_account, destination_account, path, evidence) - 1) AS chain_id
+FROM chains ORDER BY hop_count, source_account, destination_account, path, evidence LIMIT 20""")
+def timed_chains_top(spark, d):
+    return traverse.timed_chains(A.account_payments(spark, d), limit=20)
+
+
 def _labels_sql(rounds: int, start: str) -> str:
     out = [start]
     for i in range(1, rounds + 1):
@@ -308,7 +326,7 @@ def label_propagation(spark, d):
 
 @dataclass
 class Scored:
-    """All trade with its analytics, each settled once."""
+    """Frequent payments with their analytics, each settled once."""
 
     rels: DataFrame
     between: DataFrame
@@ -323,19 +341,40 @@ def _distances(spark, d, rels):
 
 
 def scored(spark, d) -> Scored:
-    rels = settle(A.trade_edges(spark, d))
-    dist = centrality.distances(rels)
-    between = settle(centrality.betweenness(rels, dist, dist.select("src").distinct().count()))
-    cuts, labels = settle(community.articulation_points(rels)), community.modularity_communities(rels)
+    rels = settle(A.frequent_payments(spark, d))
+    between, cuts, labels = together(
+        lambda: settle(centrality.sampled_betweenness(rels)), lambda: settle(community.articulation_points(rels)), lambda: community.modularity_communities(rels)
+    )
     return Scored(rels, between, cuts, labels, settle(community.bridge_candidates(rels, cuts, between, labels)))
 
 
 @query()
 def modularity_communities(spark, d):
-    rels = settle(A.trade_edges(spark, d))
+    rels = settle(A.frequent_payments(spark, d))
     return community.community_table(rels, community.modularity_communities(rels))
 
 
+@query()
+def label_propagation_turns(spark, d):
+    rels = settle(A.frequent_payments(spark, d))
+    return community.label_propagation_in_turns(rels, graph.endpoints(rels))
+
+
+@query()
+def betweenness_sampled(spark, d):
+    return centrality.sampled_betweenness(settle(A.frequent_payments(spark, d)))
+
+
+@query()
+def closeness_sampled(spark, d):
+    return centrality.sampled_closeness(settle(A.frequent_payments(spark, d)))
+
+
+@query(f"WITH {A.FREQUENT_SQL} SELECT relationship_id, source_id, target_id, relationship_type, ts::TIMESTAMP AS ts, confidence FROM frequent")
+def frequent_payments(spark, d):
+    return A.frequent_payments(spark, d)
+
+
 @query()
 def bridge_candidates(spark, d):
     return scored(spark, d).bridges
@@ -407,8 +446,8 @@ def hub_preview(spark, d):
 
 @query()
 def full_analysis(spark, d):
-    """Counts, degrees and density, components and communities of all trade as one row."""
-    rels = settle(A.trade_edges(spark, d))
+    """Counts, degrees and density, components and communities of frequent payments as one row."""
+    rels = settle(A.frequent_payments(spark, d))
     labels = graph.components(graph.neighbours(rels)).agg(F.countDistinct("component").alias("n_components"))
     groups = community.modularity_communities(rels).agg(F.countDistinct("community").alias("n_communities"))
     return graph.degree_statistics(rels).crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(groups))

@@ -93,6 +93,31 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frequent_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payments between customers and suppliers that pay more often than the mean pair does by over two standard deviations."""
+    pay = payments(spark, sf_dir)
+    pairs = pay.groupBy("source_id", "target_id").agg(F.count("*").alias("_n"))
+    bound = pairs.agg((F.avg("_n") + 2 * F.stddev_pop("_n")).alias("_bound"))
+    often = pairs.crossJoin(F.broadcast(bound)).where("_n > _bound").select("source_id", "target_id")
+    return pay.join(often, ["source_id", "target_id"], "left_semi").select("relationship_id", "source_id", "target_id", "relationship_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "confidence")
+
+
+FREQUENT_SQL = PAYMENTS_SQL + """,
+pair_counts AS (SELECT source_id, target_id, count(*) AS n FROM payments GROUP BY 1, 2),
+frequent AS (SELECT p.* FROM payments p JOIN pair_counts c USING (source_id, target_id) WHERE n > (SELECT avg(n) + 2 * stddev_pop(n) FROM pair_counts))"""
+
+
+def account_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account TRANSFERRED_TO account, one edge an order line. Customer and supplier of one number hold one account, which so both pays and is paid."""
+    number = lambda c: F.regexp_extract(c, "[0-9]+$", 0)
+    account = lambda c: F.concat(F.lit("account-"), number(c)).alias(c)
+    return payments(spark, sf_dir).select("relationship_id", account("source_id"), account("target_id"), "relationship_type", "ts", "confidence", "amount")
+
+
+ACCOUNTS_SQL = PAYMENTS_SQL + """,
+accounts AS (SELECT relationship_id, 'account-' || regexp_extract(source_id, '[0-9]+$') AS source_id, 'account-' || regexp_extract(target_id, '[0-9]+$') AS target_id, ts::DATE AS ts, amount FROM payments)"""
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(entity_id("nation", "n_nationkey").alias("entity_id"), F.lit("Location").alias("entity_type"), F.col("n_name").alias("name"))
 

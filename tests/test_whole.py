@@ -22,7 +22,7 @@ def test_chains_of_all_trade(spark, sql):
     for hops in range(1, 5):
         walks = [[*w, b] for w in walks for b in out.get(w[-1], ()) if b not in w]
         expected += len(walks) if hops > 1 else 0
-    assert catalogue.QUERIES[catalogue.FLAGSHIP](spark, SF).count() == expected > 10_000
+    assert catalogue.QUERIES["transfer_chains_whole"](spark, SF).count() == expected > 10_000
 
 
 def test_distances_reach_the_whole_network(spark, sql):
