@@ -7,9 +7,10 @@ by multiplicative weights: the weight of a length's constraint begins as its sha
 tokens and falls as the length is covered; weight by piece is its price, and a knapsack
 dynamic program over the prices finds the best configurations of each round. Prices
 divided by the knapsack's optimum are a dual solution, so each round also gives a lower
-bound. The fuller half of the fractional solution is rounded down (up where that is not
-half) and the program repeated on what is left. Once no more pieces are left than there are distinct lengths (at most
-`capacity`), those are placed best-fit. The plan is a small table of (length, first rank,
+bound. The full configurations of the solution, up to half of it, are rounded and placed,
+and the program repeated on what is left, until few pieces or no more full configurations
+are left. The pieces that remain are placed best-fit; after how many rounds, one at least,
+is decided by the number of sequences in all. The plan is a small table of (length, first rank,
 count, sequences, offset); Spark ranks the pieces of each length and reads their places
 from it.
 """
@@ -35,8 +36,9 @@ CAPACITY = 2048
 #: Chunks of which a worker remembers the ids, twice so many at most, and the characters of the longest one remembered.
 REMEMBERED, LONGEST = 400_000, 48
 #: Share of its scarcest length that a configuration covers at once, fall of a weight by its cover, configurations taken at one
-#: round's prices, share of a solution that is placed (its fullest configurations first) before the program is solved again.
-STEP, FALL, TRIES, SHARE = 0.25, 0.25, 64, 0.5
+#: round's prices, share of a solution that is placed (its fullest configurations first) before the program is solved again, and
+#: the share of full configurations under which it is not.
+STEP, FALL, TRIES, SHARE, LEAST = 0.1, 0.1, 64, 0.5, 0.02
 #: White space besides the six characters that every library agrees on.
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: One word of small Latin letters and a run of signs, none of them an apostrophe; texts that may be lower-cased before they are cut.
@@ -184,47 +186,65 @@ def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int,
     return amounts, bound
 
 
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(configuration, sequences) of best-fit decreasing: the longest pieces first, each where least room is left."""
+    groups: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(capacity + 1)]  # (configuration, sequences) by room left
+    open_ = np.zeros(capacity + 1, dtype=bool)
+    for n in range(capacity, 0, -1):
+        k = int(counts[n])
+        while k:
+            if open_[n:].any():
+                room = n + int(open_[n:].argmax())
+                config, number = groups[room].pop()
+                used = min(k, number)
+                if used < number:
+                    groups[room].append((config, number - used))
+                open_[room] = bool(groups[room])
+                groups[room - n].append(({**config, n: config.get(n, 0) + 1}, used))
+                open_[room - n] = True
+                k -= used
+            else:
+                each = min(capacity // n, k)
+                groups[capacity - each * n].append(({n: each}, k // each))
+                open_[capacity - each * n] = True
+                k -= k // each * each
+    return [(tuple(sorted(c.items())), number) for some in groups for c, number in some]
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, pieces, first sequence, pieces in each sequence, offset) that place all pieces."""
-    left, placed = counts.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64)
-    rows, sequences = [], 0
-
-    def place(config: tuple[tuple[int, int], ...], most: int) -> int:
-        """Place as many sequences of this kind as pieces are left for, `most` at most."""
-        nonlocal sequences
-        kinds, times = np.array(config).T
-        number, offset = min(most, int((left[kinds] // times).min())), 0
-        for n, k in config if number else ():
-            rows.append((n, placed[n], k * number, sequences, k, offset))
-            placed[n] += k * number
-            left[n] -= k * number
-            offset += n * k
-        sequences += number
-        return number
-
+    left, chosen = counts.astype(np.int64).copy(), []
     if left[capacity]:
-        place(((capacity, 1),), int(left[capacity]))
+        chosen.append((((capacity, 1),), int(left[capacity])))
+        left[capacity] = 0
+    taken, best = sum(k for _, k in chosen), None
     few = np.count_nonzero(left)
-    while left.sum() > few:
+    while left.any():
         amounts, _ = fractional(left, capacity)
         order = sorted(amounts, key=lambda c: (-sum(n * k for n, k in c), -amounts[c], c))
-        part, got = SHARE * sum(amounts.values()), 0
-        for up in (0, 1):
-            for c in order:
-                if got >= part:
-                    break
-                got += place(c, int(amounts[c]) + up)
-    bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # open sequences by room left
-    rooms = np.zeros(capacity + 1, dtype=np.int64)
-    for n in range(capacity, 0, -1):
-        for _ in range(int(left[n])):
-            room = n + int(rooms[n:].argmax()) if rooms[n:].any() else capacity
-            held = bins[room].pop() if rooms[room] else []
-            rooms[room] -= bool(held)
-            bins[room - n].append([*held, n])
-            rooms[room - n] += 1
-    for one in (x for some in bins for x in some):
-        place(tuple((int(n), int(k)) for n, k in zip(*np.unique(one, return_counts=True))), 1)
+        total, got = sum(amounts.values()), 0
+        for c in order:
+            if got >= SHARE * total or (got and sum(n * k for n, k in c) < capacity):
+                break
+            kinds, times = np.array(c).T
+            if number := min(max(1, int(amounts[c])), int((left[kinds] // times).min())):
+                chosen.append((c, number))
+                left[kinds] -= times * number
+                got += number
+        taken += got
+        rest = best_fit(left, capacity)
+        if best is None or taken + sum(k for _, k in rest) < best[0]:
+            best = taken + sum(k for _, k in rest), len(chosen), rest
+        if left.sum() <= few or got < LEAST * total:
+            break
+    placed, rows, sequences = np.zeros(capacity + 1, dtype=np.int64), [], 0
+    for config, number in chosen if best is None else [*chosen[: best[1]], *best[2]]:
+        offset = 0
+        for n, k in config:
+            rows.append((n, placed[n], k * number, sequences, k, offset))
+            placed[n] += k * number
+            offset += n * k
+        sequences += number
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 

@@ -64,28 +64,41 @@ def test_knapsack_fills():
     assert packing.configuration(3, 10, item, many, [3, 4]) == {3: 2, 4: 1} and packing.configuration(3, 10, item, few, [3, 4]) == {3: 1, 4: 1}
 
 
-@pytest.mark.parametrize("name", ["thirds", "documents"])
-def test_the_program_runs_at_every_size_and_bounds_the_plan(name, monkeypatch):
-    """The bound is never above a feasible cover; the plan stays near it, and best-fit places fewer pieces than there are lengths."""
-    if name == "thirds":
-        counts = np.bincount(np.random.default_rng(3).integers(550, 760, 3000), minlength=2049)
-    else:
-        import duckdb
-
-        counts = np.bincount([1 + n % 2047 for (n,) in duckdb.sql("SELECT length(text) // 5 FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()], minlength=2049)
-    calls, solve = [], packing.fractional
-    monkeypatch.setattr(packing, "fractional", lambda *a: calls.append(int(a[0].sum())) or solve(*a))
+def histogram(name):
+    rng = np.random.default_rng(1)
+    found = {
+        "documents": np.r_[np.full(300, 2048), rng.lognormal(6, 1, 6000).astype(int)], "uniform": rng.integers(1, 2048, 100_000), "lognormal": rng.lognormal(5.5, 1, 100_000).astype(int),
+        "hot": np.where(rng.random(50_000) < 0.33, 700, rng.integers(1, 2048, 50_000)), "middle": rng.integers(300, 1100, 100_000), "few": np.r_[5, 7, 2040],
+    }[name]
+    return np.bincount(np.clip(found, 1, 2048), minlength=2049)
+
+
+@pytest.mark.parametrize("name", ["documents", "uniform", "lognormal", "hot", "middle", "few"])
+def test_against_best_fit_and_the_bound(name, monkeypatch):
+    """The program runs on every histogram; the plan takes as few sequences as best-fit decreasing, to 0.05 %, and its bound is a bound."""
+    counts, bounds, true = histogram(name), [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a: bounds.append(true(*a)[1]) or true(*a))
     rows = packing.plan(counts)
-    n = int((rows[:, 3] + rows[:, 2] // rows[:, 4]).max())
-    amounts, bound = solve(counts, 2048)
-    assert calls[0] == counts[:2048].sum() and bound <= n <= 1.07 * bound + 2
-    cover = np.zeros(2049)
-    for config, amount in amounts.items():
-        assert sum(length * k for length, k in config) <= 2048
-        for length, k in config:
-            cover[length] += k * amount
-    assert (cover[:2048] >= counts[:2048]).all()
-    assert rows[:, 2].sum() == counts.sum()
+    used = int((rows[:, 3] + -(-rows[:, 2] // rows[:, 4])).max())
+    plain = sum(k for _, k in packing.best_fit(counts, 2048))
+    assert bounds and used <= plain * 1.0005 + 1 and used >= max(bounds[0] + counts[2048] - 1e-6, (counts * np.arange(2049)).sum() / 2048)
+    total = np.zeros(2049, dtype=np.int64)
+    np.add.at(total, rows[:, 0], rows[:, 2])
+    assert (total == counts).all()
+    if name == "middle":
+        assert used < 0.99 * plain
+
+
+def test_best_fit_by_single_pieces():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        pieces, rooms = sorted(rng.integers(1, 30, rng.integers(1, 60)).tolist(), reverse=True), []
+        for n in pieces:
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 30) - n)
+        assert sum(k for _, k in packing.best_fit(np.bincount(pieces, minlength=31), 30)) == len(rooms)
 
 
 def test_small_cases_are_optimal():
