@@ -23,6 +23,9 @@ from skein.llm.common import per_document, table
 #: Elements of HTML by their role.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 REGION = frozenset("article main nav header footer aside form div section menu dialog figure ul ol table fieldset head".split())
+#: Elements that end without a tag of their own, and those that hold nothing.
+LOOSE = frozenset("p li dt dd option tr td th".split())
+VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form menu dialog fieldset head button".split())
 #: Class or id tokens, whole, of what is no main text; common words before and after them.
 HINT = re.compile(
@@ -42,7 +45,7 @@ TOKEN = re.compile(rf"""(?is)<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+[^
 #: Labelled pages, one to a line. A block is the region's letter, the kind's letter (i item, t plain, p paragraph, h
 #: heading), its words and, if it has links, a slash and the words in links. Regions: a article, c menu, header, footer,
 #: sidebar or form, n named like an advert, notice or comment, d menu within the article, m named region within the
-#: article, o none of these. Capitals: main text.
+#: article, o none of these. Capitals: main text. A line after = is taken as it is, others also with other numbers of words.
 TABLE = """
 ci1/1 ci1/1 ci2/2 ci1/1 nt6 Ah9 Ap120 Ap60 Ap3 Ap1 Ap200/20 ct18
 ci1/1 ci2/2 ci3/3 nt12 Ah9 Ap5 Ap30/8 Ap2 Ap90 Ap14 ct9 ci3/3
@@ -78,6 +81,42 @@ oi2/2 oi3/3 ot8 oi1/1 Op70 Op15 op4/4 ot5 ot6
 ot9 ot4 Op200 Oh6 Op3 Op7 ot10/9
 oi1/1 oi1/1 oi1/1 ot7 Oh9 Op44 Op1 Op2 Op120 ot4 ot12/1
 Op20 Op30/25 Op60 Op10/6 ot12/11 op25/24
+=At30
+=At33 At20
+=At20 At10 At8 ai3/3 At15
+=Ah6 At12 at4/4 At25 At6
+=Ah6 Ap40 ap5/5 Ap30
+=Ap40 ap8/8 Ap30 ap6/6 Ap5
+=ap6/6 Ap30 ap5/5 Ap12 ap4/4
+=ai2/2 Ap6 ai3/3 At14 ai1/1 Ai8 ai2/2
+=Ap2 ap3/3 Ap1 at2/2 At2 at5/5 Ap9
+=Ot30
+=Ot20
+=Ot14 Ot20
+=Ot33 Ot20
+=Ot25 Ot25 Ot16
+=Ot15 Ot40 Ot18
+=Ot24 Op30 Ot16 Op12
+=Oh5 Ot16 Ot30
+=Op200 Ot30 Op150
+=Op160 Ot24 Op30 Ot45
+=Ot200 Ot40 Ot180 Ot22
+=Op300 Ot60
+=Op250 Op40 Ot16 Op90
+=Ot400 Ot900 Ot35
+=Op30 Ot22 Oh4 Ot18
+=op5/5 Op30
+=op9/9 Op30 op4/4
+=Op40 op6/6 Op30
+=Op30 op5/5
+=op8/8 Op18 Op40 op5/5 Op60
+=ot6/6 Ot30 Op40 ot4/4
+=oi1/1 oi2/2 ot25 oi1/1 Op80 Op30 oi3/3 ot14 oi2/2
+=oi2/2 ot30 oi2/2 ot16 oi1/1 Oh8 Op60 Op45 oi2/2 ot22 oi1/1 ot12 oi4/4
+=oi2/2 op12 oi3/3 Oh8 Op60 Op45 oi2/2 op9 oi1/1
+=ot2/2 ot20 ot3/3 Op50 Op20 ot5/5 ot28 ot4/4 ot15 ot2/2
+=ot3/3 op10 ot4/4 op6 ot2/2 Op70 Op33 ot4/4 op14 ot6/6
+=oi1/1 ot18 oi5/5 ot35 oi3/3 Ot40 Op30 Ot25
 """
 
 
@@ -90,11 +129,14 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     pages = []
     for line in TABLE.strip().splitlines():
         page = []
-        for one in line.split():
+        for one in line.removeprefix("=").split():
             words, _, links = one[2:].partition("/")
             page.append((one[0].lower(), "itph".index(one[1]), int(words), int(links or 0), one[0].isupper()))
-        # a short plain text may be a label, so plain main text is not made shorter
-        pages += [[(r, kind, max(1, round(w * (1 if k or s < 1 and kind == 1 else s))), k, main) for r, kind, w, k, main in page] for s in SCALES]
+        if line[0] == "=":
+            pages.append(page)
+            continue
+        # a short plain text may be a label and a long one is no label, so plain main text is not made shorter, nor other plain text longer
+        pages += [[(r, kind, max(1, round(w * (1 if k or kind == 1 and (s < 1 or not main) else s))), k, main) for r, kind, w, k, main in page] for s in SCALES]
         pages += [[b] for b in pages[-len(SCALES)] + pages[1 - len(SCALES)] if b[4] and b[1] >= 2]
     x, y = [], []
     for page in pages:
@@ -116,7 +158,7 @@ def features(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[flo
 PLAIN_FEATURES = 7
 
 
-def grow(x: np.ndarray, y: np.ndarray, least: int = 4, depth: int = 6) -> tuple | int:
+def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 12) -> tuple | int:
     """A binary decision tree by the Gini impurity: (feature, threshold, below or equal, above), or a label."""
     if depth == 0 or len(set(y)) < 2:
         return int(2 * y.sum() >= len(y))
@@ -153,11 +195,13 @@ def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
     """(text, (words, words in links, kind, in article, in chrome, in a named region)) of each block in page order.
 
     A form that holds most of a page's paragraphs is no chrome, and what stands around the
-    page's only article does not count for what is within it, unless it is a comment.
+    page's only article, or in its own class, does not count for what is within it, unless it
+    is a comment. Hidden inline elements, and those named like an advert, are left out.
     """
     out, parts, linked = [], [], []
     region: list[tuple] = []  # tag, and the state within it: article, chrome, named, whether the article is in chrome or a named region, number of the form, comment
     state, link, at, kind, forms = (0, 0, 0, 0, 0, 0), 0, 0, 1, 0
+    muted: list[str] = []  # open inline elements that are hidden or named like an advert, and those of their kind within them
 
     def flush() -> None:
         nonlocal parts, linked
@@ -167,12 +211,18 @@ def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
         parts, linked = [], []
 
     def say(text: str) -> None:
-        if text:
+        if text and not muted:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if link:
                 linked.append(text)
 
+    def leave(tag: str) -> None:
+        nonlocal state, link
+        while region.pop()[0] != tag:
+            pass
+        state, link = region[-1][1:] if region else (0, 0, 0, 0, 0, 0), 0
+
     for m in TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
@@ -180,34 +230,41 @@ def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
         if not tag:
             continue
         tag = tag.lower()
+        tokens = " ".join("".join(x) for x in NAMED.findall(rest)).split() if rest and not closing else []
+        hint = any(map(HINT.fullmatch, tokens)) or (bool(rest) and not closing and bool(HIDDEN.search(rest)))
         if tag == "a":
             link = 0 if closing else 1
-        elif tag == "br":
+        if tag == "br":
             parts.append(" ")
         elif tag in BLOCK:
             flush()
+            muted.clear()
             kind = 1 if closing else KIND.get(tag, 1)
-            if tag not in REGION:
+            if closing:
+                if any(r[0] == tag for r in region):
+                    leave(tag)
+                continue
+            if region and region[-1][0] in LOOSE and (region[-1][0] == tag or region[-1][0] == "p"):
+                leave(region[-1][0])
+            if tag not in REGION and not hint and not any(r[0] == tag for r in region):
                 continue
-            if not closing:
-                article, chrome, named, outer, form, comment = state
-                tokens = " ".join("".join(x) for x in NAMED.findall(rest)).split() if rest else []
-                hint = any(map(HINT.fullmatch, tokens)) or (bool(rest) and bool(HIDDEN.search(rest)))
-                comment = int(comment or any(map(COMMENT.fullmatch, tokens)))
-                if tag in ("article", "main") and not hint and not comment:
-                    outer, article, chrome, named = int(outer or chrome or named), 1, 0, 0
-                named = int(named or hint)
-                if tag == "form":
-                    forms += 1
-                    form = form or forms
-                chrome = int(chrome or (tag in CHROME and tag != "form" and not (tag == "header" and article)))
-                region.append((tag, article, chrome, named, outer, form, comment))
-                state = region[-1][1:]
-            elif any(r[0] == tag for r in region):
-                while region.pop()[0] != tag:
-                    pass
-                state = region[-1][1:] if region else (0, 0, 0, 0, 0, 0)
-                link = 0
+            article, chrome, named, outer, form, comment = state
+            comment = int(comment or any(map(COMMENT.fullmatch, tokens)))
+            if tag in ("article", "main") and not comment:
+                outer, article, chrome, named = int(outer or chrome or named or hint), 1, 0, 0
+            else:
+                named = int(named or hint or comment)
+            if tag == "form":
+                forms += 1
+                form = form or forms
+            chrome = int(chrome or (tag in CHROME and tag != "form" and not (tag == "header" and article)))
+            region.append((tag, article, chrome, named, outer, form, comment))
+            state = region[-1][1:]
+        elif closing:
+            if muted and muted[-1] == tag:
+                muted.pop()
+        elif muted and muted[-1] == tag or hint and tag not in VOID and not rest.endswith("/"):
+            muted.append(tag)
     say(page[at:])
     flush()
     free = any(b[4] and not b[7] for b in out)

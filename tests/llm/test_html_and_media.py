@@ -15,6 +15,8 @@ def test_blocks_outside_the_article_go():
     assert html_text.main_text(page) == "Title One word & A. Two three. Last."
 
 
+THIRTY = " ".join(["Ten words are in this plain sentence of the text."] * 3)
+TWENTY = " ".join(["Ten words are in this plain sentence of the text."] * 2)
 FIFTY = " ".join(["Plain words of a paragraph that goes on,"] * 6)
 
 
@@ -29,7 +31,21 @@ FIFTY = " ".join(["Plain words of a paragraph that goes on,"] * 6)
     (f'<div class="sidebar"><article><p>{FIFTY}</p></article></div>', FIFTY),
     (f'<article><p>{FIFTY}</p></article><div class="sidebar"><article><p>Another teaser that should not be here.</p></article></div>', FIFTY),
     (f'<article><p>{FIFTY}</p></article><section class="comments"><article class="comment-body"><p>I do not agree at all.</p></article></section>', FIFTY),
-    (f'<article><p>{FIFTY}</p><p hidden>secret</p><div style="display:none"><p>gone</p></div><ul><li><a href=x>One link</a></li><li><a href=y>Other link</a></li></ul></article>', f"{FIFTY} secret"),
+    (f'<article><p>{FIFTY}</p><p hidden>secret</p><div style="display:none"><p>gone</p></div><ul><li><a href=x>One link</a></li><li><a href=y>Other link</a></li></ul></article>', FIFTY),
+    (f"<article><p>{FIFTY}</p><p><a href=x>more at this link</a></p><p>{THIRTY}</p></article>", f"{FIFTY} {THIRTY}"),
+    (f"<p><a href=x>more at this link</a></p><p>{THIRTY}</p>", THIRTY),
+    (f"<p>{FIFTY}</p><p><a href=x>more at this link</a></p><p>{THIRTY}</p>", f"{FIFTY} {THIRTY}"),
+    (f"<article><div>{THIRTY} and three more</div><div>{TWENTY}</div></article>", f"{THIRTY} and three more {TWENTY}"),
+    (f"<article>{TWENTY}</article>", TWENTY),
+    (THIRTY, THIRTY),
+    (f"<div>{THIRTY}</div><div>{TWENTY}</div>", f"{THIRTY} {TWENTY}"),
+    (f'<article class="share"><p>{THIRTY}</p></article>', THIRTY),
+    (f'<article class="post related"><p>{THIRTY}</p><p>{FIFTY}</p></article>', f"{THIRTY} {FIFTY}"),
+    (f'<article><p>{FIFTY}</p></article><article class="related"><p>{THIRTY}</p></article>', FIFTY),
+    (f'<article><p>{FIFTY}</p><p class="advert">{TWENTY}</p><p>{THIRTY}</p></article>', f"{FIFTY} {THIRTY}"),
+    (f'<article><p>{FIFTY}</p><p class=advert>{TWENTY}<p>{THIRTY}<h2 class="related">See these</h2><p>{TWENTY}</article>', f"{FIFTY} {THIRTY} {TWENTY}"),
+    (f'<article><p>{FIFTY} <span class="advert">Buy <span>now</span> here.</span>{THIRTY}</p></article>', f"{FIFTY} {THIRTY}"),
+    (f'<article><ul><li class="advert">Buy<ul><li>this</li></ul>now</li><li>{TWENTY}</li></ul></article>', TWENTY),
 ])
 def test_missing_and_misleading_regions(page, want):
     assert html_text.main_text(page) == want
@@ -44,13 +60,17 @@ def test_the_tree_stands_without_hints(spark):
             right += html_text.decide(html_text.tree(False), x) == b[3]
             total += 1
     assert right / total > 0.9
-    node, used = [html_text.tree()], set()
-    while node:
-        n = node.pop()
-        if isinstance(n, tuple):
-            used.add(n[0])
-            node += n[2:]
-    assert used & {0, 2, 4} and used & {1, 3, 5}
+
+
+def test_neighbours_decide():
+    """A plain text of its own is main text, the same between links is not; without its neighbours' features it would be."""
+    links = "<ul><li><a href=x>Home</a></li><li><a href=y>All pages</a></li></ul>"
+    page = f"{links}<div>{TWENTY}</div>{links}<p>{FIFTY}</p><p>{FIFTY}</p>"
+    assert html_text.main_text(f"<div>{TWENTY}</div>") == TWENTY and html_text.main_text(page) == f"{FIFTY} {FIFTY}"
+    found = html_text.blocks(page)
+    at = [t for t, _ in found].index(TWENTY)
+    own = html_text.features([b for _, b in found])[at]
+    assert not html_text.decide(html_text.tree(), own) and html_text.decide(html_text.tree(), own[:2] + (0, 0.0, 0, 0.0) + own[6:])
 
 
 def test_broken_markup():
