@@ -104,6 +104,19 @@ Op20 Op30/25 Op60 Op10/6 ot12/11 op25/24
 =Op300 Ot60
 =Op250 Op40 Ot16 Op90
 =Ot400 Ot900 Ot35
+=ct14 ci1/1 ci1/1 nt16 Ah14 Ap40 Ap30 ct15
+=ct14 Ot14 Ot20 nt15 Ot15
+=ct11 ct12 ct13 ct14 ct15 ct16 ct20 ct30 Ot30 Ot20 ct9 ct14 ct33
+=nt11 nt13 nt14 nt15 nt17 nt25 nt60 Op30 Ot22 nt12 nt16
+=nt14 At16 At14 mt11 mt14 mt16 mt30 Ap20 ct14
+=ot11 ot13 ot15 ot20 ot30 ot60 Ah9 Ap40 ot14 ot35
+=ot14 At30 At15 ot16
+=oi5 oi9 oi14 oi30 Ah9 Ap40 oi12 oi6
+=ci6 ci13 ni14 ni5 Oi9 Oi14 Op30 ci12 ni20
+=ci1 ci2 ci3 ci4 Ah5 Ap40 ci1 ni3 ct2
+=oi1 oi3 oi4 oi2 Ah9 Ap40 oi3 oi1
+=ci1 ci2 ci4 ni3 Op50 Op20 Oi3 Oi2 Oi4 Op30 ci3 ni2 ci1
+=cp14 np15 cp30 Op15 Op30 np12 cp9
 =Op30 Ot22 Oh4 Ot18
 =op5/5 Op30
 =op9/9 Op30 op4/4
