@@ -34,7 +34,9 @@ from skein.llm.common import SLICE, cut, id_and_text, table, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks of which a worker remembers the ids, twice so many at most, and the characters of the longest one remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
+#: Words that the bare model takes at once.
+LINES = 2048
 #: Share of its scarcest length that a configuration covers at once, fall of a weight by its cover, configurations taken at one
 #: round's prices, share of a solution that is placed (its fullest configurations first) before the program is solved again, and
 #: the share of full configurations under which it is not.
@@ -62,12 +64,12 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        self.words = ranked_words(parts["model"])
         parts["normalizer"] = None
         parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.model = Tokenizer.from_str(json.dumps(parts))
+        self.model = None if self.words else Tokenizer.from_str(json.dumps(parts))
         self.known: dict[str, bytes] = {}  # chunks met lately, and those before them
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -75,17 +77,40 @@ class ChunkEncoder:
         """Little-endian 32-bit ids of each text."""
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line feeds, many to a call where the model allows that."""
+        if self.words is None:
+            return self.ids(self.model, words)
+        encoding, ids, last = self.words
+        out = []
+        for at in range(0, len(words), LINES):
+            found = np.array(encoding.encode_ordinary("\n".join(words[at : at + LINES]) + "\n"), dtype=np.int64)
+            ends, data = (4 * np.flatnonzero(last[found]) + 4).tolist(), ids[found].tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def encoded(self, new: list[str]) -> dict[str, bytes]:
         """Ids of chunks."""
-        simple = [(x, m[1], m[2]) for x in new if (m := SIMPLE.fullmatch(x))]
-        for held, tokenizer, parts in ((self.words, self.model, {w for _, w, _ in simple}), (self.signs, self.whole, {e for *_, e in simple})):
-            if len(held) > REMEMBERED:
-                held.clear()
-            missing = [x for x in parts if x not in held and x]
-            held.update(zip(missing, self.ids(tokenizer, missing)))
-        self.signs[""] = b""
-        out = {x: self.words[w] + self.signs[e] for x, w, e in simple}
-        others = [x for x in new if x not in out]
+        out, simple, others, words = {}, [], [], {}
+        known, older, match = self.known, self.older, SIMPLE.fullmatch
+        for x in new:
+            m = match(x)
+            if m is None:
+                others.append(x)
+                continue
+            w, e = m.groups()
+            simple.append((x, w, e))
+            if w not in words:
+                words[w] = known.get(w) or older.get(w)
+        missing = [w for w, got in words.items() if got is None]
+        words.update(zip(missing, self.of_words(missing)))
+        if len(self.signs) > REMEMBERED:
+            self.signs = {"": b""}
+        fresh = list({e for *_, e in simple}.difference(self.signs))
+        self.signs.update(zip(fresh, self.ids(self.whole, fresh)))
+        signs = self.signs
+        for x, w, e in simple:
+            out[x] = words[w] + signs[e]
         out.update(zip(others, self.ids(self.whole, others)))
         return out
 
@@ -93,16 +118,49 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known = self.known.get
-        texts = [t.lower() if LATIN.fullmatch(t) else t for t in texts]
+        texts = [t.lower() if t.isascii() or LATIN.fullmatch(t) else t for t in texts]
         chunked = [[x for x in PLAIN.split(t) if x] if DOUBTFUL.search(t) else t.split() for t in texts]
         found = [list(map(known, c)) for c in chunked]
         missing = {x for c, got in zip(chunked, found) if None in got for x, g in zip(c, got) if g is None}
-        fresh = {x: self.older[x] for x in missing if x in self.older}
+        older = self.older
+        fresh = {x: older[x] for x in missing if x in older}
         fresh |= self.encoded(list(missing.difference(fresh)))
         self.known.update((x, g) for x, g in fresh.items() if len(x) <= LONGEST)
         return [b"".join(got) if None not in got else b"".join([fresh[x] if g is None else g for x, g in zip(c, got)]) for c, got in zip(chunked, found)]
 
 
+def ranked_words(model: dict):
+    """(encoding, ids, ends) of a byte-level BPE whose words end in a suffix, as ranks of byte strings: the suffix is a line feed that
+    joins a word's last byte before all else. ids: each rank's id, ends: whether it ends a word. None for other models, and
+    where two merges make one token, so that ranks would not tell them apart.
+    """
+    import tiktoken
+
+    suffix, vocabulary, names = model.get("end_of_word_suffix"), model["vocab"], byte_names()
+    if model.get("type") != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("ignore_merges") or any(n not in vocabulary or n + suffix not in vocabulary for n in names):
+        return None
+    of_name = {n: bytes([b]) for b, n in enumerate(names)}
+
+    def as_bytes(token: str) -> bytes:
+        ends = token.endswith(suffix)
+        return b"".join(of_name[c] for c in (token[: -len(suffix)] if ends else token)) + b"\n" * ends
+
+    tokens = [*names, *(n + suffix for n in names)]
+    tokens += ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ranks = {as_bytes(t): i for i, t in enumerate(tokens)}
+    if len(ranks) < len(tokens):
+        return None
+    encoding = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+    return encoding, np.array([vocabulary[t] for t in tokens], dtype="<u4"), np.array([t.endswith(suffix) for t in tokens])
+
+
+def byte_names() -> list[str]:
+    """The character by which byte-level vocabularies name each byte: printable ones themselves, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
