@@ -45,6 +45,9 @@ STEP, FALL, TRIES, SHARE, LEAST = 0.1, 0.1, 64, 0.5, 0.02
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: One word of small Latin letters and a run of signs, none of them an apostrophe; texts that may be lower-cased before they are cut.
 SIMPLE = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The pattern of the tokenizer, as JSON, and what it is for lower-case text of ASCII and Latin letters.
+CUT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1b\x7f]+")
 LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 PLAIN = re.compile("[ \t\n\r\f\v]+")
 
@@ -52,9 +55,10 @@ PLAIN = re.compile("[ \t\n\r\f\v]+")
 class ChunkEncoder:
     """Ids of texts, chunk by chunk between white space, which this tokenizer drops and never joins over.
 
-    A text of plain Latin letters is lower-cased whole. A chunk of small letters and signs
-    has a known split, so its word goes to the bare model and its signs have ids of their
-    own; other chunks take the whole tokenizer.
+    A text of ASCII and Latin letters is lower-cased whole and cut into pieces by a known
+    pattern, which go to the model as lines. Of other texts, a chunk of small letters and
+    signs has its word encoded by the bare model and its signs apart; other chunks take the
+    whole tokenizer, as does everything where the model is not of that kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,7 +68,7 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        self.words = ranked_words(parts["model"])
+        self.words = ranked_words(parts["model"]) if CUT in json.dumps(parts["pre_tokenizer"]) else None
         parts["normalizer"] = None
         parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.model = None if self.words else Tokenizer.from_str(json.dumps(parts))
@@ -114,7 +118,23 @@ class ChunkEncoder:
         out.update(zip(others, self.ids(self.whole, others)))
         return out
 
+    def of_latin(self, text: str) -> bytes:
+        """Ids of a lower-case text of ASCII and Latin letters: its pieces as lines, in one call."""
+        pieces = PIECE.findall(text)
+        if not pieces:
+            return b""
+        encoding, ids, _ = self.words
+        return ids[encoding.encode_to_numpy("\n".join(pieces) + "\n", disallowed_special=())].tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.words is None:
+            return self.of_chunks(texts)
+        plain = [(t.isascii() or bool(LATIN.fullmatch(t))) and not DOUBTFUL.search(t) for t in texts]
+        others = iter(self.of_chunks([t for t, p in zip(texts, plain) if not p]))
+        return [self.of_latin(t.lower()) if p else next(others) for t, p in zip(texts, plain)]
+
+    def of_chunks(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts, chunk by chunk."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known = self.known.get
@@ -129,6 +149,11 @@ class ChunkEncoder:
         return [b"".join(got) if None not in got else b"".join([fresh[x] if g is None else g for x, g in zip(c, got)]) for c, got in zip(chunked, found)]
 
 
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
+
+
 def ranked_words(model: dict):
     """(encoding, ids, ends) of a byte-level BPE whose words end in a suffix, as ranks of byte strings: the suffix is a line feed that
     joins a word's last byte before all else. ids: each rank's id, ends: whether it ends a word. None for other models, and
@@ -161,11 +186,6 @@ def byte_names() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
