@@ -22,7 +22,7 @@ from skein.llm.common import id_and_text, per_document, table
 EBML, DOCTYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
-AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+AUDIO, RATE, CHANNELS, DEPTH, LASTS = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
@@ -70,7 +70,7 @@ def mux(payload: bytes) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     info = element(INFO, number(SCALE, 1_000_000), element(DURATION, struct.pack(">d", len(payload) * 1000 / HERTZ)))
     audio = element(AUDIO, element(RATE, struct.pack(">d", HERTZ)), number(CHANNELS, 1), number(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, number(NUMBER, 1), number(UID, 1), number(KIND, 2), element(CODEC, b"A_PCM/INT/LIT"), audio))
+    tracks = element(TRACKS, element(TRACK, number(NUMBER, 1), number(UID, 1), number(KIND, 2), number(LASTS, FRAME * 1_000_000_000 // HERTZ), element(CODEC, b"A_PCM/INT/LIT"), audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     for first in range(0, len(frames), LACED * BLOCKS):
         some = frames[first : first + LACED * BLOCKS]
@@ -148,7 +148,9 @@ def unlace(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[i
 def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list[tuple[int, int, int]], dict]:
     """Packets (track, timestamp, offset, size, cluster, key), cues (timestamp, track, cluster's byte) and facts of a document.
 
-    Timestamps are in whole milliseconds, by the segment's scale. A cluster of unknown size
+    Timestamps are in whole milliseconds, by the segment's scale. A frame of a lace comes after
+    the frames before it by its track's default duration; without one it has its block's
+    time. A cluster of unknown size
     ends before the next element of its own level, a segment before the next document. A
     block in a group is a key one if it refers to no other. Open elements are kept in a
     list, so no depth or number of them is too much.
@@ -158,6 +160,8 @@ def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list
     base = time = at = 0
     group: dict = {}
     cue: dict = {}
+    track_: dict = {}
+    lasts: dict[int, int] = {}  # nanoseconds of a frame, by track
 
     def integer(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
@@ -168,12 +172,14 @@ def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list
     def add(a: int, b: int, key: bool | None) -> None:
         track, relative, flagged, parts = unlace(data, a, b)
         facts["laced"] += len(parts) > 1
-        packets.extend((track, time + relative, at_, n, facts["clusters"], flagged if key is None else key) for at_, n in parts)
+        packets.extend((track, time + relative, at_, n, facts["clusters"], flagged if key is None else key, i) for i, (at_, n) in enumerate(parts))
 
     def close() -> None:
         kind = open_.pop()[0]
         if kind == GROUP and "block" in group:
             add(*group["block"], not group.get("refers"))
+        elif kind == TRACK:
+            lasts[track_.get(NUMBER, 0)] = track_.get(LASTS, 0)
         elif kind == CUE_AT:
             cue.setdefault("places", []).append((cue.pop(CUE_TRACK, 0), base + cue.pop(CUE_CLUSTER, 0)))
         elif kind == CUE:
@@ -202,6 +208,8 @@ def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list
                 time = 0
             elif kind == GROUP:
                 group = {}
+            elif kind == TRACK:
+                track_ = {}
             elif kind == CUE:
                 cue = {}
         elif kind == TIME:
@@ -214,6 +222,8 @@ def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list
             group["refers"] = True
         elif kind in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
             cue[kind] = integer(a, b)
+        elif kind in (NUMBER, LASTS):
+            track_[kind] = integer(a, b)
         elif kind == SCALE:
             facts["scale"] = integer(a, b)
         elif kind == CODEC:
@@ -224,10 +234,11 @@ def demux(data: bytes) -> tuple[list[tuple[int, int, int, int, int, bool]], list
             facts["duration"] = real(a, b)
     while len(open_) > 1:
         close()
-    if facts["scale"] != 1_000_000:
-        packets = [(t, at_ * facts["scale"] // 1_000_000, *rest) for t, at_, *rest in packets]
-        cues = [(at_ * facts["scale"] // 1_000_000, *rest) for at_, *rest in cues]
-        facts["duration"] *= facts["scale"] / 1_000_000
+    scale = facts["scale"]
+    packets = [(track, (ticks * scale + i * lasts.get(track, 0)) // 1_000_000, *rest) for track, ticks, *rest, i in packets]
+    if scale != 1_000_000:
+        cues = [(at_ * scale // 1_000_000, *rest) for at_, *rest in cues]
+        facts["duration"] *= scale / 1_000_000
     return packets, cues, facts
 
 

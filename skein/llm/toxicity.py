@@ -28,8 +28,8 @@ WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
 #: Letters that forms of a word share, and hashes of a word.
 PREFIX, HASHES = 4, 3
-#: At most so many labelled texts are used in training, whole, and at most so many characters of them together.
-SAMPLE_ROWS, SAMPLE_CHARS = 5000, 60_000_000
+#: At most so many labelled texts are used in training, whole.
+SAMPLE_ROWS = 5000
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with as was on are by this it an be from or".split(),
@@ -228,23 +228,19 @@ def score(net: Network, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z - shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most `rows` labelled documents, those of smallest hash, as far as `chars` characters go; eligible: which ids may be used.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, _label): whole texts of at most `rows` labelled documents, those of smallest hash; eligible: which ids may be used.
 
     A doc_id that several labels or texts carry counts once, with the greatest of each.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(eligible(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = cut(id_and_text(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label")))
-    keep, room = [], chars
-    for doc, n in some.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most `rows` numbers
-        room -= n
-        if room < 0:
-            break
-        keep.append(doc)
-    if room < 0:
-        some = some.join(F.broadcast(some.sparkSession.createDataFrame([(d,) for d in keep], "doc_id long")), "doc_id", "left_semi")
-    got = sorted(some.collect())
+    return id_and_text(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, eligible, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
+    """The texts and labels of labelled(), in the order of their ids."""
+    got = sorted(labelled(docs, labels, label, eligible, id_col, text_col, rows).collect())
     return [t for _, t, _ in got], [m for *_, m in got]
 
 

@@ -108,6 +108,11 @@ def test_lacing_round_trips():
         assert track == 1 and [b[a : a + n] for a, n in parts] == frames
 
 
+def test_every_frame_has_its_time():
+    packets, _, facts = matroska.demux(matroska.mux(bytes(range(256)) * 300))
+    assert [p[1] for p in packets] == [128 * i for i in range(75)] and facts["laced"] > 5
+
+
 def test_xiph_lacing_and_unknown_sizes():
     content = b"\x81\x00\x07\x82" + bytes([2, 255, 45, 3]) + b"a" * 300 + b"b" * 3 + b"c" * 9
     assert [n for _, n in matroska.unlace(content, 0, len(content))[3]] == [300, 3, 9]
