@@ -131,6 +131,51 @@ def cue_relations(docs: DataFrame, mentions: DataFrame, known: Column | None = N
     return between.where(keep).select("doc_id", F.concat(F.lit("rel-"), short_hash(F.col("doc_id"), F.col("sa"), F.col("ta"), F.col("relationship_type"))).alias("relationship_id"), "source_type", "source_text", "target_type", "target_text", "relationship_type", F.col("prior").alias("confidence"))
 
 
+def cues_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rule, start, end): every cue of CUES in each text, found in one pass over it; null texts have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [re.compile(c[2]) for c in CUES]
+        for part in parts:
+            rows = [(i, n, *m.span()) for i, t in zip(part["doc_id"], part["text"]) for n, pattern in enumerate(compiled) for m in pattern.finditer(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "rule", "start", "end"])
+
+    two = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return two.mapInPandas(run, "doc_id long, rule int, start int, end int")
+
+
+def nearest_cue_relations(cues: DataFrame, mentions: DataFrame, known: Column | None = None) -> DataFrame:
+    """Relations between the last mention before a cue and the first one after it, of the types that the cue's rule names.
+
+    Mentions and cues of a document stand in one sorted sequence, along which the nearest
+    mention of each type is carried forward and backward, so the work is linear in them;
+    cue_relations() gives all pairs around a cue instead. Two types may stand in either
+    order, one type is taken in text order. A mention that overlaps the cue does not count.
+    Several cues between the same two mentions give one relation.
+    """
+    types = sorted({t for c in CUES for t in c[:2]})
+    m = mentions.where(F.col("entity_type").isin(types)).select("doc_id", "start", "end", "entity_type", "text", (known if known is not None else F.lit(False)).alias("linked"), F.lit(None).cast("int").alias("rule"))
+    line = m.unionByName(cues.select("doc_id", "start", "end", F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("linked"), "rule"))
+    one = F.struct("start", "end", "text", "linked")
+    order = ["start", "end", F.col("rule").asc_nulls_first()]
+    ahead = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.col("rule").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    near = {f"{side}_{i}": F.last(F.when(F.col("entity_type") == t, one), ignorenulls=True).over(w) for side, w in (("b", ahead), ("a", back)) for i, t in enumerate(types)}
+    at = line.select("*", *[c.alias(n) for n, c in near.items()]).where("rule IS NOT NULL")
+    found = []
+    for n, (s, t, _, kind, prior) in enumerate(CUES):
+        i, j = types.index(s), types.index(t)
+        for source, target in [(f"b_{i}", f"a_{j}")] + ([(f"a_{i}", f"b_{j}")] if s != t else []):
+            first, last = (source, target) if source[0] == "b" else (target, source)
+            ok = (F.col("rule") == n) & (F.col(f"{first}.end") <= F.col("start")) & (F.col(f"{last}.start") >= F.col("end"))
+            if kind in NEEDS_IDS:
+                ok = ok & F.col(f"{source}.linked") & F.col(f"{target}.linked")
+            found.append(F.when(ok, F.struct(F.lit(s).alias("source_type"), F.col(source).alias("s"), F.lit(t).alias("target_type"), F.col(target).alias("t"), F.lit(kind).alias("relationship_type"), F.lit(prior).alias("confidence"))))
+    each = at.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).select("doc_id", "r.*")
+    named = each.select("doc_id", F.concat(F.lit("rel-"), short_hash(F.col("doc_id"), F.col("s.start"), F.col("t.start"), F.col("relationship_type"))).alias("relationship_id"), "source_type", F.col("s.text").alias("source_text"), "target_type", F.col("t.text").alias("target_text"), "relationship_type", "confidence")
+    return named.dropDuplicates(["doc_id", "relationship_id"])
+
+
 def review_flags(mentions: DataFrame, bound: float = 0.6) -> DataFrame:
     return mentions.withColumn("needs_review", F.coalesce(F.col("confidence") < bound, F.lit(True)))
 

@@ -188,3 +188,43 @@ def confidence_calibration(spark, d):
 def claims_in_text(spark, d):
     docs = _documents(spark, d)
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("numbers"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]+Z"), F.lit(0))).alias("times"), F.substring("text", 1, 120).alias("preview"))
+
+
+GIVEN = "Anna Boris Clara David Elena Felix Grace Henry Irina Jonas Karla Louis Maria Nadia Oscar Paula Quinn Rosa Simon Tessa".split()
+FAMILY = "Adler Brook Carver Dalton Ellis Foster Garner Holt Irving Jarvis Keller Lowell Mercer Norris Osborn Porter Quill Ramsey Sutton Tanner".split()
+FIRMS = "Amber Birch Cobalt Delta Ember Falcon Granite Harbor Indigo Juniper".split()
+
+
+def order_reports(spark, d):
+    """(doc_id, text): a sentence or two on each order: its customer, a contact picked by its price and the customer's nation."""
+    def pick(words, n):
+        return F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+
+    def person(n):
+        return F.concat_ws(" ", pick(GIVEN, n), pick(FAMILY, F.floor(n / len(GIVEN))))
+
+    orders = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("contact"))
+    rows = orders.join(A.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    p, q, firm, nation = person(F.col("o_custkey")), person(F.col("contact")), F.concat(pick(FIRMS, F.col("o_custkey")), F.lit(" Traders Ltd")), F.col("c_nationkey").cast("string")
+    told = [
+        F.concat(p, F.lit(" works for "), firm, F.lit(" and has travelled to Sector "), nation, F.lit(".")), F.concat(p, F.lit(" called "), q, F.lit(" about the order.")),
+        F.concat(p, F.lit(", owner of KA-12-AB-1"), F.lpad(nation, 3, "0"), F.lit(", met "), q, F.lit(".")), F.concat(p, F.lit(" is a member of "), firm, F.lit(". Nothing more was said.")),
+    ]
+    return rows.select(F.col("o_orderkey").alias("doc_id"), F.element_at(F.array(*told), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+
+
+def _person_sql(n: str) -> str:
+    return f"list_element({GIVEN}, ({n}) % 20 + 1) || ' ' || list_element({FAMILY}, (({n}) // 20) % 20 + 1)"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS k, {_person_sql("o_custkey")} AS p, {_person_sql("floor(o_totalprice)::BIGINT")} AS q,
+  list_element({FIRMS}, o_custkey % 10 + 1) || ' Traders Ltd' AS firm, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT doc_id, p AS source_text, firm AS target_text, 'WORKS_FOR' AS relationship_type, 0.8e0 AS confidence FROM r WHERE k = 0
+UNION ALL SELECT doc_id, p, 'Sector ' || n, 'TRAVELED_TO', 0.75e0 FROM r WHERE k = 0 UNION ALL SELECT doc_id, p, q, 'CALLED', 0.75e0 FROM r WHERE k = 1
+UNION ALL SELECT doc_id, p, 'KA-12-AB-1' || lpad(n::VARCHAR, 3, '0'), 'OWNS', 0.8e0 FROM r WHERE k = 2 UNION ALL SELECT doc_id, p, q, 'KNOWS', 0.55e0 FROM r WHERE k = 2
+UNION ALL SELECT doc_id, p, firm, 'ASSOCIATED_WITH', 0.7e0 FROM r WHERE k = 3""")
+def cue_relations_of_orders(spark, d):
+    """Relations told in the reports on all orders; the SQL takes them from the orders themselves."""
+    docs = settle(order_reports(spark, d))
+    found = text.nearest_cue_relations(text.cues_in(docs), text.extract_mentions(docs))
+    return found.select("doc_id", "source_text", "target_text", "relationship_type", "confidence")

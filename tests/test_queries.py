@@ -5,7 +5,7 @@ from tests.conftest import SF, same
 from skein.plans import catalogue
 
 #: One of each family here; the driver runs them all.
-SOME = "relationship_strength_top activity_bursts burst_evidence_interval induced_subgraph transfer_chains_top timed_chains timed_chains_top frequent_payments validate_relationships fk_integrity audit_page upsert_merge resolve_candidates grounding_check proximity_pairs precision_recall_f1 label_propagation".split()
+SOME = "relationship_strength_top activity_bursts burst_evidence_interval induced_subgraph transfer_chains_top timed_chains timed_chains_top frequent_payments cue_relations_of_orders validate_relationships fk_integrity audit_page upsert_merge resolve_candidates grounding_check proximity_pairs precision_recall_f1 label_propagation".split()
 
 
 @pytest.mark.parametrize("name", SOME)

@@ -1,3 +1,4 @@
+import re
 import pytest
 
 from skein.functions import scalar as S
@@ -78,3 +79,27 @@ def test_upper_median(spark):
     rows = [("one", 5.0)] + [("same", 2.0)] * 4 + [("even", float(x)) for x in (1, 2, 3, 4)] + [("odd", float(x)) for x in (9, 1, 5)] + [("skew", 0.0)] * 5 + [("skew", 1e6)] * 5
     got = {r["g"]: r["upper_median"] for r in checks.latency(spark.createDataFrame(rows, "g string, v double"), "g", "v", cells=3).collect()}
     assert got == {"one": 5.0, "same": 2.0, "even": 3.0, "odd": 5.0, "skew": 1e6}
+
+
+def test_nearest_mentions_around_cues(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["Anna Smith", "Bob Jones", "Blue Traders Ltd", "Sector 9", "KA-12-AB-1007", "called", "works for", "met", "owns", "member of", "went to", "and then", "used"]
+    docs = [(i, " . ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) + " .") for i in range(40)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["source_text"], r["target_text"], r["relationship_type"]) for r in text.nearest_cue_relations(text.cues_in(df), text.extract_mentions(df)).collect())
+    want, rules = set(), [(re.compile(r.pattern), r) for r in text.RULES]
+    for i, t in docs:
+        found = text.mentions_of(t or "", rules)
+        for s, o, pattern, kind, _ in text.CUES:
+            for m in re.finditer(pattern, t or "") if kind not in text.NEEDS_IDS else ():
+                for x, y, turned in ((s, o, False), (o, s, True)):
+                    if turned and s == o:
+                        continue
+                    before, after = [a for a in found if a[1] == x and a[2] < m.start()], [a for a in found if a[1] == y and a[2] >= m.end()]
+                    if before and after and before[-1][3] <= m.start():
+                        p, q = (after[0], before[-1]) if turned else (before[-1], after[0])
+                        want.add((i, p[2], q[2], kind, p[0], q[0]))
+    plain = sorted((i, p, q, kind) for i, _, _, kind, p, q in want)
+    assert set(got) ^ set(plain) == set() and got == plain and len(got) > 15
