@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +76,17 @@ def interpretation_confidence(observed: Column, interpreted: Column) -> Column:
 def words_in(csv: str) -> list[str]:
     """Parts of a comma-separated parameter, trimmed, without empties."""
     return [p for p in (x.strip() for x in csv.split(",")) if p]
+
+
+def canonical_json(value: Column) -> Column:
+    """A struct, map or array as JSON with keys sorted at every depth, written as json.dumps(..., sort_keys=True) writes it; nulls are kept. Structs are made by named_struct or are columns."""
+    @F.pandas_udf("string")
+    def written(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), sort_keys=True), na_action="ignore")
+
+    return written(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def evidence_chain_hash(evidence_id: Column, payload: Column, previous: Column) -> Column:
+    """Hash of an evidence record over its id, its payload and the hash before it."""
+    return F.sha2(canonical_json(F.named_struct(F.lit("evidence_id"), evidence_id, F.lit("payload"), payload, F.lit("previous_hash"), previous)), 256)

@@ -7,29 +7,34 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a session of this machine alone may leave that unset; a temporary folder then takes its place."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-"))
+    return sc.getCheckpointDir()
+
+
 def settle(df: DataFrame, partitioned: bool = False) -> DataFrame:
-    """Materialise df in the session's spark.checkpoint.dir and cut its lineage. Only a session of this machine alone may leave that
-    unset; a temporary folder then takes its place.
+    """Materialise df in the shared folder and cut its lineage.
 
     df becomes a Parquet table and is read again. A checkpoint would carry the constraints of
     its plan along, which double in each round of some loops; it is taken only where the
     partitioning has to stay (partitioned).
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-"))
+    folder = shared_folder(df.sparkSession)
     if partitioned:
         return df.checkpoint()
-    path = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.functions import scalar as S
 from skein.operators import graph, review, temporal
 from skein.plans import analytics, graphs
+from skein.operators.base import shared_folder
 from skein.sources import adapters as A
+from skein.sources import versions
 
 QUERIES, SQL = {}, {}
 
@@ -489,3 +493,30 @@ def subgraph_truncation(spark, d):
     kept = reached.orderBy("entity_id").limit(20)
     n = reached.agg(F.count("*").alias("found_nodes")).crossJoin(kept.agg(F.count("*").alias("nodes"))).crossJoin(graph.induced(own, kept).agg(F.count("*").alias("found_edges")))
     return n.select("found_nodes", "nodes", "found_edges", F.least("found_edges", F.lit(10).cast("long")).alias("edges"), ((F.col("found_nodes") > 20) | (F.col("found_edges") > 10)).alias("truncated"))
+
+
+@query("""SELECT printf('evidence-%05d', o_orderkey) AS evidence_id, sha256('{"evidence_id": "' || printf('evidence-%05d', o_orderkey) || '", "payload": {"customer": {"id": ' || o_custkey || ', "note": null}, "priority": "' ||
+  replace(o_orderpriority, '-', '\\u2013') || '", "tags": ["' || o_orderstatus || '", "a\\"b"]}, "previous_hash": "0"}') AS chain_hash FROM orders""")
+def evidence_payload_hash(spark, d):
+    """Chain hashes of evidence records with nested payloads, over their canonical JSON."""
+    o = A.table(spark, d, "orders")
+    payload = F.named_struct(
+        F.lit("tags"), F.array("o_orderstatus", F.lit('a"b')), F.lit("priority"), F.replace("o_orderpriority", F.lit("-"), F.lit("\u2013")),
+        F.lit("customer"), F.named_struct(F.lit("note"), F.lit(None).cast("string"), F.lit("id"), F.col("o_custkey")),
+    )
+    eid = A.entity_id("evidence", "o_orderkey")
+    return o.select(eid.alias("evidence_id"), S.evidence_chain_hash(eid, payload, F.lit("0")).alias("chain_hash"))
+
+
+@query("""WITH ids AS (SELECT printf('customer-%05d', c_custkey) AS id FROM customer UNION ALL SELECT printf('nation-%05d', n_nationkey) FROM nation),
+e AS (SELECT CASE WHEN s.id IS NULL THEN 'unknown source' WHEN t.id IS NULL THEN 'unknown target' ELSE '' END AS reason
+  FROM (SELECT printf('customer-%05d', user_id * 3) AS s, printf('nation-%05d', event_id % 30) AS t FROM events) LEFT JOIN ids s ON s.id = s LEFT JOIN ids t ON t.id = t)
+SELECT 'entities' AS part, '' AS reason, count(*) AS n FROM ids UNION ALL SELECT CASE WHEN reason = '' THEN 'relationships' ELSE 'rejected' END, reason, count(*) FROM e GROUP BY 1, 2""")
+def import_outcome_tables(spark, d):
+    """Customers, nations and the events between them imported as one commit, then counted from the live version: entities, relationships, rejected rows by reason."""
+    ents = A.table(spark, d, "customer").select(A.entity_id("customer", "c_custkey").alias("entity_id"), F.col("c_name").alias("name")).unionByName(A.table(spark, d, "nation").select(A.entity_id("nation", "n_nationkey").alias("entity_id"), F.col("n_name").alias("name")))
+    rels = A.table(spark, d, "events").select(F.format_string("rel-%08d", "event_id").alias("relationship_id"), A.entity_id("customer", F.col("user_id") * 3).alias("source_id"), A.entity_id("nation", F.col("event_id") % 30).alias("target_id"), "ts")
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    versions.import_graph(spark, root, ents, rels)
+    count = lambda name, reason: versions.read(spark, root, name).groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "reason", "n")
+    return count("entities", F.lit("")).unionByName(count("relationships", F.lit(""))).unionByName(count("rejected", F.col("reason")))

@@ -48,19 +48,6 @@ def upsert_counts(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return ids.agg(F.count_if(F.col("_k").isNull()).alias("inserted"), F.count_if(F.col("_k").isNotNull()).alias("updated")).crossJoin(F.broadcast(batch.agg(F.count_if(F.col(key).isNull()).alias("errors"))))
 
 
-def save(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap the folders: readers see the old or the new table, never half of one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    place = jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(conf)
-    if fs.exists(place(path)):
-        fs.delete(place(f"{path}.old"), True)
-        fs.rename(place(path), place(f"{path}.old"))
-    fs.rename(place(f"{path}.new"), place(path))
-    fs.delete(place(f"{path}.old"), True)
-
-
 def merged_properties(old: str, new: str) -> F.Column:
     """Properties of a node after new ones are set over the old ones."""
     return F.map_from_entries(F.array_union(F.map_entries(F.map_filter(F.col(old), lambda k, _: ~F.array_contains(F.map_keys(F.col(new)), k))), F.map_entries(F.col(new))))
