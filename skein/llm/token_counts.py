@@ -6,19 +6,50 @@ edit_trees() takes that table with edits, encodes only what they touch, and give
 table of the new trees. An edit takes the leaves that it touches and one more on either
 side, encodes that region anew and puts it back; only the sums above it change. Leaves end
 where white space follows another character, a place that no pre-token crosses whatever
-stands beyond it, so the untouched leaf on either side is context enough.
+stands beyond it, so the untouched leaf on either side is context enough. A leaf's tokens
+are counted by the tiktoken library; leaves of over WHOLE characters, which have no such
+place, by the tree reduction of operator 1, whose time stays linear in them.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.bpe import Codec, codec
+from skein.llm.bpe import DOUBTFUL, Codec, codec
 from skein.llm.common import cut, per_document, saved, table, tokenizer_path
 
 #: Characters of a leaf, unless one pre-token is longer: an edit encodes about three leaves.
 LEAF = 128
+#: Characters of a leaf that the library counts.
+WHOLE = 4096
+
+
+@lru_cache(maxsize=4)
+def leaf_pattern(chars: int) -> re.Pattern:
+    """So many characters at least, up to the first white space after another character."""
+    return re.compile(rf"(?s).{{{chars - 1},}}?\S(?=\s)|.+")
+
+
+def leaf_texts(text: str) -> list[str]:
+    return [text] if DOUBTFUL.search(text) else leaf_pattern(LEAF).findall(text)
+
+
+@lru_cache(maxsize=2)
+def _library(encoder: Codec):
+    import tiktoken
+
+    return tiktoken.Encoding("leaves", pat_str=encoder.split.pattern, mergeable_ranks=encoder.ranks, special_tokens={})
+
+
+def count(text: str, encoder: Codec) -> int:
+    """Tokens of a leaf."""
+    if len(text) <= WHOLE:
+        return len(_library(encoder).encode_ordinary(text))
+    return sum(len(encoder.known[u]) for u in encoder.units(text))
 
 
 class Node:
@@ -56,18 +87,7 @@ class TokenTree:
 
     def tree(self, text: str) -> Node:
         self.encoded += len(text)
-        units = self.encoder.units(text) if text else []
-        leaves, run, chars, tokens = [], [], 0, 0
-        for u in units:
-            run.append(u)
-            chars += len(u)
-            tokens += len(self.encoder.known[u])
-            if chars >= LEAF:
-                leaves.append(Node(text="".join(run), tokens=tokens))
-                run, chars, tokens = [], 0, 0
-        if run or not leaves:
-            leaves.append(Node(text="".join(run), tokens=tokens))
-        return self.above(leaves)
+        return self.above([Node(text=t, tokens=count(t, self.encoder)) for t in leaf_texts(text)] or [Node()])
 
     def above(self, leaves: list[Node]) -> Node:
         if len(leaves) == 1:
