@@ -37,7 +37,7 @@ LEAF_CHARS = 4096
 #: Bytes of a pre-token's leaf, which is merged directly.
 LEAF_BYTES = 16
 #: Units and seams of which a worker remembers the tokens, twice so many at most, and characters of the longest such unit.
-REMEMBERED, LONGEST = 120_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Rank of a pair that is no token.
 NONE = 1 << 60
 #: White space and what follows it; characters that not every library takes for white space.
