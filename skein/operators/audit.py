@@ -53,6 +53,22 @@ def sanitised(params: Column) -> Column:
     return F.transform_values(kept, lambda _, v: F.substring(v, 1, 50))
 
 
+def typed_parameters(params: Column) -> Column:
+    """A JSON object without secret keys, as a map of JSON texts: scalars as they are, lists of up to five as texts of at most 50
+    characters, other lists and objects as <type:length of their JSON>. What is no JSON object gives null."""
+    fields = F.try_parse_json(params).try_cast("map<string,variant>") if hasattr(Column, "try_cast") else F.try_parse_json(params).cast("map<string,variant>")
+    kept = F.map_filter(fields, lambda k, _: ~F.lower(k).isin(*SECRET_KEYS))
+
+    def shown(_: Column, v: Column) -> Column:
+        kind, text = F.schema_of_variant(v), F.to_json(v)
+        listed = v.try_cast("array<string>")
+        short = F.to_json(F.transform(listed, lambda x: F.substring(x, 1, 50)))
+        name = F.when(kind.startswith("ARRAY"), "list").otherwise("dict")
+        return F.when(kind.startswith("ARRAY") & (F.size(listed) <= 5), short).when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.concat(F.lit("<"), name, F.lit(":"), F.length(text).cast("string"), F.lit(">"))).otherwise(text)
+
+    return F.transform_values(kept, shown)
+
+
 def redacted(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring(text, 1, 200)), "(" + "|".join(SECRET_KEYS) + ")", "[redacted]")
 

@@ -48,6 +48,19 @@ def upsert_counts(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return ids.agg(F.count_if(F.col("_k").isNull()).alias("inserted"), F.count_if(F.col("_k").isNotNull()).alias("updated")).crossJoin(F.broadcast(batch.agg(F.count_if(F.col(key).isNull()).alias("errors"))))
 
 
+def store_entities(ents: DataFrame, path: str) -> None:
+    """Entities as a table partitioned by their type."""
+    ents.write.mode("overwrite").partitionBy("entity_type").parquet(path)
+
+
+def stored_entity(spark: SparkSession, path: str, entity: str, types: dict[str, str] = PREFIX_TYPE) -> DataFrame:
+    """The rows of one id in a table of store_entities(): a known prefix reads that type's partition alone, another one probes all."""
+    kind = types.get(entity.split("-", 1)[0])
+    rows = spark.read.parquet(path)
+    rows = rows if kind is None else rows.where(F.col("entity_type") == kind)
+    return rows.where(F.col("entity_id") == entity)
+
+
 def merged_properties(old: str, new: str) -> F.Column:
     """Properties of a node after new ones are set over the old ones."""
     return F.map_from_entries(F.array_union(F.map_entries(F.map_filter(F.col(old), lambda k, _: ~F.array_contains(F.map_keys(F.col(new)), k))), F.map_entries(F.col(new))))

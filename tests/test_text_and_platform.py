@@ -133,3 +133,19 @@ def test_canonical_json_equals_pythons(spark):
     got = df.select(S.canonical_json(F.named_struct(F.lit("z"), F.col("z"), F.lit("k"), F.named_struct(F.lit("m"), F.col("m"), F.lit("a"), F.col("a")))).alias("j"), S.evidence_chain_hash(F.lit("e-1"), F.named_struct(F.lit("z"), F.col("z")), F.lit("0")).alias("h")).collect()
     assert [r["j"] for r in got] == [json.dumps({"z": z, "k": {"m": m, "a": a}}, sort_keys=True) for z, m, a in rows]
     assert [r["h"] for r in got] == [hashlib.sha256(json.dumps({"evidence_id": "e-1", "previous_hash": "0", "payload": {"z": z}}, sort_keys=True).encode()).hexdigest() for z, _, _ in rows]
+
+
+def test_typed_parameters(spark):
+    rows = [('{"a": 1, "b": "x", "c": null, "d": true, "e": ["' + "y" * 60 + '", 2], "f": [1,2,3,4,5,6], "g": {"h": [1]}, "PASSWORD": "p", "i": []}',), ("[1]",), ("no json",), (None,), ("{}",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string").select(audit.typed_parameters(F.col("p"))).collect()]
+    assert got[0] == {"a": "1", "b": '"x"', "c": "null", "d": "true", "e": '["' + "y" * 50 + '","2"]', "f": "<list:13>", "g": "<dict:9>", "i": "[]"}
+    assert got[1:] == [None, None, None, {}]
+
+
+def test_a_known_prefix_reads_one_partition(spark, tmp_path):
+    path = str(tmp_path / "entities")
+    C.store_entities(spark.createDataFrame([("person-00001", "Person", "a"), ("org-00001", "Organization", "b"), ("odd-1", "Case", "c")], "entity_id string, entity_type string, name string"), path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one, other = C.stored_entity(spark, path, "person-00001"), C.stored_entity(spark, path, "odd-1")
+    assert [r["name"] for r in one.collect()] == ["a"] and [r["name"] for r in other.collect()] == ["c"] and C.stored_entity(spark, path, "person-9").count() == 0
+    assert "PartitionFilters: [isnotnull(entity_type" in plan(one) and "PartitionFilters: []" in plan(other)
