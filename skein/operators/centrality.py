@@ -78,12 +78,8 @@ def sampled_betweenness(rels: DataFrame, k: int = 64) -> DataFrame:
     return betweenness(rels, distances(rels, some), n, errors=True)
 
 
-def betweenness(rels: DataFrame, dist: DataFrame, n: int, errors: bool = False) -> DataFrame:
-    """Shares of shortest paths through each of the n nodes, ends excluded, over all pairs whose start is a source of dist.
-
-    Dependencies are summed from the far end, level by level. errors: also the standard error
-    of that share over the sources, as a sample of all n nodes.
-    """
+def dependencies(rels: DataFrame, dist: DataFrame) -> DataFrame:
+    """(node, sum, squares): each node's dependency over the sources of dist, and that of its squares; summed from the far end, level by level."""
     adj = neighbours(rels)
     deepest = dist.agg(F.max("dist")).first()[0] or 0
     steps = settle(
@@ -100,10 +96,20 @@ def betweenness(rels: DataFrame, dist: DataFrame, n: int, errors: bool = False)
         rest = dist.where(F.col("dist") == d).select("src", "node")
         level = settle(rest.join(given, ["src", "node"], "left").select("src", "node", F.coalesce("delta", F.lit(0.0)).alias("delta")))
         total = total.unionByName(level)
+    return total.groupBy("node").agg(F.sum("delta").alias("sum"), F.sum(F.col("delta") ** 2).alias("squares"))
+
+
+def betweenness(rels: DataFrame, dist: DataFrame, n: int, errors: bool = False) -> DataFrame:
+    """Shares of shortest paths through each of the n nodes, ends excluded, over all pairs whose start is a source of dist.
+
+    Dependencies are summed from the far end, level by level. errors: also the standard error
+    of that share over the sources, as a sample of all n nodes.
+    """
+    adj = neighbours(rels)
     sources = dist.select(F.col("src").alias("_src")).distinct()
     k = sources.count()
     of_source, of_other = (1.0 / (x * (n - 2)) if x > 0 and n > 2 else 0.0 for x in (k - 1, k))
-    per = total.groupBy("node").agg(F.sum("delta").alias("sum"), F.sum(F.col("delta") ** 2).alias("squares"))
+    per = dependencies(rels, dist)
     ids = adj.select(F.col("u").alias("entity_id")).unionByName(sources.select(F.col("_src").alias("entity_id"))).distinct()
     scale = F.when(F.col("_src").isNotNull(), of_source).otherwise(of_other)
     held = ids.join(per, F.col("entity_id") == F.col("node"), "left").join(sources, F.col("entity_id") == F.col("_src"), "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.base import ranked, settle
@@ -75,7 +77,7 @@ def colouring(rels: DataFrame, nodes: DataFrame, key: str = "entity_id") -> Data
     return nodes.select(F.col(key).alias("node"), F.lit(0).alias("colour")).where("false") if done is None else done
 
 
-def modularity_communities(rels: DataFrame, moves: int = 5) -> DataFrame:
+def modularity_communities(rels: DataFrame, moves: int = 5, part: Callable[[str], Column] | None = None) -> DataFrame:
     """(node, community): agglomeration on the simple graph, then moves of single nodes; a community is named by its smallest node.
 
     Communities are the nodes of a weighted graph that is contracted after each round, so
@@ -85,16 +87,25 @@ def modularity_communities(rels: DataFrame, moves: int = 5) -> DataFrame:
     with a single neighbour, where modularity rises even if all that neighbour's others come
     too. At last, up to `moves` times, nodes that gain most among their neighbours move to a
     neighbour's community, as long as modularity rises. All steps are joins and aggregations.
+
+    part, given a column's name, tells which of several separate graphs a node is of; each is
+    then merged by its own number of edges, as it would be alone. Moves need one graph.
     """
+    if part is not None and moves:
+        raise ValueError("moves need a single graph")
     pairs = settle(simple_edges(rels))
     m, both = pairs.count(), neighbours(rels)
+    total = F.lit(m).cast("long").alias("m")
+    if part is not None:
+        sizes = pairs.groupBy(part("a").alias("_part")).agg(F.count("*").alias("_m"))
+        pairs, total = pairs.join(sizes, part("a") == F.col("_part")), F.col("_m").alias("m")
     degrees = settle(both.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("deg")))
     x, y = (degrees.select(F.col("node").alias(n), F.col("deg").alias(d)) for n, d in (("a", "dx"), ("b", "dy")))
-    edges = settle(pairs.join(x, "a").join(y, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).cast("long").alias("w"), "dx", "dy"))
+    edges = settle(pairs.join(x, "a").join(y, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).cast("long").alias("w"), "dx", "dy", total))
     gone, n = None, 0
     while m:
         n += 1
-        merged = settle(_mergers(edges, m, n))
+        merged = settle(_mergers(edges, n))
         if not merged.limit(1).count():
             break
         gone = merged.select("c", "to") if gone is None else gone.unionByName(merged.select("c", "to"))
@@ -105,7 +116,7 @@ def modularity_communities(rels: DataFrame, moves: int = 5) -> DataFrame:
             edges = edges.withColumns({end: F.coalesce("_to", end), d: F.coalesce("_nd", d)}).drop("_to", "_nd")
         turned = F.col("x") > F.col("y")
         low, high = F.when(turned, F.struct(F.col("y").alias("c"), F.col("dy").alias("d"))).otherwise(F.struct(F.col("x").alias("c"), F.col("dx").alias("d"))), F.when(turned, F.struct(F.col("x").alias("c"), F.col("dx").alias("d"))).otherwise(F.struct(F.col("y").alias("c"), F.col("dy").alias("d")))
-        edges = settle(edges.where("x <> y").groupBy(low.alias("l"), high.alias("h")).agg(F.sum("w").alias("w")).select(F.col("l.c").alias("x"), F.col("h.c").alias("y"), "w", F.col("l.d").alias("dx"), F.col("h.d").alias("dy")))
+        edges = settle(edges.where("x <> y").groupBy(low.alias("l"), high.alias("h")).agg(F.sum("w").alias("w"), F.max("m").alias("m")).select(F.col("l.c").alias("x"), F.col("h.c").alias("y"), "w", F.col("l.d").alias("dx"), F.col("h.d").alias("dy"), "m"))
     labels = degrees.select("node", F.col("node").alias("community"))
     if gone is not None:
         up = settle(gone)
@@ -120,20 +131,20 @@ def modularity_communities(rels: DataFrame, moves: int = 5) -> DataFrame:
     return settle(labels.join(names, "community").select("node", F.col("_first").alias("community")))
 
 
-def _mergers(edges: DataFrame, m: int, n: int) -> DataFrame:
+def _mergers(edges: DataFrame, n: int) -> DataFrame:
     """(c, to, d, d_to): communities that go into others in round n, each once, none into one that goes itself."""
-    sides = edges.select(F.col("x").alias("c"), F.col("y").alias("o"), "w", F.col("dx").alias("dc"), F.col("dy").alias("do")).unionByName(edges.select(F.col("y").alias("c"), F.col("x").alias("o"), "w", F.col("dy").alias("dc"), F.col("dx").alias("do")))
+    sides = edges.select(F.col("x").alias("c"), F.col("y").alias("o"), "w", F.col("dx").alias("dc"), F.col("dy").alias("do"), "m").unionByName(edges.select(F.col("y").alias("c"), F.col("x").alias("o"), "w", F.col("dy").alias("dc"), F.col("dx").alias("do"), "m"))
     least, most = F.least("c", "o"), F.greatest("c", "o")
-    order = F.struct((F.col("w") / (F.col("dc") * F.col("do"))).alias("lift"), F.xxhash64(F.lit(n), least, most).alias("h"), least.alias("l"), most.alias("g"), "o", "w", "dc", "do")
-    best = sides.groupBy("c").agg(F.max(F.when(2 * F.lit(m) * F.col("w") > F.col("dc") * F.col("do"), order)).alias("b"), F.count("*").alias("near")).where("b IS NOT NULL").select("c", "b.o", "b.w", "b.dc", "b.do", "near")
+    order = F.struct((F.col("w") / (F.col("dc") * F.col("do"))).alias("lift"), F.xxhash64(F.lit(n), least, most).alias("h"), least.alias("l"), most.alias("g"), "o", "w", "dc", "do", "m")
+    best = sides.groupBy("c").agg(F.max(F.when(2 * F.col("m") * F.col("w") > F.col("dc") * F.col("do"), order)).alias("b"), F.count("*").alias("near")).where("b IS NOT NULL").select("c", "b.o", "b.w", "b.dc", "b.do", "b.m", "near")
     second = best.select(F.col("c").alias("o"), F.col("o").alias("o2"), F.col("do").alias("d2"))
     third = best.select(F.col("c").alias("o2"), F.col("o").alias("o3"))
     seen = best.join(second, "o", "left").join(third, "o2", "left")
     pairs = seen.where("o2 = c AND c > o").select("c", F.col("o").alias("to"), F.col("dc").alias("d"), F.col("do").alias("d_to"))
     paired = F.col("o3") == F.col("o")
-    single = seen.where("near = 1 AND NOT (o2 <=> c)").select("c", "w", "dc", F.when(paired, F.least("o", "o2")).otherwise(F.col("o")).alias("to"), (F.col("do") + F.when(paired, F.col("d2")).otherwise(0)).alias("base"), F.when(paired & (F.col("o2") < F.col("o")), F.col("d2")).otherwise(F.col("do")).alias("d_to"))
+    single = seen.where("near = 1 AND NOT (o2 <=> c)").select("c", "w", "dc", "m", F.when(paired, F.least("o", "o2")).otherwise(F.col("o")).alias("to"), (F.col("do") + F.when(paired, F.col("d2")).otherwise(0)).alias("base"), F.when(paired & (F.col("o2") < F.col("o")), F.col("d2")).otherwise(F.col("do")).alias("d_to"))
     all_ = single.groupBy("to").agg(F.sum("dc").alias("come"))
-    joined = single.join(all_, "to").where(2 * F.lit(m) * F.col("w") > F.col("dc") * (F.col("base") + F.col("come") - F.col("dc")))
+    joined = single.join(all_, "to").where(2 * F.col("m") * F.col("w") > F.col("dc") * (F.col("base") + F.col("come") - F.col("dc")))
     return pairs.unionByName(joined.select("c", "to", F.col("dc").alias("d"), "d_to"))
 
 
@@ -240,10 +251,15 @@ def articulation_points(rels: DataFrame) -> DataFrame:
 
 
 def bridge_candidates(rels: DataFrame, cuts: DataFrame, between: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """Top k nodes that are articulation points, lie on over 5 % of shortest paths or border two other communities, with their first five edges."""
+    """Top k of bridge_rows."""
+    return bridge_rows(rels, cuts, between, labels).orderBy(F.desc("score"), "entity_id").limit(k)
+
+
+def bridge_rows(rels: DataFrame, cuts: DataFrame, between: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes that are articulation points, lie on over 5 % of shortest paths or border two other communities, with their first five edges."""
     edge = adjacency(rels).withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("relationship_id"))).where("_k <= 5").groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), ",").alias("evidence"))
     rows = between.join(cuts.select("entity_id", F.lit(True).alias("cut")), "entity_id", "left").join(boundary_scores(rels, labels), "entity_id", "left")
     metric = F.when(F.col("cut"), "articulation_point").when(F.col("boundary") >= 2, "community_boundary").when(F.col("betweenness") > 0.05, "betweenness")
     rows = rows.withColumn("metric", metric).where("metric IS NOT NULL")
     score = F.when(F.col("metric") == "betweenness", F.col("betweenness")).otherwise(F.lit(0.6))
-    return rows.join(edge, F.col("entity_id") == F.col("node"), "left").select("entity_id", "metric", score.alias("score"), "betweenness", F.coalesce("boundary", F.lit(0)).alias("boundary"), "evidence").orderBy(F.desc("score"), "entity_id").limit(k)
+    return rows.join(edge, F.col("entity_id") == F.col("node"), "left").select("entity_id", "metric", score.alias("score"), "betweenness", F.coalesce("boundary", F.lit(0)).alias("boundary"), "evidence")

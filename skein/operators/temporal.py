@@ -31,8 +31,13 @@ def bursts(rels: DataFrame, hours: int = 24, z: float = 2.0, pseudo: tuple[str,
     """Windows of an entity whose count exceeds the mean of its non-empty windows by z deviations (by 1 where all are equal) and is at least 3."""
     times = keyed_times(rels, pseudo)
     first = times.agg(F.min("us").alias("_first"))
+    return over_threshold(times.crossJoin(F.broadcast(first)), hours, z)
+
+
+def over_threshold(times: DataFrame, hours: int = 24, z: float = 2.0) -> DataFrame:
+    """bursts() of (entity, us, _first): times and where the entity's windows begin."""
     span = hours * 3_600_000_000
-    win = times.crossJoin(F.broadcast(first)).groupBy("entity", F.expr(f"(us - _first) div {span}").alias("win"), "_first").agg(F.count("*").alias("n"))
+    win = times.groupBy("entity", F.expr(f"(us - _first) div {span}").alias("win"), "_first").agg(F.count("*").alias("n"))
     base = win.groupBy("entity").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.count("*").alias("k"), F.sum("n").alias("total")).where("k >= 2 AND total >= 3")
     threshold = F.when(F.col("std") > 0, F.col("mean") + z * F.col("std")).otherwise(F.col("mean") + 1)
     found = win.join(base, "entity").withColumn("_t", threshold).where("n > _t AND n >= 3")

@@ -118,6 +118,27 @@ ACCOUNTS_SQL = PAYMENTS_SQL + """,
 accounts AS (SELECT relationship_id, 'account-' || regexp_extract(source_id, '[0-9]+$') AS source_id, 'account-' || regexp_extract(target_id, '[0-9]+$') AS target_id, ts::DATE AS ts, amount FROM payments)"""
 
 
+def frequent_account_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account_payments() between the parties of frequent_payments()."""
+    often = frequent_payments(spark, sf_dir).select("relationship_id")
+    pay = account_payments(spark, sf_dir).join(often, "relationship_id", "left_semi")
+    return pay.select("relationship_id", "source_id", "target_id", "relationship_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "confidence", "amount")
+
+
+FREQUENT_ACCOUNTS_SQL = FREQUENT_SQL + """,
+pay AS (SELECT relationship_id, 'account-' || regexp_extract(source_id, '[0-9]+$') AS source_id, 'account-' || regexp_extract(target_id, '[0-9]+$') AS target_id, relationship_type, ts::TIMESTAMP AS ts, confidence, amount FROM frequent)"""
+
+
+def account_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, entity_id): the region of each customer's account, a case."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(entity_id("region", "n_regionkey").alias("case_id"), entity_id("account", "c_custkey").alias("entity_id"))
+
+
+ACCOUNT_CASES_SQL = "account_cases AS (SELECT printf('region-%05d', n_regionkey) AS case_id, printf('account-%05d', c_custkey) AS entity_id FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(entity_id("nation", "n_nationkey").alias("entity_id"), F.lit("Location").alias("entity_type"), F.col("n_name").alias("name"))
 
