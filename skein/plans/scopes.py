@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import short_hash
-from skein.operators import graph, paths, scopes
+from skein.operators import graph, interpret, paths, scopes
 from skein.operators.base import settle
 from skein.sources import adapters as A
 
@@ -175,3 +175,34 @@ def snapshots_by_root(spark, d):
     root = F.expr("substr(scope, 6)")
     snapshot = F.concat(F.lit("snapshot-"), short_hash(F.lit("global"), root, F.lit(str(DEPTH)), F.lit(str(scopes.MAX_NODES))))
     return all_.select(snapshot.alias("snapshot_id"), root.alias("root"), "part", "id", F.concat(F.lit("ev-"), short_hash(F.col("part"), F.col("id"))).alias("evidence_id"))
+
+
+def _interpretation_sql() -> str:
+    """The sentences of interpret.py put together in SQL, for scopes whose bursts and chains were measured."""
+    text = {c: (seen, note) for c, seen, note in interpret.SIGNALS}
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    seen = ", ".join(f"CASE WHEN n_{c} > 0 THEN printf({quote(text[c][0])}, n_{c}) END" for c in ("bursts", "chains"))
+    notes = ", ".join(f"CASE WHEN n_{c} > 0 THEN {quote(text[c][1])} END" for c in ("bursts", "chains"))
+    kinds = ", ".join(quote(k) for k in interpret.KINDS)
+    b = interpret.BRIEFS
+    return f"""WITH RECURSIVE {SCOPED_SQL}, ends AS (SELECT scope, source_id AS id FROM edges UNION SELECT scope, target_id FROM edges),
+per AS (SELECT scope, count(*) AS e, array_to_string(list_sort(list(id))[1:3], ',') AS first_ids FROM ends GROUP BY 1),
+c AS (SELECT p.*, case_id, CASE WHEN scope LIKE 'root:%' THEN substr(scope, 6) END AS root, (SELECT count(*) FROM edges x WHERE x.scope = p.scope) AS r, (SELECT count(*) FROM bursts x WHERE x.scope = p.scope) AS n_bursts, (SELECT count(*) FROM chains x WHERE x.scope = p.scope) AS n_chains FROM per p JOIN names USING (scope)),
+k AS (SELECT *, unnest([{kinds}]) AS analysis_type FROM c),
+said AS (SELECT *, list_filter([printf({quote(interpret.WHOLE)}, e, r, coalesce(case_id, 'global')), {seen}], lambda x: x IS NOT NULL) AS o,
+  list_filter([{quote(interpret.CENTRAL)}, {notes}, CASE analysis_type WHEN 'entity_brief' THEN printf({quote(b['entity_brief'])}, coalesce(root, string_split(first_ids, ',')[1])) WHEN 'investigation_brief' THEN {quote(b['investigation_brief'])} WHEN 'network_brief' THEN {quote(b['network_brief'])} END], lambda x: x IS NOT NULL) AS n FROM k)
+SELECT scope, analysis_type, 'ai-' || substr(sha256(concat_ws('|', analysis_type, coalesce(case_id, ''), coalesce(root, ''), e, r, first_ids)), 1, 12) AS analysis_id, analysis_type || ': ' || o[1] AS summary, array_to_string(o, ' ') AS observations, array_to_string(n, ' ') AS notes,
+  round(least({interpret.CEILING}e0, {interpret.FLOOR}e0 + {interpret.STEP}e0 * (len(o) + len(n))), 2) AS confidence, first_ids AS supporting_entities FROM said"""
+
+
+@query(_interpretation_sql())
+def interpretations_by_scope(spark, d):
+    """Eleven kinds of interpretation of each scope that has edges, from its counts, bursts and chains."""
+    _, _, names, edges = _scoped(spark, d)
+    ends = graph.endpoints(edges).select(scopes.scope_of("entity_id").alias("scope"), scopes.bare("entity_id").alias("entity_id"))
+    first = scopes.first_of(ends, 3, "entity_id").groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("first_ids"))
+    count = lambda df, name: df.groupBy("scope").agg(F.count("*").alias(name))
+    counts = names.join(count(ends, "entities"), "scope").join(count(edges, "relationships"), "scope").join(first, "scope")
+    counts = counts.join(count(scopes.bursts(edges), "bursts"), "scope", "left").join(count(scopes.chains(edges), "chains"), "scope", "left")
+    none, root = F.lit(None).cast("long"), F.when(F.startswith("scope", F.lit("root:")), F.expr("substr(scope, 6)"))
+    return interpret.interpretations(counts.withColumns({"root": root, "central": F.lit(True), "bridges": none, "communities": none, "indicators": none}))

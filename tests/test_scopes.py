@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import centrality, community, graph, paths, scopes
+from skein.operators import centrality, community, graph, interpret, paths, scopes
 from skein.plans import scopes as plans
 from tests.conftest import SF, same
 
@@ -99,3 +99,19 @@ def test_findings_hold_bridges_and_explain(spark):
 def test_against_sql(spark, sql, name):
     got = plans.QUERIES[name](spark, SF).toPandas()
     assert same(got, sql(plans.SQL[name])) and len(got)
+
+
+COUNTS = "scope string, case_id string, root string, entities long, relationships long, central boolean, first_ids string, bridges long, communities long, bursts long, chains long, indicators long"
+
+
+def test_interpretations(spark):
+    rows = [("full", "case-1", "n1", 4, 5, True, "n1,n2,n3", 1, 2, 3, 4, 5), ("none", None, None, 0, 0, False, "", None, 0, None, 0, None), ("bare", None, None, 2, None, None, "a,b", None, None, None, None, None)]
+    got = {(r["scope"], r["analysis_type"]): r for r in interpret.interpretations(spark.createDataFrame(rows, COUNTS)).collect()}
+    assert len(got) == 3 * len(interpret.KINDS) and len({r["analysis_id"] for r in got.values()}) == len(got)
+    full, none, bare = (got[s, "entity_brief"] for s in ("full", "none", "bare"))
+    assert all(text.split("%d")[-1] in full["observations"] for _, text, _ in interpret.SIGNALS) and full["observations"].startswith("4 entities and 5 relationships")
+    assert all(note in full["notes"] for _, _, note in interpret.SIGNALS if note) and "brief on n1" in full["notes"]
+    assert (full["confidence"], none["confidence"], bare["confidence"], got["bare", "centrality"]["confidence"]) == (0.85, 0.35, 0.65, 0.6)
+    assert none["observations"] == interpret.EMPTY and "an unknown entity" in none["notes"] and "brief on a " in bare["notes"]
+    with pytest.raises(ValueError):
+        interpret.interpretations(spark.createDataFrame(rows, COUNTS), ("guess",))
