@@ -55,12 +55,13 @@ def groundedness(grounded: DataFrame) -> DataFrame:
 CHECKS = ("entities", "relationships", "evidence", "case_membership", "numerical", "temporal")
 
 
-def ground_analyses(analyses: DataFrame, references: DataFrame, ents: DataFrame, rels: DataFrame, evidence: DataFrame, members: DataFrame, times: DataFrame) -> DataFrame:
+def ground_analyses(analyses: DataFrame, references: DataFrame, ents: DataFrame, rels: DataFrame, evidence: DataFrame, members: DataFrame, times: DataFrame, case_edges: DataFrame | None = None) -> DataFrame:
     """For each analysis (analysis_id, case_id, text): unsupported claims of each of six checks, their sum and the overall status.
 
     references: (analysis_id, kind, reference), kind one of entity, relationship, evidence.
     ents, rels and evidence hold the known ids in a column id; members (case_id, id) the
-    entities of each case; times (iso) the times of relationships. Without a case every
+    entities of each case; times (iso) the times of relationships. case_edges (case_id, id):
+    the relationships of each case, else any known one counts as its own. Without a case every
     reference is a member; numbers before "entities" must be the number of entities if there
     are any; without times no time is unsupported.
     """
@@ -70,7 +71,8 @@ def ground_analyses(analyses: DataFrame, references: DataFrame, ents: DataFrame,
     claims = references.where("kind <> 'evidence'").join(analyses.select("analysis_id", "case_id"), "analysis_id").where("case_id IS NOT NULL")
     is_edge = F.startswith("reference", F.lit("rel-"))
     outside = claims.where(~is_edge & (F.col("reference") != F.col("case_id"))).join(members.select("case_id", F.col("id").alias("reference")), ["case_id", "reference"], "left_anti")
-    lost = claims.where(is_edge).join(rels.select(F.col("id").alias("reference")), "reference", "left_anti")
+    known, keys = (rels, ["reference"]) if case_edges is None else (case_edges, ["case_id", "reference"])
+    lost = claims.where(is_edge).join(known.withColumnRenamed("id", "reference").select(*keys), keys, "left_anti")
     member = outside.select("analysis_id").unionByName(lost.select("analysis_id")).select("analysis_id", F.lit("case_membership").alias("check"))
     n = F.broadcast(ents.agg(F.count("*").alias("_n")))
     numbers = analyses.select("analysis_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9]+)\\s+entities"), 1)).alias("said")).join(n, (F.col("_n") != 0) & (F.col("said").try_cast("long") != F.col("_n"))).select("analysis_id", F.lit("numerical").alias("check"))
@@ -170,6 +172,18 @@ def verify_logs(chain: DataFrame) -> DataFrame:
     return joined.withColumns({"hash_ok": F.col("hash") == F.sha2(text, 256), "link_ok": F.coalesce(F.col("previous_hash") == expected, F.lit(False))}).drop("_before")
 
 
+#: The most entities, records and characters that a provider is given, and the longest text.
+MAX_ENTITIES, MAX_RECORDS, MAX_CHARS, MAX_TEXT = 500, 200, 500_000, 100_000
+
+
+def provider_bounds(sizes: DataFrame) -> DataFrame:
+    """sizes (any key columns, entities, records, chars, text_chars) with the bounds they exceed, joined by commas, and ok; a null size counts as 0, a blank text (0) is out of bounds, a null one is not given."""
+    over = [("entities", MAX_ENTITIES), ("records", MAX_RECORDS), ("chars", MAX_CHARS), ("text_chars", MAX_TEXT)]
+    said = [F.when(F.coalesce(c, F.lit(0)) > most, F.lit(c)) for c, most in over] + [F.when(F.col("text_chars") == 0, F.lit("blank text"))]
+    bad = F.array_join(F.array_compact(F.array(*said)), ",")
+    return sizes.withColumns({"exceeded": bad, "ok": bad == ""})
+
+
 # Explanations
 
 def explanations(found: DataFrame, kind: str, key: str, summary: Column, entities: Column, evidence: Column, method: str, parameters: str, asked: DataFrame) -> DataFrame:

@@ -89,8 +89,7 @@ grounded AS (SELECT a.analysis_id, {', '.join(f"count(*) FILTER (c = '{c}') AS {
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-@query(f"WITH {GROUND_SQL} SELECT * FROM grounded")
-def analysis_grounding(spark, d):
+def _grounded(spark, d, by_case: bool = False):
     ents, own = A.entities(spark, d).select(F.col("entity_id").alias("id")), A.ownership(spark, d)
     times = A.table(spark, d, "events").select(F.date_format("ts", ISO).alias("iso")).distinct()
     nation, customer, supplier = (A.table(spark, d, t) for t in ("nation", "customer", "supplier"))
@@ -112,7 +111,44 @@ def analysis_grounding(spark, d):
     member = lambda df, key, eid: df.join(case, F.col(key) == F.col("_n")).select("case_id", eid.alias("id"))
     members = member(nation, "n_nationkey", A.entity_id("nation", "n_nationkey")).unionByName(member(customer, "c_nationkey", A.entity_id("customer", "c_custkey"))).unionByName(member(supplier, "s_nationkey", A.entity_id("supplier", "s_suppkey")))
     evidence = nation.where("n_nationkey % 8 <> 7").select(A.entity_id("evidence", "n_nationkey").alias("id"))
-    return review.ground_analyses(analyses.drop("k"), references, ents, own.select(F.col("relationship_id").alias("id")), evidence, members, times)
+    case_edges = None
+    if by_case:
+        at = lambda c: members.select(F.col("case_id").alias(f"_{c}"), F.col("id").alias(c))
+        inside = own.join(at("source_id"), "source_id").join(at("target_id"), "target_id").where("_source_id = _target_id")
+        case_edges = inside.select(F.col("_source_id").alias("case_id"), F.col("relationship_id").alias("id"))
+    return review.ground_analyses(analyses.drop("k"), references, ents, own.select(F.col("relationship_id").alias("id")), evidence, members, times, case_edges)
+
+
+@query(f"WITH {GROUND_SQL} SELECT * FROM grounded")
+def analysis_grounding(spark, d):
+    return _grounded(spark, d)
+
+
+CASE_GROUND_SQL = GROUND_SQL.replace(
+    "CASE WHEN reference LIKE 'rel-%' THEN reference NOT IN (SELECT relationship_id FROM ownership) ELSE",
+    "CASE WHEN reference LIKE 'rel-%' THEN NOT EXISTS (SELECT 1 FROM ownership o JOIN members s ON s.id = o.source_id JOIN members t ON t.id = o.target_id AND t.case_id = s.case_id WHERE s.case_id = a.case_id AND o.relationship_id = r.reference) ELSE",
+)
+
+
+@query(f"WITH {CASE_GROUND_SQL} SELECT * FROM grounded")
+def case_edge_grounding(spark, d):
+    """Grounding where a relationship must belong to the analysis's case by both of its ends, not only exist."""
+    return _grounded(spark, d, by_case=True)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS n, count(*) AS entities, min(length(c_name)) AS text_chars FROM customer GROUP BY 1),
+o AS (SELECT c_nationkey AS n, count(*) AS records, sum(length(o_orderpriority) + length(o_orderstatus))::BIGINT AS chars FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+s AS (SELECT printf('nation-%05d', n_nationkey) AS entity_id, entities, records, chars, text_chars FROM nation LEFT JOIN c ON c.n = n_nationkey LEFT JOIN o ON o.n = n_nationkey),
+b AS (SELECT *, concat_ws(',', CASE WHEN entities > 500 THEN 'entities' END, CASE WHEN records > 200 THEN 'records' END, CASE WHEN chars > 500000 THEN 'chars' END, CASE WHEN text_chars > 100000 THEN 'text_chars' END, CASE WHEN text_chars = 0 THEN 'blank text' END) AS exceeded FROM s)
+SELECT entity_id, exceeded, exceeded = '' AS ok, coalesce(records, 0) AS records FROM b""")
+def provider_bounds(spark, d):
+    """Whether a nation's customers and orders may be given to a provider as one snapshot, and which bounds they exceed."""
+    customer, orders = A.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name"), A.table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+    c = customer.groupBy("c_nationkey").agg(F.count("*").alias("entities"), F.min(F.length("c_name")).alias("text_chars"))
+    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("records"), F.sum(F.length("o_orderpriority") + F.length("o_orderstatus")).alias("chars"))
+    nation = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), A.entity_id("nation", "n_nationkey").alias("entity_id"))
+    sizes = nation.join(c, "c_nationkey", "left").join(o, "c_nationkey", "left")
+    return review.provider_bounds(sizes).select("entity_id", "exceeded", "ok", F.coalesce("records", F.lit(0)).alias("records"))
 
 
 @query(f"""WITH {EVAL_SQL}, {GROUND_SQL},

@@ -36,3 +36,14 @@ def test_no_case_and_no_times_support_everything(spark):
     one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     out = review.ground_analyses(one([("x", None, "5 entities at 2024-01-01T00:00:00Z")], "analysis_id string, case_id string, text string"), one([("x", "entity", "a")], "analysis_id string, kind string, reference string"), one([("a",)], "id string"), one([], "id string"), one([], "id string"), one([], "case_id string, id string"), one([], "iso string")).collect()[0]
     assert (out["numerical"], out["temporal"], out["case_membership"], out["unsupported_claims"], out["overall_status"]) == (1, 0, 0, 1, "NEEDS_REVIEW")
+
+
+def test_case_edges_and_bounds(spark):
+    one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    analyses, refs = one([("x", "c1", "")], "analysis_id string, case_id string, text string"), one([("x", "relationship", r) for r in ("rel-1", "rel-2", "rel-3")], "analysis_id string, kind string, reference string")
+    known, none = one([("rel-1",), ("rel-2",)], "id string"), one([], "id string")
+    rest = (none, known, none, one([], "case_id string, id string"), one([], "iso string"))
+    found = lambda edges: review.ground_analyses(analyses, refs, *rest, edges).first()["case_membership"]
+    assert found(None) == 1 and found(one([("c1", "rel-1"), ("c2", "rel-2")], "case_id string, id string")) == 2
+    sizes = one([("a", 500, 200, 500_000, 100_000), ("b", 501, 201, 500_001, 100_001), ("c", None, None, None, None), ("d", 1, 1, 1, 0)], "key string, entities long, records long, chars long, text_chars long")
+    assert {r["key"]: r["exceeded"] for r in review.provider_bounds(sizes).collect()} == {"a": "", "b": "entities,records,chars,text_chars", "c": "", "d": "blank text"}
