@@ -93,3 +93,40 @@ def test_documents(spark, docs, odd):
 
 def test_plain_words_hold_nothing():
     assert pii.tagged(pii.trained(), ["plain words only"]) == [[]]
+
+
+def test_runs_give_the_best_way_through_whole_texts():
+    rng = np.random.default_rng(8)
+    for run in (1, 3, 8, 64):
+        sizes, step = rng.integers(1, 150, 30), rng.normal(size=(4, 4))
+        u = rng.normal(size=(4, sizes.sum()))
+        got = np.split(pii.viterbi_in_runs(u, sizes, step, run), np.cumsum(sizes)[:-1])
+        for tags, x in zip(got, np.split(u, np.cumsum(sizes)[:-1], axis=1)):
+            best, come = x[:, 0], []
+            for t in range(1, x.shape[1]):
+                ways = best[:, None] + step
+                come.append(ways.argmax(axis=0))
+                best = ways.max(axis=0) + x[:, t]
+            want = [int(best.argmax())]
+            for c in reversed(come):
+                want.append(int(c[want[-1]]))
+            assert tags.tolist() == want[::-1]
+
+
+def test_every_token_is_scored(monkeypatch):
+    seen, real = [], pii.viterbi_in_runs
+    monkeypatch.setattr(pii, "viterbi_in_runs", lambda u, sizes, step: seen.append(sizes.tolist()) or real(u, sizes, step))
+    texts = ["word " * 5000 + "my name is Anna Schmidt", "", " \n ", "plain words only"]
+    (spans, *rest) = pii.tagged(pii.trained(), texts)
+    assert seen == [[5005, 3]] and [(k, texts[0][a:b]) for a, b, k in spans] == [("name", "Anna Schmidt")] and rest == [[], [], []]
+
+
+def test_features_in_tables_equal_those_of_a_text():
+    f = pii.trained()
+    text = "Dear Mr. John A. Smith, token=\"a1b2c3d4e5f6a7b8\" and SSN:123-45-6789; x_y the name of the house"
+    places = [m.span() for m in pii.WORDS.finditer(text)]
+    u = f.weights[f.features(text, places)].sum(axis=1)
+    tags = pii.viterbi(u[None], np.array([len(places)]), f.step)[0]
+    want = [(places[i], pii.TAGS[t]) for i, t in enumerate(tags) if t]
+    got = pii.tagged(f, [text])[0]
+    assert [any(a <= p[0] and p[1] <= b and k == tag for a, b, k in got) for p, tag in want] == [True] * len(want) and want
