@@ -4,7 +4,8 @@ import random
 
 from tests.test_graphs import rels
 
-from skein.operators import centrality, community, graph
+from skein.operators import centrality, community, graph, traverse
+from skein.sources import adapters as A
 
 
 def brute_cuts(pairs):
@@ -52,3 +53,26 @@ def test_leaves_of_other_graphs(spark):
         assert {x[0] for x in community.articulation_points(rels(spark, pairs)).collect()} == brute_cuts(pairs)
     assert community.articulation_points(rels(spark, [("a", "a")])).count() == 0
     assert graph.links(rels(spark, [("b", "a"), ("a", "b"), ("a", "a")])).collect() == [("a", "b")]
+
+
+def payments(spark, rows):
+    return spark.createDataFrame(rows, "relationship_id string, source_id string, target_id string, ts string, amount string").selectExpr("relationship_id", "source_id", "target_id", "date(ts) AS ts", "cast(amount AS decimal(31,4)) AS amount")
+
+
+def test_payments_that_follow_none_are_not_kept_for_chains(spark, monkeypatch):
+    """Of 200 payments to one account only its own payment can follow; either side may be the smaller."""
+    many = [(f"r{i:03d}", f"payer{i}", "hub", "2020-01-01", "100") for i in range(200)] + [("s0", "hub", "end", "2020-01-05", "95")]
+    turned = [("s0", "start", "hub", "2020-01-01", "100")] + [(f"r{i:03d}", "hub", f"paid{i}", "2020-01-05", "95") for i in range(200)]
+    for rows, kept in ((many, 1), (turned, 200)):
+        stored = []
+        with monkeypatch.context() as m:
+            m.setattr(traverse, "settle", lambda df, real=traverse.settle: stored.append((out := real(df)).count()) or out)
+            assert traverse.timed_chains(payments(spark, rows)).count() == 200
+        assert stored[:2] == [1, kept]
+
+
+def test_ids_of_numbers_as_formatted(spark):
+    keys = [0, 7, 99_999, 100_000, 12_345_678_901, -1, -123_456]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", A.entity_id("x", "k").alias("id"), A._account("k").alias("account")).collect()
+    assert {r["k"]: r["id"] for r in got} == {k: "x-%05d" % k for k in keys}
+    assert {r["k"]: r["account"] for r in got} == {k: "account-" + ("%05d" % k).lstrip("-") for k in keys}
