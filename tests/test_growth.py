@@ -76,3 +76,18 @@ def test_ids_of_numbers_as_formatted(spark):
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", A.entity_id("x", "k").alias("id"), A._account("k").alias("account")).collect()
     assert {r["k"]: r["id"] for r in got} == {k: "x-%05d" % k for k in keys}
     assert {r["k"]: r["account"] for r in got} == {k: "account-" + ("%05d" % k).lstrip("-") for k in keys}
+
+
+def test_betweenness_from_sources_moves_no_edge_for_sources_it_serves_not(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"n{i:02d}" for i in range(40)]
+    pairs = [tuple(rng.sample(names, 2)) for _ in range(60)] + [(rng.choice(names), f"leaf{i}") for i in range(40)] + [("p", "q"), ("s", "r")]
+    r = rels(spark, pairs).cache()
+    sources = spark.createDataFrame([(x,) for x in [*names[:5], "leaf3", "s", "absent"]], "id string")
+    n = graph.links(r).select("source_id").union(graph.links(r).select("target_id")).distinct().count()
+    want = {x[0]: x[1] for x in centrality.betweenness(r, centrality.distances(r, sources), n).collect()}
+    rows = []
+    monkeypatch.setattr(centrality, "settle", lambda df, partitioned=False, real=centrality.settle: rows.append((df.columns, (out := real(df, partitioned)).count())) or out)
+    got = {x[0]: x[1] for x in centrality.betweenness_from(r, sources).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 2e-6 for k in want) and max(want.values()) > 0
+    assert max(c for _, c in rows) < 4 * len(pairs)
