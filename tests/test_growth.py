@@ -91,3 +91,25 @@ def test_betweenness_from_sources_moves_no_edge_for_sources_it_serves_not(spark,
     got = {x[0]: x[1] for x in centrality.betweenness_from(r, sources).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 2e-6 for k in want) and max(want.values()) > 0
     assert max(c for _, c in rows) < 4 * len(pairs)
+
+
+def test_shortest_paths_compare_numbers_and_stop_with_the_graph(spark, monkeypatch):
+    """Paths are written once a node, and no round follows the one that reaches nothing."""
+    rng = random.Random(8)
+    pairs = [tuple(rng.sample([f"n{i:02d}" for i in range(30)], 2)) for _ in range(70)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    best, front = {"n00": ("n00",)}, {"n00": ("n00",)}
+    while front:
+        new = {}
+        for node, path in front.items():
+            for other in near[node] - set(best):
+                new[other] = min(new.get(other, (*path, other)), (*path, other))
+        best, front = {**best, **new}, new
+    held = []
+    monkeypatch.setattr(traverse, "settle", lambda df, real=traverse.settle: held.append(("path" in df.columns, (out := real(df)).count())) or out)
+    got = {r["entity_id"]: tuple(r["path"]) for r in traverse.shortest_paths(rels(spark, pairs), "n00").collect()}
+    assert got == best and max(map(len, best.values())) < traverse.MAX_DEPTH
+    assert sum(has for has, _ in held) == max(map(len, best.values())) + 1 and sum(n for has, n in held if has) == len(best)
