@@ -131,6 +131,10 @@ def cue_relations(docs: DataFrame, mentions: DataFrame, known: Column | None = N
     return between.where(keep).select("doc_id", F.concat(F.lit("rel-"), short_hash(F.col("doc_id"), F.col("sa"), F.col("ta"), F.col("relationship_type"))).alias("relationship_id"), "source_type", "source_text", "target_type", "target_text", "relationship_type", F.col("prior").alias("confidence"))
 
 
+#: Documents whose mentions and cues one task sorts.
+DOCS_A_TASK = 50_000
+
+
 def cues_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, start, end): every cue of CUES in each text, found in one pass over it; null texts have none."""
 
@@ -144,18 +148,20 @@ def cues_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return two.mapInPandas(run, "doc_id long, rule int, start int, end int")
 
 
-def nearest_cue_relations(cues: DataFrame, mentions: DataFrame, known: Column | None = None) -> DataFrame:
+def nearest_cue_relations(cues: DataFrame, mentions: DataFrame, known: Column | None = None, docs: int | None = None) -> DataFrame:
     """Relations between the last mention before a cue and the first one after it, of the types that the cue's rule names.
 
     Mentions and cues of a document stand in one sorted sequence, along which the nearest
     mention of each type is carried forward and backward, so the work is linear in them;
     cue_relations() gives all pairs around a cue instead. Two types may stand in either
     order, one type is taken in text order. A mention that overlaps the cue does not count.
-    Several cues between the same two mentions give one relation.
+    Several cues between the same two mentions give one relation. docs: the number of
+    documents; a task then sorts those of about DOCS_A_TASK, however many there are.
     """
     types = sorted({t for c in CUES for t in c[:2]})
     m = mentions.where(F.col("entity_type").isin(types)).select("doc_id", "start", "end", "entity_type", "text", (known if known is not None else F.lit(False)).alias("linked"), F.lit(None).cast("int").alias("rule"))
     line = m.unionByName(cues.select("doc_id", "start", "end", F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("linked"), "rule"))
+    line = line if docs is None else line.repartition(1 + docs // DOCS_A_TASK, "doc_id")
     one = F.struct("start", "end", "text", "linked")
     order = ["start", "end", F.col("rule").asc_nulls_first()]
     ahead = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -226,5 +226,5 @@ UNION ALL SELECT doc_id, p, firm, 'ASSOCIATED_WITH', 0.7e0 FROM r WHERE k = 3"""
 def cue_relations_of_orders(spark, d):
     """Relations told in the reports on all orders; the SQL takes them from the orders themselves."""
     docs = settle(order_reports(spark, d))
-    found = text.nearest_cue_relations(text.cues_in(docs), text.extract_mentions(docs))
+    found = text.nearest_cue_relations(text.cues_in(docs), text.extract_mentions(docs), docs=docs.count())
     return found.select("doc_id", "source_text", "target_text", "relationship_type", "confidence")

@@ -4,7 +4,7 @@ import random
 
 from tests.test_graphs import rels
 
-from skein.operators import centrality, community, graph, traverse
+from skein.operators import centrality, community, graph, text, traverse
 from skein.sources import adapters as A
 
 
@@ -113,3 +113,12 @@ def test_shortest_paths_compare_numbers_and_stop_with_the_graph(spark, monkeypat
     got = {r["entity_id"]: tuple(r["path"]) for r in traverse.shortest_paths(rels(spark, pairs), "n00").collect()}
     assert got == best and max(map(len, best.values())) < traverse.MAX_DEPTH
     assert sum(has for has, _ in held) == max(map(len, best.values())) + 1 and sum(n for has, n in held if has) == len(best)
+
+
+def test_a_task_of_cue_relations_sorts_a_bounded_number_of_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "Amber Holt called Boris Holt. Boris Holt works for Delta Traders Ltd.") for i in range(100)], "doc_id long, text string")
+    cues, mentions = text.cues_in(docs), text.extract_mentions(docs)
+    monkeypatch.setattr(text, "DOCS_A_TASK", 10)
+    dealt = text.nearest_cue_relations(cues, mentions, docs=100)
+    assert sorted(dealt.collect()) == sorted(text.nearest_cue_relations(cues, mentions).collect()) and dealt.count() >= 200
+    assert dealt.rdd.getNumPartitions() == 11
