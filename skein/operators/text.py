@@ -16,25 +16,28 @@ from skein.functions.scalar import short_hash
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern for one entity type with its declared prior; earlier rules claim text first."""
+    """A pattern for one entity type with its declared prior; earlier rules claim text first.
+
+    hint: a pattern that each text with a match holds too and that is quicker to look for; texts without it are not searched."""
 
     name: str
     pattern: str
     entity_type: str
     prior: float
+    hint: str = ""
 
 
 #: Extraction rules in order of priority.
 RULES = (
-    Rule("phone_fictional", r"\+91-(?:9[0-4])-\d{7}", "PhoneNumber", 0.95),
-    Rule("phone_e164", r"\+\d{1,3}[-\s]?\d{7,10}\b", "PhoneNumber", 0.85),
-    Rule("vehicle_registration", r"\b[A-Z]{2}-FIC\d{2}-[A-Z]{1,3}\d{3,4}\b|\b[A-Z]{2}[-\s]\d{1,2}[-\s][A-Z]{1,3}[-\s]\d{3,4}\b", "Vehicle", 0.90),
-    Rule("account_number", r"\bFICA\d{8,9}\b", "FinancialAccount", 0.95),
-    Rule("case_number", r"\bSYN-CASE-\d{4}-\d{3}\b", "Case", 0.95),
-    Rule("fir_number", r"\bSYN-FIR-\d{4}-\d{4}\b", "FIR", 0.95),
-    Rule("org_suffix", r"\b([A-Z][\w&]*\s+){1,3}(?:Traders|Logistics|Enterprises|Services|Solutions|Industries|Associates|Imports\s*&\s*Exports)\s+(?:Pvt Ltd|LLP|Ltd|Inc|Corp)?\b", "Organization", 0.80),
-    Rule("person_titlecase", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", "Person", 0.40),
-    Rule("location_titlecase", r"\b(?:Sector|Ring Road|Old Fort Road|Lake View Colony|Station Square|Mill Lane|Garden Chowk|Riverside Depot|Tech Park Gate|Hillview Apartments)\b(?:\s+(?:\d+|[A-Z][a-z]+))*", "Location", 0.30),
+    Rule("phone_fictional", r"\+91-(?:9[0-4])-\d{7}", "PhoneNumber", 0.95, r"\+91-9"),
+    Rule("phone_e164", r"\+\d{1,3}[-\s]?\d{7,10}\b", "PhoneNumber", 0.85, r"\+\d"),
+    Rule("vehicle_registration", r"\b[A-Z]{2}-FIC\d{2}-[A-Z]{1,3}\d{3,4}\b|\b[A-Z]{2}[-\s]\d{1,2}[-\s][A-Z]{1,3}[-\s]\d{3,4}\b", "Vehicle", 0.90, r"[A-Z][A-Z][-\s](?:FIC)?\d"),
+    Rule("account_number", r"\bFICA\d{8,9}\b", "FinancialAccount", 0.95, "FICA"),
+    Rule("case_number", r"\bSYN-CASE-\d{4}-\d{3}\b", "Case", 0.95, "SYN-CASE-"),
+    Rule("fir_number", r"\bSYN-FIR-\d{4}-\d{4}\b", "FIR", 0.95, "SYN-FIR-"),
+    Rule("org_suffix", r"\b([A-Z][\w&]*\s+){1,3}(?:Traders|Logistics|Enterprises|Services|Solutions|Industries|Associates|Imports\s*&\s*Exports)\s+(?:Pvt Ltd|LLP|Ltd|Inc|Corp)?\b", "Organization", 0.80, "Traders|Logistics|Enterprises|Services|Solutions|Industries|Associates|Imports"),
+    Rule("person_titlecase", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", "Person", 0.40, r"[A-Z][a-z]+\s+[A-Z][a-z]"),
+    Rule("location_titlecase", r"\b(?:Sector|Ring Road|Old Fort Road|Lake View Colony|Station Square|Mill Lane|Garden Chowk|Riverside Depot|Tech Park Gate|Hillview Apartments)\b(?:\s+(?:\d+|[A-Z][a-z]+))*", "Location", 0.30, "Sector|Ring Road|Old Fort Road|Lake View Colony|Station Square|Mill Lane|Garden Chowk|Riverside Depot|Tech Park Gate|Hillview Apartments"),
 )
 #: Cues between two mentions: types, pattern, relationship, prior, whether the pair is of one type and so ordered.
 CUES = (
@@ -50,6 +53,8 @@ CUES = (
 )
 NEEDS_IDS = ("LOCATED_AT", "USED", "TRANSFERRED_TO")
 MENTIONS = "doc_id long, mention_no int, text string, entity_type string, start int, end int, normalized string, confidence double, method string"
+#: The cues as Spark's rlike reads them: any letter is part of a word; white space and case are those of ASCII. Those of one rule never overlap.
+CUE_PATTERNS = tuple(re.compile(rf"\b(?ai:{c[2].removeprefix('(?i)').removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')})\b") for c in CUES)
 
 
 def mentions_of(text: str, rules: list[tuple[re.Pattern, Rule]]) -> list[tuple[str, str, int, int, str, float, str]]:
@@ -58,6 +63,8 @@ def mentions_of(text: str, rules: list[tuple[re.Pattern, Rule]]) -> list[tuple[s
     ends: list[int] = []
     out = []
     for pattern, rule in rules:
+        if rule.hint and not re.search(rule.hint, text):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             at = bisect_left(starts, a)
@@ -70,18 +77,47 @@ def mentions_of(text: str, rules: list[tuple[re.Pattern, Rule]]) -> list[tuple[s
     return sorted(out, key=lambda x: (x[2], -x[3]))
 
 
-def extract_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Mentions of each document with code point offsets, batch by batch; null texts have none."""
+def reach_of(text: str, spans: list[tuple[str, int, int]]) -> list[list[int] | None]:
+    """For each span (type, start, end): the end of the first cue of each rule of CUES that begins where the span ends or later, -1 where
+    there is none; None for spans without any. Only text between spans of a rule's types is searched, once a rule."""
+    out: list[list[int] | None] = [None] * len(spans)
+    kinds = [k for k, _, _ in spans]
+    for n, ((source, target, *_), pattern) in enumerate(zip(CUES, CUE_PATTERNS)):
+        if kinds.count(source) < 1 + (source == target) or target not in kinds:
+            continue
+        own = [i for i, k in enumerate(kinds) if k in (source, target)]
+        low, high = min(spans[i][2] for i in own), max(spans[i][1] for i in own)
+        cues = [m.span() for m in pattern.finditer(text, low, high)]
+        starts = [a for a, _ in cues]
+        for i in own:
+            end = spans[i][2]
+            # a span may end inside a word; what is left of that word counts as one
+            cut = pattern.match(text[end:high]) if end < high and re.match(r"\w\w", text[end - 1 : end + 1]) else None
+            at = bisect_left(starts, end)
+            to = end + cut.end() if cut else cues[at][1] if at < len(cues) else -1
+            if to >= 0:
+                out[i] = out[i] or [-1] * len(CUES)
+                out[i][n] = to
+    return out
+
+
+def extract_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, reach: bool = False) -> DataFrame:
+    """Mentions of each document with code point offsets, batch by batch; null texts have none. reach: with reach_of() as a column, from the same pass."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(re.compile(r.pattern), r) for r in rules]
-        names = [f.split()[0] for f in MENTIONS.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         for part in parts:
-            rows = [(i, n, *m) for i, t in zip(part["doc_id"], part["text"]) for n, m in enumerate(mentions_of(t, compiled))]
+            rows = []
+            for i, t in zip(part["doc_id"], part["text"]):
+                found = mentions_of(t, compiled)
+                ends = [(r,) for r in reach_of(t, [(m[1], m[2], m[3]) for m in found])] if reach else [()] * len(found)
+                rows += [(i, n, *m, *e) for n, (m, e) in enumerate(zip(found, ends))]
             yield pd.DataFrame(rows, columns=names)
 
+    schema = MENTIONS + ", reach array<int>" if reach else MENTIONS
     two = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return two.mapInPandas(run, MENTIONS)
+    return two.mapInPandas(run, schema)
 
 
 def supported_types(rules: tuple[Rule, ...] = RULES) -> set[str]:
@@ -107,28 +143,35 @@ def attached(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     return mentions.join(one, "mention_id", "left")
 
 
+def reached(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Mentions of documents that have several, with reach_of() as a column, for mentions that come without it."""
+    span = F.struct("entity_type", "start", "end")
+    spans = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(span.alias("span"), F.struct(*mentions.columns).alias("m"))).alias("each")).where(F.size("each") > 1)
+    reach = F.udf(lambda t, each: reach_of(t, [tuple(e) for e in each]), "array<array<int>>")
+    both = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(spans, "doc_id").select(F.explode(F.arrays_zip(F.col("each.m").alias("m"), reach("text", "each.span").alias("reach"))).alias("r"))
+    return both.select("r.m.*", "r.reach")
+
+
 def cue_relations(docs: DataFrame, mentions: DataFrame, known: Column | None = None) -> DataFrame:
     """Relations between two mentions of a document with a cue in the text between them.
 
-    The rules are a small table joined to the pairs; pairs of one type are taken in text
-    order. Documents without any cue are left out before their mentions are paired.
+    Mentions carry the end of the next cue of each rule (reach, from extract_mentions(); where it is missing it is taken
+    from the texts). A later mention pairs with those whose next cue ends before it, so numbers meet and no text is copied to
+    pairs. Pairs of one type are taken in text order. Documents without any cue have no reach and no pairs.
     """
     spark = mentions.sparkSession
-    docs = docs.where(F.col("text").rlike("|".join(pattern for _, _, pattern, _, _ in CUES)))
-    mentions = mentions.join(docs.select("doc_id"), "doc_id", "left_semi")
-    rules = spark.createDataFrame([(s, t, r, p) for s, t, _, r, p in CUES], "source_type string, target_type string, relationship_type string, prior double")
-    m = mentions.withColumn("_linked", known if known is not None else F.lit(False))
-    p = m.select("doc_id", F.col("entity_type").alias("source_type"), F.col("text").alias("source_text"), F.col("start").alias("sa"), F.col("end").alias("sb"), F.col("_linked").alias("ls"))
-    q = m.select("doc_id", F.col("entity_type").alias("target_type"), F.col("text").alias("target_text"), F.col("start").alias("ta"), F.col("end").alias("tb"), F.col("_linked").alias("lt"))
-    pairs = p.join(F.broadcast(rules), "source_type").join(q, ["doc_id", "target_type"]).where("(sa <> ta OR sb <> tb) AND (source_type <> target_type OR sa < ta)")
-    low, high = F.least("sb", "tb"), F.greatest("sa", "ta")
-    text = docs.select("doc_id", F.col("text").alias("_body"))
-    between = pairs.where(high > low).join(text, "doc_id").withColumn("_between", F.substring(F.col("_body"), low + 1, high - low))
-    cue = F.lit(False)
-    for s, t, pattern, kind, _ in CUES:
-        cue = F.when((F.col("source_type") == s) & (F.col("target_type") == t) & (F.col("relationship_type") == kind), F.col("_between").rlike(pattern)).otherwise(cue)
-    keep = cue & (~F.col("relationship_type").isin(*NEEDS_IDS) | (F.col("ls") & F.col("lt")))
-    return between.where(keep).select("doc_id", F.concat(F.lit("rel-"), short_hash(F.col("doc_id"), F.col("sa"), F.col("ta"), F.col("relationship_type"))).alias("relationship_id"), "source_type", "source_text", "target_type", "target_text", "relationship_type", F.col("prior").alias("confidence"))
+    mentions = mentions if "reach" in mentions.columns else reached(docs, mentions)
+    sides = [(n, a, b, a == s, k, p) for n, (s, t, _, k, p) in enumerate(CUES) for a, b in dict.fromkeys(((s, t), (t, s)))]
+    rules = spark.createDataFrame(sides, "rule int, entity_type string, later_type string, in_order boolean, relationship_type string, prior double")
+    m = mentions.withColumn("linked", known if known is not None else F.lit(False))
+    one = F.struct(F.col("entity_type").alias("type"), "text", "start", "linked")
+    first = m.where("reach IS NOT NULL").select("doc_id", "entity_type", one.alias("first"), F.posexplode("reach").alias("rule", "cue_end")).where("cue_end >= 0").join(F.broadcast(rules), ["rule", "entity_type"])
+    later = m.select("doc_id", F.col("entity_type").alias("later_type"), F.col("start").alias("_at"), one.alias("later"))
+    pairs = first.join(later, ["doc_id", "later_type"]).where(F.col("_at") >= F.col("cue_end"))
+    pairs = pairs.where(~F.col("relationship_type").isin(*NEEDS_IDS) | (F.col("first.linked") & F.col("later.linked")))
+    p, q = F.when(F.col("in_order"), F.col("first")).otherwise(F.col("later")), F.when(F.col("in_order"), F.col("later")).otherwise(F.col("first"))
+    named = pairs.select("doc_id", p.alias("p"), q.alias("q"), "relationship_type", F.col("prior").alias("confidence"))
+    return named.select("doc_id", F.concat(F.lit("rel-"), short_hash(F.col("doc_id"), F.col("p.start"), F.col("q.start"), F.col("relationship_type"))).alias("relationship_id"), F.col("p.type").alias("source_type"), F.col("p.text").alias("source_text"), F.col("q.type").alias("target_type"), F.col("q.text").alias("target_text"), "relationship_type", "confidence")
 
 
 #: Documents whose mentions and cues one task sorts.
@@ -208,10 +251,8 @@ def near_pairs(left: DataFrame, right: DataFrame, group: str, at: str, width: in
 
 def gate(docs: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
     """(doc_id, n_mentions, n_relations, errors, accepted): a document is accepted whole or not at all."""
-    people = relations.where("source_type = 'Person' AND target_type = 'Person' AND relationship_type <> 'KNOWS'")
-    bad = people.select("doc_id", F.lit("person-person must be KNOWS").alias("error")).unionByName(mentions.where("confidence < 0 OR confidence > 1 OR end <= start").select("doc_id", F.lit("mention out of range").alias("error")))
-    errors = bad.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"))
-    m = mentions.groupBy("doc_id").agg(F.count("*").alias("n_mentions"))
-    r = relations.groupBy("doc_id").agg(F.count("*").alias("n_relations"))
-    out = docs.select("doc_id").join(m, "doc_id", "left").join(r, "doc_id", "left").join(errors, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"), F.coalesce("n_relations", F.lit(0)).alias("n_relations"), F.coalesce("errors", F.lit("")).alias("errors"), F.col("errors").isNull().alias("accepted"))
+    m = mentions.groupBy("doc_id").agg(F.count("*").alias("n_mentions"), F.max(F.expr("confidence < 0 OR confidence > 1 OR end <= start")).alias("_out"))
+    r = relations.groupBy("doc_id").agg(F.count("*").alias("n_relations"), F.max(F.expr("source_type = 'Person' AND target_type = 'Person' AND relationship_type <> 'KNOWS'")).alias("_people"))
+    errors = F.concat_ws("; ", F.when(F.col("_out"), "mention out of range"), F.when(F.col("_people"), "person-person must be KNOWS"))
+    out = docs.select("doc_id").join(m, "doc_id", "left").join(r, "doc_id", "left").withColumn("errors", errors)
+    return out.select("doc_id", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"), F.coalesce("n_relations", F.lit(0)).alias("n_relations"), "errors", (F.col("errors") == "").alias("accepted"))

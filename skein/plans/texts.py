@@ -96,7 +96,7 @@ def capitalised_pairs(spark, d):
 @query()
 def cue_relations(spark, d):
     docs = _documents(spark, d)
-    return text.cue_relations(docs, settle(text.extract_mentions(docs)))
+    return text.cue_relations(docs, settle(text.extract_mentions(docs, reach=True)))
 
 
 @query()
@@ -107,7 +107,7 @@ def mention_review_flags(spark, d):
 @query()
 def pipeline_gate(spark, d):
     docs = _documents(spark, d)
-    mentions = settle(text.extract_mentions(docs))
+    mentions = settle(text.extract_mentions(docs, reach=True))
     return text.gate(docs, mentions, text.cue_relations(docs, mentions))
 
 

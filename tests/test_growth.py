@@ -1,7 +1,9 @@
 """Steps whose cost must follow the input."""
 
 import random
+import re
 
+from pyspark.sql import functions as F
 from tests.test_graphs import rels
 
 from skein.operators import centrality, community, graph, text, traverse
@@ -122,3 +124,38 @@ def test_a_task_of_cue_relations_sorts_a_bounded_number_of_documents(spark, monk
     dealt = text.nearest_cue_relations(cues, mentions, docs=100)
     assert sorted(dealt.collect()) == sorted(text.nearest_cue_relations(cues, mentions).collect()) and dealt.count() >= 200
     assert dealt.rdd.getNumPartitions() == 11
+
+
+def test_cue_relations_and_the_gate_read_each_text_once(spark):
+    rng = random.Random(8)
+    words = ["Anna Smith", "Bob Jones", "Blue Traders Ltd", "Sector 9", "Mill Lane Abc", "KA-12-AB-1007", "FICA12345678", "called", "Works  for", "met", "owns", "member of", "Went to", "sent", "metro", "works\xa0for", "émet", "located at"]
+    texts = {i: "".join(rng.choice(words) + rng.choice([" ", " . ", ""]) for _ in range(rng.randrange(1, 30))) for i in range(150)} | {200: None, 201: "", 202: "Sector 12met Anna Smith"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    read = text.extract_mentions(docs, reach=True).cache()
+    linked = F.col("start") % 2 == 0
+    got = sorted(tuple(r) for r in text.cue_relations(None, read, linked).select("doc_id", "source_text", "target_text", "relationship_type").collect())  # no texts are asked for
+    want, mentions = [], {}
+    for m in read.drop("reach").collect():
+        mentions.setdefault(m["doc_id"], []).append(m)
+    for i, found in mentions.items():
+        for s, t, pattern, kind, _ in text.CUES:
+            for p in (m for m in found if m["entity_type"] == s):
+                for q in (m for m in found if m["entity_type"] == t and (s != t or p["start"] < m["start"])):
+                    low, high = min(p["end"], q["end"]), max(p["start"], q["start"])
+                    ok = kind not in text.NEEDS_IDS or (p["start"] % 2 == 0 and q["start"] % 2 == 0)
+                    between = texts[i][low:high].replace("\xa0", ".")
+                    if ok and low < high and re.search(pattern, between):
+                        want.append((i, p["text"], q["text"], kind))
+    assert got == sorted(want) and len(got) > 200
+    assert sorted(map(tuple, text.cue_relations(docs, read.drop("reach")).collect())) == sorted(map(tuple, text.cue_relations(None, read).collect()))
+    gate = {r["doc_id"]: r for r in text.gate(docs, read, text.cue_relations(None, read, linked)).collect()}
+    assert {i: (r["n_mentions"], r["n_relations"]) for i, r in gate.items()} == {i: (len(mentions.get(i, [])), sum(x[0] == i for x in want)) for i in texts}
+
+
+def test_texts_without_a_rules_hint_hold_no_match():
+    rng = random.Random(9)
+    words = ["+91-92-1234567", "+44 1234567890", "AB-FIC12-XY123", "KA 1 B 123", "KA-12-AB-1007", "FICA12345678", "SYN-CASE-2024-001", "SYN-FIR-2024-0001", "Blue\tTraders Ltd", "Imports & Exports", "Anna Smith", "Ring Road", "Tech Park Gate 4", "and", "AB", "12", "-"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(1, 6))) for _ in range(2000)]
+    for rule in text.RULES:
+        held = [t for t in texts if re.search(rule.pattern, t)]
+        assert held and rule.hint and all(re.search(rule.hint, t) for t in held), rule.name
