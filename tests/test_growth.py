@@ -159,3 +159,20 @@ def test_texts_without_a_rules_hint_hold_no_match():
     for rule in text.RULES:
         held = [t for t in texts if re.search(rule.pattern, t)]
         assert held and rule.hint and all(re.search(rule.hint, t) for t in held), rule.name
+
+
+def test_walks_through_a_hub_are_dealt_to_tasks(spark, monkeypatch):
+    pairs = [(f"n{i:03d}", "hub") for i in range(300)] + [("hub", "top"), ("n000", "n001"), ("n000", "hub")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    starts = [f"n{i:03d}" for i in range(0, 300, 3)] + ["none"]
+    want = [(s, v, 1, (s, v)) for s in starts for v in near.get(s, ())]
+    want += [(s, w, 2, (s, v, w)) for s, v, _, _ in list(want) for w in near[v] if w != s]
+    monkeypatch.setattr(graph, "BUCKET", 16, raising=False)
+    monkeypatch.setattr(graph, "WALKS_A_TASK", 1000, raising=False)
+    got = graph.typed_walks(rels(spark, pairs), spark.createDataFrame([(s,) for s in starts], "entity_id string"), ["TRANSFERRED_TO"], 2).cache()
+    assert sorted((r["start"], r["node"], r["hops"], tuple(r["path"])) for r in got.collect()) == sorted(want)
+    a_task = got.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert len(want) > 30_000 and a_task < 4_000
