@@ -79,3 +79,26 @@ def test_the_numbered_network_is_the_network(spark):
     whole = A.network(spark, SF).groupBy("source_id", "target_id").agg(F.count("*").alias("w")).toPandas()
     assert same(A.numbered_network(spark, SF).select(A.name_of("source_id").alias("source_id"), A.name_of("target_id").alias("target_id"), "w").toPandas(), whole)
     assert same(A.numbered_entities(spark, SF).select(A.name_of("entity_id").alias("entity_id")).toPandas(), A.entities(spark, SF).select("entity_id").toPandas())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_betweenness_of_every_node_is_exact(spark, seed):
+    """Against plain distances and numbers of paths; more than 64 nodes, where 64 pivots only estimate."""
+    pairs = some_graph(seed)
+    r = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in [*pairs, *pairs[:5], (3, 3)]], "source_id string, target_id string")
+    n = graph.endpoints(graph.links(r)).count()
+    want = {x[0]: x[1] for x in centrality.betweenness(r, centrality.distances(r), n).collect()}
+    got = {x["entity_id"]: x["betweenness"] for x in centrality.every_betweenness(r).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()} and len(got) > 100 and max(got.values()) > 0.05
+    star = spark.createDataFrame([("hub", f"leaf{i}") for i in range(4)], "source_id string, target_id string")
+    assert {x[0]: x[1] for x in centrality.every_betweenness(star).collect()} == {"hub": 1.0} | {f"leaf{i}": 0.0 for i in range(4)}
+
+
+def test_indicators_come_from_exact_betweenness(spark, monkeypatch):
+    from skein.plans import graphs
+
+    monkeypatch.setattr(centrality, "sampled_betweenness", lambda *a, **k: 1 / 0)
+    x = graphs.scored(spark, SF)
+    n = graph.endpoints(graph.links(x.rels)).count()
+    want = {r[0]: r[1] for r in centrality.betweenness(x.rels, centrality.distances(x.rels), n).collect()}
+    assert n and {r["entity_id"]: r["betweenness"] for r in x.between.collect()} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
