@@ -102,3 +102,17 @@ def test_indicators_come_from_exact_betweenness(spark, monkeypatch):
     n = graph.endpoints(graph.links(x.rels)).count()
     want = {r[0]: r[1] for r in centrality.betweenness(x.rels, centrality.distances(x.rels), n).collect()}
     assert n and {r["entity_id"]: r["betweenness"] for r in x.between.collect()} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_whole_cuts_and_betweenness_move_numbers_for_names(spark, monkeypatch):
+    from skein.operators import community
+
+    rels = A.network(spark, SF).cache()
+    cuts = {r[0] for r in community.articulation_points(rels).collect()}
+    between = {r[0]: r[1] for r in centrality.betweenness_from(rels, A.nations(spark, SF)).collect()}
+    texts = []
+    for m in (community, centrality, graph):
+        monkeypatch.setattr(m, "settle", lambda df, *a, real=m.settle, **k: texts.extend(c for c, t in df.dtypes if t == "string") or real(df, *a, **k))
+    assert {r["entity_id"] for r in catalogue.QUERIES["articulation_points_whole"](spark, SF).collect()} == cuts and cuts
+    got = {r["entity_id"]: r["betweenness"] for r in catalogue.QUERIES["betweenness_whole"](spark, SF).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in between.items()} and not texts
