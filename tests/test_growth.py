@@ -176,3 +176,10 @@ def test_walks_through_a_hub_are_dealt_to_tasks(spark, monkeypatch):
     assert sorted((r["start"], r["node"], r["hops"], tuple(r["path"])) for r in got.collect()) == sorted(want)
     a_task = got.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
     assert len(want) > 30_000 and a_task < 4_000
+
+
+def test_two_thousand_walks_and_neighbours_of_a_hub_meet_without_copies(spark):
+    walks = spark.range(2000).selectExpr("'hub' AS node", "concat('s', id) AS start", "array(concat('s', id), 'hub') AS path")
+    near = spark.range(2000).selectExpr("'hub' AS node", "concat('n', id) AS nbr")
+    got = graph._extended(walks, near)
+    assert got.count() == 4_000_000 and got.select("_i", "_j").distinct().count() == 1
